@@ -1,3 +1,3 @@
 """Imports every query module, which registers its queries."""
 
-from bindings import events, sources, windows  # noqa: F401
+from bindings import climate, events, quality, sources, windows  # noqa: F401

@@ -99,11 +99,11 @@ def _(i: Inputs):
     WITH v AS (SELECT l_suppkey AS station_id, list_distinct(list('var_' || l_linenumber)) AS listed,
                       list_distinct(list('var_' || l_linenumber) FILTER (l_returnflag = 'R' AND l_tax > 0.07)) AS found
                FROM lineitem GROUP BY 1)
-    SELECT station_id, CAST(len(list_filter(listed, x -> NOT list_contains(found, x))) AS INT) AS n_missing,
-           CAST(len(list_filter(found, x -> NOT list_contains(listed, x))) AS INT) AS n_extra,
+    SELECT station_id, CAST(len(list_filter(listed, lambda x: NOT list_contains(found, x))) AS INT) AS n_missing,
+           CAST(len(list_filter(found, lambda x: NOT list_contains(listed, x))) AS INT) AS n_extra,
            NOT list_contains(found, 'var_7') AS old_removed,
            list_contains(found, 'var_1') AND list_contains(found, 'var_2') AS new_present,
-           len(list_filter(listed, x -> NOT list_contains(found, x))) = 0 AS in_sync
+           len(list_filter(listed, lambda x: NOT list_contains(found, x))) = 0 AS in_sync
     FROM (SELECT station_id, listed, coalesce(found, []) AS found FROM v)""")
 def _(i: Inputs):
     variable = F.concat(F.lit("var_"), F.col("l_linenumber").cast("string"))
