@@ -181,7 +181,7 @@ def near_miss(df: DataFrame, series: Series, value: str, threshold_table: DataFr
     flagged = df.join(threshold_table, series.key_list).withColumn("is_hot", hot(F.col(value), F.col("threshold")))
     runs = label_runs(flagged, series, "is_hot")
     spell = F.when(F.col("is_hot"), F.col("run_len")).otherwise(0)
-    false_alarms = runs.where("true = 0 AND pred = 1").select(spell.alias("spell"))
+    false_alarms = runs.where((F.col("true") == 0) & (F.col("pred") == 1)).select(spell.alias("spell"))
     counts = false_alarms.agg(
         F.count("*").alias("n"),
         *[F.sum((F.col("spell") >= c).cast("long")).alias(f"n_{c}") for c in cuts],

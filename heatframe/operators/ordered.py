@@ -51,13 +51,13 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], bin_col: st
     )
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_counts(df: DataFrame, keys: list[str], value: str, n: str = "n", bin_col: str = "bin") -> DataFrame:
     """(keys, value, n, bin) of the non-missing values."""
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count("*").alias("n"))
-        .withColumn("bin", value_bin(F.col(value)))
+        .agg(F.count("*").alias(n))
+        .withColumn(bin_col, value_bin(F.col(value)))
     )
 
 
@@ -87,19 +87,19 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         return present.groupBy(*keys).agg(
             *[F.percentile_approx(value, p, 10000).alias(name) for name, p in probs.items()]
         )
-    counts = value_counts(df, keys, value)
-    along = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = value_counts(df, keys, value, "_n", "_bin")
+    along = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("in_bin")).select(
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in_bin")).select(
         *keys,
-        "bin",
-        (F.sum("in_bin").over(along) - F.col("in_bin")).alias("offset"),
-        F.sum("in_bin").over(along).alias("upto"),
-        F.sum("in_bin").over(whole).alias("total"),
+        "_bin",
+        (F.sum("_in_bin").over(along) - F.col("_in_bin")).alias("_offset"),
+        F.sum("_in_bin").over(along).alias("_upto"),
+        F.sum("_in_bin").over(whole).alias("_total"),
     )
 
     def position(p: float) -> Column:
-        return F.lit(p) * (F.col("total") - 1)
+        return F.lit(p) * (F.col("_total") - 1)
 
     def holds(index: Column, start: Column, stop: Column) -> Column:
         return (start <= index) & (index < stop)
@@ -107,25 +107,25 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     wanted = F.lit(False)
     for p in probs.values():
         for edge in (F.floor(position(p)), F.ceil(position(p))):
-            wanted = wanted | holds(edge, F.col("offset"), F.col("upto"))
-    inside = Window.partitionBy(*keys, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+            wanted = wanted | holds(edge, F.col("_offset"), F.col("_upto"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        counts.join(bins.where(wanted).drop("upto"), [*keys, "bin"])
-        .withColumn("stop", F.col("offset") + F.sum("n").over(inside))
-        .withColumn("start", F.col("stop") - F.col("n"))
+        counts.join(bins.where(wanted).drop("_upto"), [*keys, "_bin"])
+        .withColumn("_stop", F.col("_offset") + F.sum("_n").over(inside))
+        .withColumn("_start", F.col("_stop") - F.col("_n"))
     )
-    aggs = [F.max("total").alias("total")]
+    aggs = [F.max("_total").alias("_total")]
     for i, p in enumerate(probs.values()):
         for side, edge in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
-            picked = F.when(holds(edge, F.col("start"), F.col("stop")), F.col(value).cast("double"))
-            aggs.append(F.max(picked).alias(f"q{i}_{side}"))
+            picked = F.when(holds(edge, F.col("_start"), F.col("_stop")), F.col(value).cast("double"))
+            aggs.append(F.max(picked).alias(f"_q{i}_{side}"))
     found = placed.groupBy(*keys).agg(*aggs)
     return found.select(
         *keys,
         *[
             (
-                F.col(f"q{i}_lo")
-                + (F.col(f"q{i}_hi") - F.col(f"q{i}_lo")) * (position(p) - F.floor(position(p)))
+                F.col(f"_q{i}_lo")
+                + (F.col(f"_q{i}_hi") - F.col(f"_q{i}_lo")) * (position(p) - F.floor(position(p)))
             ).alias(name)
             for i, (name, p) in enumerate(probs.items())
         ],
