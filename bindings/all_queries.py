@@ -1,3 +1,3 @@
 """Imports every query module, which registers its queries."""
 
-from bindings import climate, evaluation, events, quality, sources, stats, windows  # noqa: F401
+from bindings import climate, evaluation, events, features, models, quality, sources, stats, windows  # noqa: F401

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heatframe.operators.series import Series, densify
 
@@ -83,6 +84,9 @@ def with_inputs(sql: str) -> str:
     return f"WITH {ctes},\n{body[len('WITH'):]}" if body.upper().startswith("WITH") else f"WITH {ctes}\n{body}"
 
 
+SCHEMAS: dict[str, StructType] = {}
+
+
 class Inputs:
     """The given tables of one scale and the tables derived from them."""
 
@@ -90,7 +94,11 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table; its schema is read from the file footer once per path."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in SCHEMAS:
+            SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(SCHEMAS[path]).parquet(path)
 
     def daily_obs(self) -> DataFrame:
         gust = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity"))

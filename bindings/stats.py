@@ -71,7 +71,7 @@ def matrix_sql(by: str) -> str:
 
 
 def _matrix(i: Inputs):
-    return T.spearman_matrix(i.hourly_obs(), ["city"], HOURLY_VARS)
+    return T.spearman_matrix(i.hourly_obs(), ["city"], ["ts"], HOURLY_VARS)
 
 
 @query("spearman_matrix", matrix_sql("city") + f"SELECT city, var_a, var_b, {r('rho')} AS rho FROM upper_cells")
@@ -81,7 +81,7 @@ def _(i: Inputs):
 
 @query("spearman_pooled", matrix_sql("") + f"SELECT var_a, var_b, {r('rho')} AS rho FROM upper_cells")
 def _(i: Inputs):
-    return round_doubles(T.spearman_pooled(i.hourly_obs(), HOURLY_VARS), "rho")
+    return round_doubles(T.spearman_pooled(i.hourly_obs(), ["city", "ts"], HOURLY_VARS), "rho")
 
 
 @query("corr_strength_rank", matrix_sql("city") + f"""
@@ -136,11 +136,11 @@ PROFILE_SQL = f"""
     """
 
 
-def _profile(i: Inputs):
-    return T.lag_profile(i.hourly_obs(), HOURLY, "temperature_2m", HOURLY_VARS, 72)
+def _profile(i: Inputs, pairwise: bool = False):
+    return T.lag_profile(i.hourly_obs(), HOURLY, "temperature_2m", HOURLY_VARS, 72, pairwise=pairwise)
 
 
-@query("lag_profile", PROFILE_SQL + f"SELECT city, feature, lag, n, {r('rho')} AS rho FROM profile")
+@query("lag_profile", PROFILE_SQL + f"SELECT city, feature, lag, {r('rho')} AS rho FROM profile")
 def _(i: Inputs):
     return round_doubles(_profile(i), "rho")
 

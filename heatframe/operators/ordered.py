@@ -24,7 +24,10 @@ def value_bin(value: Column) -> Column:
     octave = F.floor(F.log2(size)).cast("double")
     position = octave + size / F.pow(F.lit(2.0), octave) + 63
     position = F.when(size < 2.0**-62, F.lit(0.0)).otherwise(position)
-    return F.floor(F.signum(value.cast("double")) * position * BINS_PER_OCTAVE).cast("long")
+    found = F.floor(F.signum(value.cast("double")) * position * BINS_PER_OCTAVE).cast("long")
+    # never NULL: joins on the bin then add no condition of their own, so branches that
+    # read the same counts stay identical and share one shuffle
+    return F.coalesce(found, F.lit(0).cast("long"))
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[str], bin_col: str, sums: list[str]) -> DataFrame:

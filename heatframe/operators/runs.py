@@ -20,31 +20,27 @@ def label_runs(df: DataFrame, series: Series, flag: str, adjacent: bool = False)
     """
     keys = series.key_list
 
-    def continues(prev_state: Column, prev_tick: Column, state: Column, tick: Column) -> Column:
+    def continues(prev_state: Column, prev_ts: Column, state: Column, ts: Column) -> Column:
         same = prev_state == state
         if adjacent:
-            same = same & (tick == prev_tick + 1)
+            same = same & (series.tick(ts) == series.tick(prev_ts) + 1)
         return F.coalesce(same, F.lit(False))
 
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy("_tick")
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(series.ts)
     in_run = Window.partitionBy(*keys, "_chunk", "_run")
-    state, tick = F.col(flag), F.col("_tick")
+    state, ts = F.col(flag), F.col(series.ts)
     rows = (
-        df.withColumns({"_chunk": series.chunk(), "_tick": series.tick()})
-        .withColumn("_same", continues(F.lag(state).over(in_chunk), F.lag(tick).over(in_chunk), state, tick))
+        df.withColumn("_chunk", series.chunk())
+        .withColumn("_same", continues(F.lag(state).over(in_chunk), F.lag(ts).over(in_chunk), state, ts))
         .withColumn("_run", F.sum((~F.col("_same")).cast("long")).over(in_chunk))
-        .withColumn("_place", F.row_number().over(in_run.orderBy("_tick")).cast("long"))
+        .withColumn("_place", F.row_number().over(in_run.orderBy(series.ts)).cast("long"))
         .withColumn("_size", F.count("*").over(in_run))
     )
-    carried = join_edges(
-        rows.groupBy(*keys, "_chunk").agg(
-            F.max("_run").alias("_runs"),
-            F.min_by(F.struct(state.alias("state"), "_tick", "_size"), "_tick").alias("_first"),
-            F.max_by(F.struct(state.alias("state"), "_tick", "_size"), "_tick").alias("_last"),
-        ),
-        keys,
-        continues,
+    edge = F.struct(state.alias("state"), ts.alias("ts"), "_size")
+    chunks = rows.groupBy(*keys, "_chunk").agg(
+        F.max("_run").alias("_runs"), F.min_by(edge, ts).alias("_first"), F.max_by(edge, ts).alias("_last")
     )
+    carried = join_edges(chunks, keys, continues)
     before = F.when(F.col("_run") == 1, F.col("_before")).otherwise(0)
     after = F.when(F.col("_run") == F.col("_runs"), F.col("_after")).otherwise(0)
     return rows.join(carried, [*keys, "_chunk"]).select(
@@ -60,7 +56,7 @@ def join_edges(chunks: DataFrame, keys: list[str], continues) -> DataFrame:
     chunks, and the number of runs that were opened before the chunk."""
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     last = F.lag("_last").over(by_chunk)
-    joins = continues(last["state"], last["_tick"], F.col("_first.state"), F.col("_first._tick")).cast("long")
+    joins = continues(last["state"], last["ts"], F.col("_first.state"), F.col("_first.ts")).cast("long")
     up_to = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
     linked = chunks.withColumn("_joins", joins).withColumn(
         "_offset", F.sum(F.col("_runs") - F.col("_joins")).over(up_to) - F.col("_runs")

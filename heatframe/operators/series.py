@@ -40,9 +40,9 @@ class Series:
         ts = F.col(self.ts)
         return F.year(ts) if self.step == "day" else F.year(ts) * 12 + F.month(ts)
 
-    def tick(self) -> Column:
+    def tick(self, ts: Column | None = None) -> Column:
         """Whole steps since 1970 in calendar time, independent of the session zone."""
-        ts = F.col(self.ts)
+        ts = F.col(self.ts) if ts is None else ts
         days = F.unix_date(ts.cast("date")).cast("long")
         return days if self.step == "day" else days * 24 + F.hour(ts)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +43,29 @@ def trend_test(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.withColumn("p_value", exact.when(F.col("n") > 2, student_t_two_sided(F.col("t"), F.col("n") - 2)))
 
 
-def rank_columns(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def spread_rows(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows spread evenly by a hash of ``by``, with the session's partition count kept
+    even when they are few (they are about to be multiplied or read several times)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def rank_columns(df: DataFrame, keys: list[str], ids: list[str], columns: list[str]) -> DataFrame:
     """Replaces each column by its average rank within the key, over complete rows.
 
+    Rows are spread once, by all their columns, and that one shuffle feeds every branch.
     Each column joins its own (value, rank) table; those hold distinct values only, so
     for measured data they are small and the joins need no shuffle of the rows.
     """
-    out = df.dropna("any", subset=columns).withColumns({c: F.col(c).cast("double") for c in columns})
-    rows = out
+    typed = df.select(*keys, *ids, *[F.col(c).cast("double").alias(c) for c in columns])
+    # Written out column by column: each branch below asks for some of these conditions
+    # again, and only an identical scan can be shared.
+    complete = reduce(and_, [F.col(c).isNotNull() for c in [*keys, *columns]])
+    rows = spread_rows(typed.where(complete), [*keys, *ids, *columns])
+    out = rows
     for c in columns:
         ranks = average_ranks(rows, keys, c).select(*keys, c, F.col("rank").cast("double").alias(f"_rank_{c}"))
         out = out.join(ranks, [*keys, c])
-    return out.drop(*columns).withColumnsRenamed({f"_rank_{c}": c for c in columns})
+    return out.select(*keys, *ids, *[F.col(f"_rank_{c}").alias(c) for c in columns])
 
 
 def rank_products(ranked: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
@@ -77,15 +91,16 @@ def rank_products(ranked: DataFrame, keys: list[str], pairs: list[tuple[str, str
     return sums.select(*keys, F.inline(F.array(*cells)))
 
 
-def spearman_matrix(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, var_a, var_b, rho) for var_a <= var_b in the order of ``columns``."""
+def spearman_matrix(df: DataFrame, keys: list[str], ids: list[str], columns: list[str]) -> DataFrame:
+    """(keys, var_a, var_b, rho) for var_a <= var_b in the order of ``columns``; ``ids``
+    tell the rows of a key apart."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return rank_products(rank_columns(df.select(*keys, *columns), keys, columns), keys, pairs)
+    return rank_products(rank_columns(df, keys, ids, columns), keys, pairs)
 
 
-def spearman_pooled(df: DataFrame, columns: list[str]) -> DataFrame:
+def spearman_pooled(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     """The matrix over all entities together."""
-    return spearman_matrix(df.select(F.lit("all").alias("_pool"), *columns), ["_pool"], columns).drop("_pool")
+    return spearman_matrix(df.withColumn("_pool", F.lit("all")), ["_pool"], ids, columns).drop("_pool")
 
 
 def full_matrix(upper: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,30 +166,40 @@ def countdown_corr(
     )
     kept = moved if season is None else moved.where(season)
     keys = series.key_list
-    # the value itself is a feature too, and a frame must not hold two columns of one name
-    ranked = rank_columns(kept.select(*keys, *dict.fromkeys([*features, *jumps])), keys, [*features, *jumps])
+    ranked = rank_columns(kept, keys, [series.ts], [*features, *jumps])
     table = rank_products(ranked, keys, [(f, j) for f in features for j in jumps])
     lag = F.regexp_extract("var_b", r"(\d+)$", 1).cast("int")
     return table.select(*keys, F.col("var_a").alias("feature"), lag.alias("lag"), "rho")
 
 
 def lag_profile(
-    df: DataFrame, series: Series, value: str, features: list[str], max_lag: int = 72, season: Column | None = None
+    df: DataFrame, series: Series, value: str, features: list[str], max_lag: int = 72, season: Column | None = None,
+    pairwise: bool = False,
 ) -> DataFrame:
-    """(keys, feature, lag, n, rho) for every lag 1..max_lag: each feature against the
-    change of ``value`` over the next ``lag`` rows, complete pairs of that lag."""
-    steps = range(1, max_lag + 1)
-    moved = over_rows(
-        df, series, 0, max_lag,
-        lambda w: {"_jumps": F.array(*[F.lead(value, k).over(w) - F.col(value) for k in steps])},
-    )
+    """(keys, feature, lag, rho) for every lag 1..max_lag: each feature against the
+    change of ``value`` over the next ``lag`` rows.
+
+    Uses the complete rows of a lag; ``pairwise`` uses the complete pairs of each
+    feature instead, which only matters when features are missing at different times.
+    """
+    # a struct is never NULL, so missing values keep their place among the later rows
+    later = F.collect_list(F.struct(F.col(value).alias("v")))
+    moved = over_rows(df, series, 0, max_lag, lambda w: {"_later": later.over(w.rowsBetween(1, max_lag))})
     kept = moved if season is None else moved.where(season)
-    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    by_lag = kept.select(*series.keys, values.alias("_values"), F.posexplode("_jumps").alias("_i", "jump"))
-    tall = by_lag.where("jump IS NOT NULL").select(
-        *series.keys, (F.col("_i") + 1).alias("lag"), F.round("jump", 9).alias("jump"), F.inline("_values")
+    # every row becomes max_lag rows, so spread them first
+    needed = list(dict.fromkeys([*features, value]))
+    spread = spread_rows(kept.select(*series.keys, series.ts, *needed, "_later"), [*series.keys, series.ts])
+    by_lag = spread.select(*series.keys, series.ts, *needed, F.posexplode("_later").alias("_i", "_then"))
+    by_lag = by_lag.withColumn("_jump", F.round(F.col("_then.v") - F.col(value), 9)).where("_jump IS NOT NULL").select(
+        *series.keys, series.ts, *features, (F.col("_i") + 1).alias("lag"), "_jump"
     )
-    return spearman_by(tall, [*series.keys, "feature", "lag"], "x", "jump")
+    keys = [*series.keys, "lag"]
+    if pairwise:
+        values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
+        return spearman_by(by_lag.select(*keys, "_jump", F.inline(values)), [*keys, "feature"], "x", "_jump").drop("n")
+    ranked = rank_columns(by_lag, keys, [series.ts], [*features, "_jump"])
+    table = rank_products(ranked, keys, [(f, "_jump") for f in features])
+    return table.select(*keys, F.col("var_a").alias("feature"), "rho")
 
 
 def lag_checkpoints(profile: DataFrame, keys: list[str], points: list[int]) -> DataFrame:
