@@ -36,8 +36,9 @@ def write_manifest(manifest: DataFrame, key: str, path: str) -> None:
     nested(manifest, key).write.mode("errorifexists").json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """``one_per_file`` reads indented files of one manifest each, otherwise one per line."""
+    raw = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", one_per_file).json(path)
     return raw.select(
         "city", "time_frame.*", F.col("variables.count").alias("var_count"), F.col("variables.list").alias("variables")
     )
