@@ -129,8 +129,7 @@ def shuffled_columns(df: DataFrame, columns: list[str], key: Column, buckets: in
     """Adds ``_shuffled_{c}``: the columns of another row.
 
     Rows fall into hash buckets and are put into a random order there; each row takes
-    the values of its predecessor, the first those of the last. Give enough buckets for
-    one to fit a task.
+    the values of its predecessor, the first those of the last.
     """
     order = F.xxhash64(key, F.lit(seed))
     random_order = Window.partitionBy("_bucket").orderBy("_order")
@@ -144,13 +143,14 @@ def shuffled_columns(df: DataFrame, columns: list[str], key: Column, buckets: in
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: list[str], label: str, key: Column, buckets: int = 64
+    model: PipelineModel, df: DataFrame, features: list[str], label: str, key: Column, bucket_rows: int = 200_000
 ) -> DataFrame:
     """(feature, importance): loss of average precision when a feature is shuffled.
 
     One shuffle serves all features; the rescored copies go through one aggregate.
+    Values trade places within hash buckets of about ``bucket_rows`` rows.
     """
-    wide = shuffled_columns(df.select(*df.columns), features, key, buckets)
+    wide = shuffled_columns(df, features, key, max(1, df.count() // bucket_rows))
     variants = F.array(F.lit("_none"), *[F.lit(f) for f in features])
     copies = wide.withColumn("feature", F.explode(variants)).select(
         label, "feature",

@@ -172,6 +172,17 @@ def countdown_corr(
     return table.select(*keys, F.col("var_a").alias("feature"), lag.alias("lag"), "rho")
 
 
+def ranks_by_lag(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, column, {column}_ranks): a value's rank among the rows that are valid at
+    each lag, as one array over the lags."""
+    per_lag = rows.select(*keys, column, F.posexplode("_jumps").alias("_i", "_jump")).select(
+        *keys, "_i", column, F.col("_jump").isNotNull().cast("long").alias("_valid")
+    )
+    ranks = average_ranks(per_lag, [*keys, "_i"], column, weight="_valid")
+    listed = F.array_sort(F.collect_list(F.struct("_i", F.col("rank").cast("double").alias("rank"))))
+    return ranks.groupBy(*keys, column).agg(listed["rank"].alias(f"{column}_ranks"))
+
+
 def lag_profile(
     df: DataFrame, series: Series, value: str, features: list[str], max_lag: int = 72, season: Column | None = None,
     pairwise: bool = False,
@@ -181,25 +192,39 @@ def lag_profile(
 
     Uses the complete rows of a lag; ``pairwise`` uses the complete pairs of each
     feature instead, which only matters when features are missing at different times.
+
+    Rows are multiplied by the lags only inside a task: features look up the ranks of
+    all lags at once, before that, and what is shuffled afterwards is counted first.
     """
+    keys = series.key_list
     # a struct is never NULL, so missing values keep their place among the later rows
     later = F.collect_list(F.struct(F.col(value).alias("v")))
     moved = over_rows(df, series, 0, max_lag, lambda w: {"_later": later.over(w.rowsBetween(1, max_lag))})
     kept = moved if season is None else moved.where(season)
-    # every row becomes max_lag rows, so spread them first
-    needed = list(dict.fromkeys([*features, value]))
-    spread = spread_rows(kept.select(*series.keys, series.ts, *needed, "_later"), [*series.keys, series.ts])
-    by_lag = spread.select(*series.keys, series.ts, *needed, F.posexplode("_later").alias("_i", "_then"))
-    by_lag = by_lag.withColumn("_jump", F.round(F.col("_then.v") - F.col(value), 9)).where("_jump IS NOT NULL").select(
-        *series.keys, series.ts, *features, (F.col("_i") + 1).alias("lag"), "_jump"
-    )
-    keys = [*series.keys, "lag"]
+    jumps = F.transform(F.sequence(F.lit(0), F.lit(max_lag - 1)), lambda i: F.round(F.get("_later", i)["v"] - F.col(value), 9))
+    typed = kept.select(*keys, series.ts, *[F.col(f).cast("double").alias(f) for f in features], jumps.alias("_jumps"))
     if pairwise:
-        values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-        return spearman_by(by_lag.select(*keys, "_jump", F.inline(values)), [*keys, "feature"], "x", "_jump").drop("n")
-    ranked = rank_columns(by_lag, keys, [series.ts], [*features, "_jump"])
-    table = rank_products(ranked, keys, [(f, "_jump") for f in features])
-    return table.select(*keys, F.col("var_a").alias("feature"), "rho")
+        values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])
+        tall = spread_rows(typed, [*keys, series.ts]).select(*keys, values.alias("_v"), F.posexplode("_jumps").alias("_i", "_jump"))
+        found = spearman_by(tall.select(*keys, "_i", "_jump", F.inline("_v")), [*keys, "_i", "feature"], "x", "_jump")
+        return found.select(*keys, "feature", (F.col("_i") + 1).alias("lag"), "rho")
+
+    complete = reduce(and_, [F.col(c).isNotNull() for c in [*keys, *features]])
+    rows = spread_rows(typed.where(complete), [*keys, series.ts, *features, "_jumps"])
+    out = rows
+    for f in features:
+        out = out.join(ranks_by_lag(rows, keys, f), [*keys, f])
+    by_lag = out.select(*keys, *[f"{f}_ranks" for f in features], F.posexplode("_jumps").alias("_i", "_jump"))
+    picked = by_lag.where("_jump IS NOT NULL").select(
+        *keys, "_i", "_jump", *[F.get(f"{f}_ranks", F.col("_i")).alias(f) for f in features]
+    )
+    all_jumps = rows.select(*keys, F.posexplode("_jumps").alias("_i", "_jump"))
+    jump_ranks = average_ranks(all_jumps.where("_jump IS NOT NULL"), [*keys, "_i"], "_jump").select(
+        *keys, "_i", "_jump", F.col("rank").cast("double").alias("_jump_rank")
+    )
+    ranked = picked.join(jump_ranks, [*keys, "_i", "_jump"])
+    table = rank_products(ranked, [*keys, "_i"], [(f, "_jump_rank") for f in features])
+    return table.select(*keys, F.col("var_a").alias("feature"), (F.col("_i") + 1).alias("lag"), "rho")
 
 
 def lag_checkpoints(profile: DataFrame, keys: list[str], points: list[int]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatframe.functions.scalar import entity_from_name, null_nan
@@ -88,7 +88,7 @@ def standardise_time(df: DataFrame) -> DataFrame | None:
     return df.withColumnRenamed(found, "timestamp").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-def read_series(spark: SparkSession, paths: str | list[str], fmt: str, keep_time: bool = True) -> DataFrame | None:
+def read_series(spark: SparkSession, paths: str | list[str], fmt: str) -> DataFrame | None:
     """CSV or Parquet series with the entity taken from the file name."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
@@ -96,8 +96,7 @@ def read_series(spark: SparkSession, paths: str | list[str], fmt: str, keep_time
     df = reader.load(paths)
     if time_column(df.columns) is None:
         return None
-    named = df.withColumn("city", entity_from_name(F.col("_metadata.file_name")))
-    return standardise_time(named) if keep_time else named
+    return standardise_time(df.withColumn("city", entity_from_name(F.col("_metadata.file_name"))))
 
 
 def concat_time_chunks(chunks: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -113,11 +112,11 @@ def concat_time_chunks(chunks: list[DataFrame], keys: list[str]) -> DataFrame:
 def export_partitioned(df: DataFrame, path: str, by: str, columns: list[str], fmt: str = "csv") -> None:
     """One folder per value of ``by``.
 
-    Rows are spread by (by, row hash) first: one value may hold a third of the rows and
-    must not become a single writer task.
+    Rows are range-partitioned by (by, row hash): a task writes few folders, and a value
+    that holds a third of the rows is cut over as many tasks as its size asks for.
     """
-    spread = df.select(by, *columns).withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(8)))
-    writer = spread.repartition(by, "_salt").drop("_salt").write.partitionBy(by).mode("errorifexists")
+    spread = df.select(by, *columns).repartitionByRange(F.col(by), F.xxhash64(*columns))
+    writer = spread.write.partitionBy(by).mode("errorifexists")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
@@ -126,9 +125,3 @@ def rewrite_columns(spark: SparkSession, path: str, new_path: str, change, fmt:
     one (Spark cannot overwrite a path it reads); returns the new version."""
     change(spark.read.format(fmt).load(path)).write.format(fmt).mode("errorifexists").save(new_path)
     return spark.read.format(fmt).load(new_path)
-
-
-def latest_first(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest version row of each key."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(version).desc())
-    return df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
