@@ -8,6 +8,7 @@ from bindings.events import EVENT_WINDOW_SQL
 from bindings.inputs import HOURLY, HOURLY_VARS, Inputs
 from bindings.registry import query
 from bindings.text import r, rd, round_doubles
+from heatframe.functions import statistics as A
 from heatframe.operators import evaluate as V
 from heatframe.operators import stats as T
 from heatframe.operators.climate import decadal_share
@@ -187,7 +188,37 @@ def _(i: Inputs):
     return round_doubles(_pre_event(i), "median_corr")
 
 
-@query("pre_event_smooth")
+def minor_sum(rows: list[list[str]]) -> str:
+    """SQL determinant, written out."""
+    if len(rows) == 1:
+        return rows[0][0]
+    parts = [f"{'-' if j % 2 else '+'} {cell} * ({minor_sum([x[:j] + x[j + 1:] for x in rows[1:]])})" for j, cell in enumerate(rows[0])]
+    return " ".join(parts).removeprefix("+ ")
+
+
+def cubic_sql() -> str:
+    """Least squares on hours scaled to one unit, by power sums."""
+    matrix = [[f"s{a + b}" for b in range(4)] for a in range(4)]
+    det = minor_sum(matrix)
+    coefficients = [
+        f"({minor_sum([row[:j] + [f't{n}'] + row[j + 1:] for n, row in enumerate(matrix)])}) / ({det}) AS c{j}" for j in range(4)
+    ]
+    powers = ", ".join(f"SUM(pow(z, {n})) AS s{n}" for n in range(7))
+    moments = ", ".join(f"SUM(pow(z, {n}) * m) AS t{n}" for n in range(4))
+    return pre_event_sql().rsplit("SELECT city, variable, CAST(offset_h", 1)[0] + f""",
+    profile AS (SELECT city, variable, CAST(offset_h AS INT) AS "offset", COUNT(*) AS n_events, quantile_cont(c, 0.5) AS m
+                FROM tall GROUP BY 1, 2, 3),
+    scaled AS (SELECT *, CAST(abs("offset") AS INT) AS hours_before, (abs("offset") - AVG(abs("offset")) OVER w)
+                         / greatest(MAX(abs("offset")) OVER w - MIN(abs("offset")) OVER w, 1e-9) AS z
+               FROM profile WINDOW w AS (PARTITION BY city, variable)),
+    sums AS (SELECT city, variable, {powers}, {moments} FROM scaled GROUP BY 1, 2 HAVING COUNT(*) > 3),
+    fit AS (SELECT city, variable, {', '.join(coefficients)} FROM sums)
+    SELECT s.city, s.variable, "offset", n_events, {r('m')} AS median_corr, hours_before,
+           {r('c0 + z * (c1 + z * (c2 + z * c3))')} AS fitted
+    FROM scaled s LEFT JOIN fit f ON f.city = s.city AND f.variable = s.variable"""
+
+
+@query("pre_event_smooth", cubic_sql())
 def _(i: Inputs):
     return round_doubles(P.smooth_profile(_pre_event(i), ["city"]), "median_corr", "fitted")
 
@@ -208,12 +239,36 @@ def _(i: Inputs):
     return placed.withColumn("probability", rd(T.plotting_position(F.col("ordinal"), F.col("n"))))
 
 
-@query("qq_normal")
+def horner(x: str, coefficients: list[float]) -> str:
+    text = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        text = f"({text}) * {x} + {c!r}"
+    return f"({text})"
+
+
+def fraction(x: str, num: list[float], den: list[float]) -> str:
+    return f"{horner(x, [float(c) for c in num])} / {horner(x, [float(c) for c in den])}"
+
+
+QQ_POINTS_SQL = QQ_SQL + f""",
+    p AS (SELECT *, CASE WHEN ordinal = n THEN pow(0.5, 1.0 / n) WHEN ordinal = 1 THEN 1 - pow(0.5, 1.0 / n)
+                    ELSE (ordinal - 0.3175) / (n + 0.365) END AS p FROM o),
+    q AS (SELECT *, p - 0.5 AS q, 0.180625e0 - (p - 0.5) * (p - 0.5) AS c, sqrt(-ln(least(p, 1 - p))) AS t FROM p),
+    z AS (SELECT city, variable, value, ordinal, n, CASE
+              WHEN abs(q) <= 0.425 THEN q * {fraction('c', A.AS241_CENTRE_NUM, A.AS241_CENTRE_DEN)}
+              WHEN t <= 5 THEN sign(q) * {fraction('(t - 1.6e0)', A.AS241_MIDDLE_NUM, A.AS241_MIDDLE_DEN)}
+              ELSE sign(q) * {fraction('(t - 5e0)', A.AS241_TAIL_NUM, A.AS241_TAIL_DEN)} END AS theoretical FROM q)
+    """
+
+
+@query("qq_normal", QQ_POINTS_SQL + f"SELECT city, variable, value, ordinal, n, {r('theoretical')} AS theoretical FROM z")
 def _(i: Inputs):
     return round_doubles(T.qq_normal(i.hourly_obs(), HOURLY, HOURLY_VARS), "theoretical")
 
 
-@query("qq_fit")
+@query("qq_fit", QQ_POINTS_SQL + f"""
+    SELECT city, variable, COUNT(*) AS n, {r('regr_slope(value, theoretical)')} AS slope,
+           {r('regr_intercept(value, theoretical)')} AS intercept, {r('corr(theoretical, value)')} AS r FROM z GROUP BY 1, 2""")
 def _(i: Inputs):
     points = T.qq_normal(i.hourly_obs(), HOURLY, HOURLY_VARS)
     return round_doubles(T.qq_fit(points, ["city", "variable"]), "slope", "intercept", "r")

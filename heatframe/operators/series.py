@@ -37,8 +37,10 @@ class Series:
         return list(self.keys)
 
     def chunk(self) -> Column:
+        """Calendar year of daily rows, month of hourly rows; never NULL (see value_bin)."""
         ts = F.col(self.ts)
-        return F.year(ts) if self.step == "day" else F.year(ts) * 12 + F.month(ts)
+        number = F.year(ts) if self.step == "day" else F.year(ts) * 12 + F.month(ts)
+        return F.coalesce(number, F.lit(0))
 
     def tick(self, ts: Column | None = None) -> Column:
         """Whole steps since 1970 in calendar time, independent of the session zone."""
