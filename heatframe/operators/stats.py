@@ -44,9 +44,8 @@ def trend_test(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def spread_rows(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows spread evenly by a hash of ``by``, with the session's partition count kept
-    even when they are few (they are about to be multiplied or read several times)."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    """Rows spread evenly by a hash of ``by``; how many partitions is left to Spark."""
+    return df.repartition(*by)
 
 
 def rank_columns(df: DataFrame, keys: list[str], ids: list[str], columns: list[str]) -> DataFrame:
