@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,18 +26,11 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read: ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a temporary folder.
-    """
+    """Folder every executor can read: ``spark.checkpoint.dir``, or where it is unset a part of the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="heatframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
