@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatframe.llm.decontamination import find_overlaps
-from heatframe.llm.registry import query, table
+from heatframe.llm.host_rules import judge
+from heatframe.llm.registry import query, scratch, table
 
 
 @query("op4_benchmark_overlap")
@@ -16,3 +17,10 @@ def benchmark_overlap(spark, sf_dir):
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op5_host_rules")
+def host_verdicts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return judge(docs, folder=scratch(spark, "judged")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
