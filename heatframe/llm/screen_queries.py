@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heatframe.llm.decontamination import find_overlaps
 from heatframe.llm.host_rules import judge
 from heatframe.llm.registry import query, scratch, table
+from heatframe.llm.secrets import find_secrets
 
 
 @query("op4_benchmark_overlap")
@@ -24,3 +25,9 @@ def host_verdicts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return judge(docs, folder=scratch(spark, "judged")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_secret_findings")
+def secret_findings(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents"), scratch(spark, "secrets"))
+    return found.withColumn("probability", F.round("probability", 6))
