@@ -17,55 +17,49 @@ MIN_HOST_DOCS = 20
 BROADCAST_HOSTS = 1_000_000
 
 
-def word_statistics(text: str) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text column, null being empty.
-
-    Words are runs of anything but space and \\x09-\\x0D. A line (split at \\n) is a duplicate if it has a word and
-    equals an earlier one. A word is repeated if it lies in a window of three words that the text holds twice or more.
-    """
-    t = f"coalesce({text}, '')"
-    words = f"filter(split({t}, '[ \\\\x09-\\\\x0D]+'), w -> w != '')"
-    lines = f"filter(split({t}, '\\n', -1), s -> s rlike '[^ \\\\x09-\\\\x0D]')"
-    return {
-        "words": F.expr(words),
-        "word_chars": F.expr(f"cast(char_length(regexp_replace({t}, '[ \\\\x09-\\\\x0D]+', '')) as bigint)"),
-        "n_symbols": F.expr(
-            f"cast(char_length({t}) - char_length(translate({t}, '#*$%&|<>', '')) as bigint)"),
-        "n_dup_lines": F.expr(f"transform(array({lines}), s -> cast(size(s) - size(array_distinct(s)) as bigint))[0]"),
-    }
-
-
-def _repeat_words() -> Column:
-    """Words covered by the windows of three that occur twice, from the column ``words``.
-
-    Windows are sorted by hash; neighbours of one hash are the repeated ones. Only texts that have some
-    go on to sort the windows with their places.
-    """
-    return F.expr("""
-      transform(array(transform(sequence(1, greatest(size(words) - 2, 1)),
-                                i -> xxhash64(get(words, i - 1), get(words, i), get(words, i + 1)))), h ->
-        if(size(words) < 4 or size(array_distinct(h)) = size(h), 0L,
-          transform(array(array_sort(transform(h, (x, i) -> struct(x as x, i as i)))), s ->
-            transform(array(array_sort(transform(
-                filter(sequence(0, size(s) - 1), j -> s[j].x = get(s, j - 1).x or s[j].x = get(s, j + 1).x),
-                j -> s[j].i))), p ->
-              cast(aggregate(sequence(0, size(p) - 2 + cast(size(p) < 2 as int)), 3,
-                             (n, j) -> n + least(3, coalesce(get(p, j + 1) - p[j], 0))) as bigint)
-            )[0])[0]))[0]""")
+# Words covered by the windows of three that occur twice in the array ``words``. Windows are sorted by hash; neighbours
+# of one hash are the repeated ones. Only texts that have some go on to sort the windows with their places.
+_REPEAT_WORDS = """
+  transform(array(transform(sequence(1, greatest(size(words) - 2, 1)),
+                            i -> xxhash64(get(words, i - 1), get(words, i), get(words, i + 1)))), h ->
+    if(size(words) < 4 or size(array_distinct(h)) = size(h), 0L,
+      transform(array(array_sort(transform(h, (x, i) -> struct(x as x, i as i)))), s ->
+        transform(array(array_sort(transform(
+            filter(sequence(0, size(s) - 1), j -> s[j].x = get(s, j - 1).x or s[j].x = get(s, j + 1).x),
+            j -> s[j].i))), p ->
+          cast(aggregate(sequence(0, size(p) - 2), 3, (n, j) -> n + least(3, p[j + 1] - p[j])) as bigint))[0])[0]))[0]"""
+
+
+def word_rules(text: str, min_words: int, max_repeat_percent: int) -> Column:
+    """struct<n_words, n_repeat_words, base_failed>. Each array is bound to a name within one expression, so that
+    the optimizer can't repeat it."""
+    words = f"filter(split(coalesce({text}, ''), '[ \\\\x09-\\\\x0D]+'), w -> w != '')"
+    counted = f"struct(cast(size(words) as bigint) as n_words, {_REPEAT_WORDS} as n_repeat_words)"
+    failed = f"c.n_words < {min_words} or 100 * c.n_repeat_words > {max_repeat_percent} * c.n_words"
+    return F.expr(f"""transform(transform(array({words}), words -> {counted}), c ->
+        struct(c.n_words as n_words, c.n_repeat_words as n_repeat_words, {failed} as base_failed))[0]""")
 
 
 def base_rules(docs: DataFrame, text_column: str = "text", min_words: int = MIN_WORDS,
                max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
-    A document fails with fewer than ``min_words`` words, or if more than ``max_repeat_percent`` of a hundred of its
-    words are repeated. A null text has no words and fails.
+    Words are runs of anything but space and \\x09-\\x0D; null is empty. A line (split at \\n) is a duplicate if it has a
+    word and equals an earlier one. A word is repeated if it lies in a window of three words that the text holds twice or
+    more. A document fails with fewer than ``min_words`` words, or if more than ``max_repeat_percent`` of a hundred of its
+    words are repeated; a null text has none and fails.
     """
-    columns = word_statistics(f"`{text_column}`")
-    counted = docs.withColumns(columns).withColumn("n_words", F.size("words").cast("long"))
-    counted = counted.withColumn("n_repeat_words", _repeat_words()).drop("words")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    text = f"`{text_column}`"
+    t = f"coalesce({text}, '')"
+    lines = f"filter(split({t}, '\\n', -1), s -> s rlike '[^ \\\\x09-\\\\x0D]')"
+    judged = docs.withColumns({
+        "word_chars": F.expr(f"cast(char_length(regexp_replace({t}, '[ \\\\x09-\\\\x0D]+', '')) as bigint)"),
+        "n_symbols": F.expr(f"cast(char_length({t}) - char_length(translate({t}, '#*$%&|<>', '')) as bigint)"),
+        "n_dup_lines": F.expr(
+            f"transform(array({lines}), s -> cast(size(s) - size(array_distinct(s)) as bigint))[0]"),
+        "_rules": word_rules(text, min_words, max_repeat_percent),
+    })
+    return judged.withColumns({c: F.col(f"_rules.{c}") for c in ("n_words", "n_repeat_words", "base_failed")}).drop("_rules")
 
 
 def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
