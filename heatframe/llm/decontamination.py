@@ -159,12 +159,30 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     return docs
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and kept_words: the words of every document without those inside benchmark windows, joined by a space."""
-    found = find_overlaps(docs, benchmark, window)
-    words = docs.select(F.col("doc_id").cast("long"), F.expr(
-        r"filter(split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
-        r" '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w != '')").alias("words"))
-    joined = words.join(found, "doc_id", "left")
-    return joined.select("doc_id", F.expr(
-        "array_join(filter(words, (w, i) -> not exists(spans, s -> i >= s[0] and i < s[1])), ' ')").alias("kept_words"))
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id",
+                 text_column: str = "text") -> DataFrame:
+    """doc_id and kept: every text, lower-cased A-Z, without the runs of words inside benchmark windows."""
+    part = _parts(benchmark, 1 << 62, "item_id", "text")[0]
+    if (benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) > PASS_BYTES:
+        raise ValueError("the benchmark is larger than one broadcast: use find_overlaps and its spans")
+    shared = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], window))
+    schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string())])
+
+    def cut(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in incoming:
+                ids = b.column(0).to_pylist()
+                for lot in lots(b.column(1), NOT_ALNUM, LOWERED):
+                    hits, items = _hits(lot, shared.value)
+                    for k in range(lot.rows.stop - lot.rows.start):
+                        a, z = int(lot.bounds[k]), int(lot.bounds[k + 1])
+                        text = lot.data[lot.texts[k]:lot.texts[k + 1]].tobytes()
+                        for s, e in reversed(_spans(hits[a:z]) if k in items else []):
+                            first, last = (int(lot.starts[a + s] - lot.texts[k]), int(lot.ends[a + e - 1] - lot.texts[k]))
+                            text = text[:first] + text[last:]
+                        yield ids[lot.rows.start + k], text.decode()
+
+        yield from files.batches(rows(), schema, lambda r: len(r[1]))
+
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return chosen.mapInArrow(cut, "doc_id long, kept string")

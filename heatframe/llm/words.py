@@ -17,7 +17,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 LOT_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
-_PRINTED = _BYTES > 0x20
 #: Separators: white space, or every ASCII character that is neither a digit nor a lower-case letter.
 WHITE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
 NOT_ALNUM = (_BYTES <= 0x2F) | ((_BYTES >= 0x3A) & (_BYTES <= 0x60)) | ((_BYTES >= 0x7B) & (_BYTES <= 0x7F))
@@ -50,8 +49,6 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + LOT_BYTES)))
         s, e = starts[at:to], ends[at:to]
-        total = np.zeros(len(s), "u8")
-        # words longer than the table of powers go by steps of its length, from their end
         longest = int((e - s).max())
         powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
         lo, hi = int(s[0]), int(e[-1])
@@ -68,7 +65,7 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 @dataclass
 class Lot:
-    """Words of some texts: hashes, byte places within the text column's data, and the first word of every text."""
+    """Words of some texts: hashes, byte places in ``data``, the first word and the first byte of every text."""
 
     rows: slice
     data: np.ndarray
@@ -76,6 +73,7 @@ class Lot:
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
+    texts: np.ndarray
 
     def of(self, k: int) -> np.ndarray:
         return self.hashes[self.bounds[k]:self.bounds[k + 1]]
@@ -110,7 +108,7 @@ def lots(column: pa.Array, separators: np.ndarray, letters: np.ndarray = AS_IS,
         begins[edges] = inside[edges]
         ends[edges - 1] = inside[edges - 1]
         starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        yield Lot(slice(row, to), data, _hashes(data, starts, stops), starts, stops, np.searchsorted(starts, texts))
+        yield Lot(slice(row, to), data, _hashes(data, starts, stops), starts, stops, np.searchsorted(starts, texts), texts)
         row = to
 
 
@@ -123,11 +121,3 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total = total * BASE + words[k:k + count]
     return mix(total + np.uint64(n))
-
-
-def within_texts(bounds: np.ndarray, n: int, count: int) -> np.ndarray:
-    """Which of the windows over all words of a lot lie in one text."""
-    whole = np.ones(count, bool)
-    for cut in bounds[1:-1]:
-        whole[max(0, cut - n + 1):cut] = False
-    return whole
