@@ -29,11 +29,8 @@ MAGIC = b"PLN1"
 BLOCK_IDS = 1 << 18
 LEVEL = 3
 SHARDS = "path string, doc_ids_from long, n_docs long, n_ids long, n_bytes long"
-DOCUMENTS = "path string, doc_no long, doc_id long, start long, n_tokens long, ids binary"
-DOCUMENT_BATCH = pa.schema([
-    ("path", pa.string()), ("doc_no", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
-    ("n_tokens", pa.int64()), ("ids", pa.binary()),
-])
+DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
+DOCUMENT_BATCH = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def to_planes(ids: np.ndarray, plane: str) -> list[bytes]:
@@ -187,11 +184,11 @@ def read_planes(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for (path,) in files.rows_of(incoming):
+            for path, base in files.rows_of(incoming):
                 with files.open_file(path) as source:
                     shard, start = ShardReader(source), 0
-                    for k, (doc_id, length) in enumerate(zip(shard.doc_ids, map(int, shard.lengths))):
-                        yield path, k, doc_id, start, length, shard.ids(start, length)
+                    for doc_id, length in zip(shard.doc_ids, map(int, shard.lengths)):
+                        yield doc_id, base + start, length, shard.ids(start, length)
                         start += length
 
         yield from files.batches(rows(), DOCUMENT_BATCH, lambda r: len(r[-1]))
@@ -200,10 +197,6 @@ def read_planes(spark: SparkSession, folder: str) -> DataFrame:
     # one row per shard
     before = F.coalesce(F.sum("n_ids").over(
         Window.orderBy(F.col("doc_ids_from").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = shards.select("path", before.alias("base"))
     # more partitions than shards, or hashing would put several shards into one task
-    tasks = shards.select("path").repartition(2 * max(1, shards.count()), "path")
-    return (
-        tasks.mapInArrow(read, DOCUMENTS).join(bases, "path")
-        .select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
-    )
+    tasks = shards.select("path", before.alias("base")).repartition(2 * max(1, shards.count()), "path")
+    return tasks.mapInArrow(read, DOCUMENTS)
