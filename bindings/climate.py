@@ -75,11 +75,12 @@ def _(i: Inputs):
 
 
 @query("percentile_exceedance", """
-    SELECT d.station_id, CAST(year(obs_date) AS INT) AS year, COUNT(*) AS n_days
-    FROM daily_obs d JOIN (SELECT station_id, quantile_cont(tx, 0.9) AS p90 FROM daily_obs
+    SELECT d.station_id, CAST(year(obs_date) AS INT) AS year,
+           CAST(coalesce(SUM(CASE WHEN month(obs_date) IN (6, 7, 8) AND tx >= p90 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_days
+    FROM daily_obs d LEFT JOIN (SELECT station_id, quantile_cont(tx, 0.9) AS p90 FROM daily_obs
                            WHERE year(obs_date) BETWEEN 1995 AND 1998 AND month(obs_date) IN (6, 7, 8) GROUP BY 1) p
          ON p.station_id = d.station_id
-    WHERE month(obs_date) IN (6, 7, 8) AND tx >= p90 GROUP BY 1, 2""")
+    GROUP BY 1, 2""")
 def _(i: Inputs):
     return C.percentile_exceedance(i.daily_obs(), "station_id", "obs_date", "tx", 0.9, (1995, 1998), [6, 7, 8])
 
@@ -95,13 +96,15 @@ def _(i: Inputs):
 
 
 @query("resample_daily_max", """
-    WITH d AS (SELECT city, CAST(ts AS DATE) AS obs_date, MAX(temperature_2m) AS daily_max FROM hourly_sparse
-               WHERE hour(ts) <> 5 AND day(ts) NOT IN (7, 19) GROUP BY 1, 2),
+    WITH d AS (SELECT city, CAST(ts AS DATE) AS obs_date,
+                      MAX(CASE WHEN day(ts) NOT IN (7, 19) THEN temperature_2m END) AS daily_max FROM hourly_sparse
+               GROUP BY 1, 2),
     c AS (SELECT city, CAST(unnest(generate_series(MIN(obs_date), MAX(obs_date), INTERVAL 1 DAY)) AS DATE) AS obs_date
           FROM d GROUP BY city)
     SELECT c.city, c.obs_date, d.daily_max FROM c LEFT JOIN d ON d.city = c.city AND d.obs_date = c.obs_date""")
 def _(i: Inputs):
-    sparse = i.hourly_sparse().where((F.hour("ts") != 5) & ~F.dayofmonth("ts").isin(7, 19))
+    gaps = F.when(~F.dayofmonth("ts").isin(7, 19), F.col("temperature_2m"))
+    sparse = i.hourly_sparse().withColumn("temperature_2m", gaps)
     return resample_daily_max(sparse, HOURLY, "temperature_2m")
 
 
@@ -137,12 +140,23 @@ def _(i: Inputs):
     WITH e AS (SELECT city, MIN(tx) AS lo, MAX(tx) AS hi FROM station_daily GROUP BY city),
     b AS (SELECT d.city, lo, hi, CAST(least(floor((tx - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin
           FROM station_daily d JOIN e ON e.city = d.city)
-    SELECT city, bin, {r('lo + bin * ((hi - lo) / 30)')} AS low, {r('lo + (bin + 1) * ((hi - lo) / 30)')} AS high,
-           COUNT(*) AS n FROM b GROUP BY city, bin, lo, hi""")
+    SELECT e.city, g.bin, {r('lo + g.bin * ((hi - lo) / 30)')} AS low, {r('lo + (g.bin + 1) * ((hi - lo) / 30)')} AS high,
+           COUNT(b.bin) AS n FROM (SELECT *, CAST(unnest(range(30)) AS INT) AS bin FROM e) g JOIN e USING (city, lo, hi)
+    LEFT JOIN (SELECT city, bin FROM b) b ON b.city = e.city AND b.bin = g.bin GROUP BY e.city, g.bin, lo, hi""")
 def _(i: Inputs):
     return round_doubles(C.histogram(i.station_daily(), ["city"], "tx"), "low", "high")
 
 
+@query("histogram_all", f"""
+    WITH e AS (SELECT MIN(tx) AS lo, MAX(tx) AS hi FROM daily_obs),
+    b AS (SELECT CAST(least(floor((tx - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin FROM daily_obs, e)
+    SELECT g.bin, {r('lo + g.bin * ((hi - lo) / 30)')} AS low, {r('lo + (g.bin + 1) * ((hi - lo) / 30)')} AS high,
+           COUNT(b.bin) AS n FROM (SELECT *, CAST(unnest(range(30)) AS INT) AS bin FROM e) g LEFT JOIN b ON b.bin = g.bin
+    GROUP BY g.bin, lo, hi""")
+def _(i: Inputs):
+    return round_doubles(C.histogram(i.daily_obs(), [], "tx"), "low", "high")
+
+
 @query("histogram_centre", f"""
     SELECT city, {r('AVG(tx)')} AS mean, {r('quantile_cont(tx, 0.5)')} AS median FROM station_daily GROUP BY city""")
 def _(i: Inputs):

@@ -114,8 +114,8 @@ def matrix(i: Inputs):
 MATRIX_COLUMNS = [
     "temperature_2m", "pressure_msl", "wind_speed_10m", "t_850hPa", "v_850hPa", "t_500hPa", "soil_moisture",
     "temperature_2m_zscore", "pressure_msl_zscore", "t_850hPa_zscore", "hour_sin", "hour_cos", "doy_sin", "doy_cos",
-    "heat_aridity_index", "soil_heat_interaction", "lag_t850_72h", "lag_press_48h", "lag_v850_72h", "lag_t500_72h",
-    "lag_t500_48h", "delta_press_24h", "delta_hum_24h", "v850_smooth_6h", "t850_48h_mean",
+    "heat_aridity_index", "lag_t850_72h", "lag_press_48h", "lag_v850_72h", "lag_t500_72h",
+    "lag_t500_48h", "delta_press_24h", "delta_hum_24h", "v850_smooth_6h",
 ]
 FLOATS = ", ".join(r(f'"{c}"') + f' AS "{c}"' for c in MATRIX_COLUMNS)
 ONE_HOT = ", ".join(f"CAST(city = '{c}' AS INT) AS city_{c}" for c in CITIES)
@@ -127,21 +127,16 @@ HAVE = " AND ".join(f'"{c}" IS NOT NULL' for c in [*MATRIX_COLUMNS, "relative_hu
         sin(2 * pi() * hour(h.ts) / 24) AS hour_sin, cos(2 * pi() * hour(h.ts) / 24) AS hour_cos,
         sin(2 * pi() * dayofyear(h.ts) / 365) AS doy_sin, cos(2 * pi() * dayofyear(h.ts) / 365) AS doy_cos,
         "t_850hPa" - 273.15 - relative_humidity_2m AS heat_aridity_index,
-        "t_850hPa" / (soil_moisture + 0.001) AS soil_heat_interaction,
         LAG("t_850hPa", 72) OVER p AS lag_t850_72h, LAG(pressure_msl, 48) OVER p AS lag_press_48h,
         LAG("v_850hPa", 72) OVER p AS lag_v850_72h, LAG("t_500hPa", 72) OVER p AS lag_t500_72h,
         LAG("t_500hPa", 48) OVER p AS lag_t500_48h, pressure_msl - LAG(pressure_msl, 24) OVER p AS delta_press_24h,
         relative_humidity_2m - LAG(relative_humidity_2m, 24) OVER p AS delta_hum_24h,
-        CASE WHEN COUNT("v_850hPa") OVER p6 >= 6 THEN AVG("v_850hPa") OVER p6 END AS v850_smooth_6h,
-        CASE WHEN COUNT("t_850hPa") OVER p48 >= 48 THEN AVG("t_850hPa") OVER p48 END AS t850_48h_mean
+        CASE WHEN COUNT("v_850hPa") OVER p6 >= 6 THEN AVG("v_850hPa") OVER p6 END AS v850_smooth_6h
       FROM hourly_obs h LEFT JOIN clim c ON c.city = h.city AND c.hour = hour(h.ts)
       WINDOW p AS (PARTITION BY h.city ORDER BY h.ts),
-             p6 AS (PARTITION BY h.city ORDER BY h.ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW),
-             p48 AS (PARTITION BY h.city ORDER BY h.ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)),
+             p6 AS (PARTITION BY h.city ORDER BY h.ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
     m AS (SELECT w.*, l.y FROM w JOIN labelled l ON l.city = w.city AND l.ts = w.ts)
     SELECT city, ts, relative_humidity_2m, y, {FLOATS}, {ONE_HOT},
-           CAST(coalesce(round(v850_smooth_6h, 9) < 0, false) AS INT) AS veto_north_wind,
-           CAST(coalesce(round(delta_press_24h, 9) < -5, false) AS INT) AS veto_pressure_drop,
            ts < TIMESTAMP '2024-01-21 00:00:00' AS is_train
     FROM m WHERE {HAVE}""")
 def _(i: Inputs):

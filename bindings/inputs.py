@@ -21,7 +21,7 @@ HOURLY_VARS = [
     "temperature_2m", "pressure_msl", "relative_humidity_2m", "wind_speed_10m",
     "t_850hPa", "v_850hPa", "t_500hPa", "soil_moisture",
 ]
-SPAN = ("2024-01-01 00:00:00", "2024-01-30 23:00:00")
+USERS_PER_CITY = 150  # more users make more cities, so hours grow with the scale
 
 CTES = {
     "daily_obs": """
@@ -40,7 +40,8 @@ CTES = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
              JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
     "hourly_sparse": """
-        SELECT event_type AS city, date_trunc('hour', ts) AS ts, MAX(value) AS temperature_2m,
+        SELECT CASE WHEN user_id < 150 THEN event_type ELSE event_type || '_' || (user_id // 150) END AS city,
+               date_trunc('hour', ts) AS ts, MAX(value) AS temperature_2m,
                round(AVG(value) + 1.3e-8, 6) AS pressure_msl,
                MAX(CAST(json_extract_string(props, '$.k') AS INT)) AS relative_humidity_2m,
                COUNT(*) AS wind_speed_10m, round(273.15 + MIN(value) / 10, 3) AS "t_850hPa",
@@ -49,11 +50,14 @@ CTES = {
                MIN(CAST(json_extract_string(props, '$.k') AS INT)) / 100.0 AS soil_moisture
         FROM events GROUP BY 1, 2""",
     "hourly_obs": """
-        SELECT c.city, g.ts, h.* EXCLUDE (city, ts)
-        FROM (SELECT DISTINCT city FROM hourly_sparse) c
-        CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00',
-                                  TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts) g
-        LEFT JOIN hourly_sparse h ON h.city = c.city AND h.ts = g.ts""",
+        SELECT g.city, g.ts, h.* EXCLUDE (city, ts)
+        FROM (SELECT city, unnest(generate_series(MIN(ts), MAX(ts), INTERVAL 1 HOUR)) AS ts FROM hourly_sparse GROUP BY city) g
+        LEFT JOIN hourly_sparse h ON h.city = g.city AND h.ts = g.ts""",
+    "hourly_gaps": """
+        SELECT * REPLACE (CASE WHEN hour(ts) % 7 <> 3 THEN soil_moisture END AS soil_moisture,
+                          CASE WHEN day(ts) % 5 <> 2 THEN "t_500hPa" END AS "t_500hPa",
+                          CASE WHEN hour(ts) % 4 <> 1 THEN relative_humidity_2m END AS relative_humidity_2m)
+        FROM hourly_obs""",
     "scored": """
         SELECT l.doc_id, d.lang AS city, l.quality AS y,
                round(((l.doc_id * 7919) % 1000) / 1000.0 * 0.6 + l.quality * 0.3, 6) AS prob,
@@ -142,9 +146,11 @@ class Inputs:
     def hourly_sparse(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
         signed = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(-F.col("value"))
+        bucket = F.floor(F.col("user_id") / USERS_PER_CITY).cast("string")
+        city = F.when(F.col("user_id") < USERS_PER_CITY, F.col("event_type")).otherwise(F.concat_ws("_", "event_type", bucket))
         return (
             self.table("events")
-            .groupBy(F.col("event_type").alias("city"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
+            .groupBy(city.alias("city"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
             .agg(
                 F.max("value").alias("temperature_2m"),
                 F.round(F.avg("value") + 1.3e-8, 6).alias("pressure_msl"),
@@ -158,7 +164,16 @@ class Inputs:
         )
 
     def hourly_obs(self) -> DataFrame:
-        return densify(self.hourly_sparse(), HOURLY, *SPAN)
+        return densify(self.hourly_sparse(), HOURLY)
+
+    def hourly_gaps(self) -> DataFrame:
+        """The hours with variables that are missing at different times."""
+        ts = F.col("ts")
+        kept = {
+            "soil_moisture": F.hour(ts) % 7 != 3, "t_500hPa": F.dayofmonth(ts) % 5 != 2,
+            "relative_humidity_2m": F.hour(ts) % 4 != 1,
+        }
+        return self.hourly_obs().withColumns({c: F.when(there, F.col(c)) for c, there in kept.items()})
 
     def scored(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", "lang", "n_chars")

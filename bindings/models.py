@@ -14,7 +14,11 @@ from heatframe.session import new_path
 
 WIND = ["wind_mean", "wind_gust", "doy_sin", "doy_cos"]
 FEATURES = [c for c in MATRIX_COLUMNS if c != "temperature_2m"] + [f"city_{c}" for c in CITIES]
-SMALL = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}
+# The search query's own parameters: trials, folds and ranges of a short search over the same five settings.
+TRIALS, FOLDS = 2, 2
+RANGES = {
+    "maxIter": (5, 10), "stepSize": (0.01, 0.15), "maxDepth": (2, 4), "minInstancesPerNode": (5, 30), "subsamplingRate": (0.6, 1.0),
+}
 
 
 def wind_table(i: Inputs):
@@ -28,7 +32,7 @@ def wind_table(i: Inputs):
 
 def fitted_regression(i: Inputs):
     table = wind_table(i)
-    return M.regression_pipeline(WIND, "tx", **SMALL).fit(table.where("is_train")), table.where(~F.col("is_train"))
+    return M.regression_pipeline(WIND, "tx").fit(table.where("is_train")), table.where(~F.col("is_train"))
 
 
 @query("gbt_regression_metrics")
@@ -46,9 +50,8 @@ def _(i: Inputs):
 
 @query("tune_regression")
 def _(i: Inputs):
-    ranges = {"maxIter": (5, 10), "stepSize": (0.01, 0.15), "maxDepth": (2, 4), "subsamplingRate": (0.6, 1.0)}
     train = wind_table(i).where("is_train")
-    _, table = M.tune_regression(train, WIND, "tx", trials=2, folds=2, ranges=ranges)
+    _, table = M.tune_regression(train, WIND, "tx", trials=TRIALS, folds=FOLDS, ranges=RANGES)
     return table.select("trial", rd("mae").alias("mae"), F.to_json("parameters").alias("parameters"))
 
 
@@ -58,7 +61,7 @@ def hourly_rows(i: Inputs):
 
 def fitted_classifier(i: Inputs):
     rows = hourly_rows(i)
-    model = M.fit_classifier(rows.where("is_train"), FEATURES, "y", "row_key", **SMALL)
+    model = M.fit_classifier(rows.where("is_train"), FEATURES, "y", "row_key")
     return model, rows.where(~F.col("is_train"))
 
 

@@ -215,24 +215,25 @@ def _(i: Inputs):
 
 
 @query("availability_by_year", f"""
-    WITH y AS (SELECT station_id, CAST(year(obs_date) AS INT) AS year, COUNT(wind_gust) * 100.0 / COUNT(*) AS pct
-               FROM daily_obs WHERE year(obs_date) NOT IN (1997, 1999) GROUP BY 1, 2),
+    WITH y AS (SELECT station_id, CAST(year(obs_date) AS INT) AS year,
+                      COUNT(CASE WHEN year(obs_date) NOT IN (1997, 1999) THEN wind_gust END) * 100.0 / COUNT(*) AS pct
+               FROM daily_obs GROUP BY 1, 2),
     s AS (SELECT station_id, CAST(unnest(generate_series(MIN(year), MAX(year))) AS INT) AS year FROM y GROUP BY 1)
     SELECT s.station_id, s.year, {r('pct')} AS availability_pct
     FROM s LEFT JOIN y ON y.station_id = s.station_id AND y.year = s.year""")
 def _(i: Inputs):
-    daily = i.daily_obs().where(~F.year("obs_date").isin(1997, 1999))
+    daily = i.daily_obs().withColumn("wind_gust", F.when(~F.year("obs_date").isin(1997, 1999), F.col("wind_gust")))
     return round_doubles(Q.availability_by_year(daily, ["station_id"], "obs_date", "wind_gust"), "availability_pct")
 
 
 @query("missing_years", f"""
     SELECT city, CAST(year(obs_date) AS INT) AS year, COUNT(wind_gust) AS n_available, COUNT(*) AS n_days,
-           {r('100 - COUNT(wind_gust) * 100.0 / COUNT(*)')} AS missing_pct
-    FROM station_daily WHERE month(obs_date) IN (6, 7, 8) GROUP BY 1, 2
-    HAVING 100 - COUNT(wind_gust) * 100.0 / COUNT(*) > 10""")
+           {r('100 - COUNT(wind_gust) * 100.0 / COUNT(*)')} AS missing_pct,
+           100 - COUNT(wind_gust) * 100.0 / COUNT(*) > 10 AS affected
+    FROM station_daily WHERE month(obs_date) IN (6, 7, 8) GROUP BY 1, 2""")
 def _(i: Inputs):
     out = Q.missing_years(i.station_daily(), ["city"], "obs_date", "wind_gust", [6, 7, 8])
-    return round_doubles(out.where("affected").drop("affected"), "missing_pct")
+    return round_doubles(out, "missing_pct")
 
 
 STAT_SQL = ", ".join(

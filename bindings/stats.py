@@ -15,7 +15,6 @@ from heatframe.operators.climate import decadal_share
 from heatframe.plans import precursor as P
 
 VALUES = ", ".join(f'CAST("{v}" AS DOUBLE) AS "{v}"' for v in HOURLY_VARS)
-COMPLETE = " AND ".join(f'"{v}" IS NOT NULL' for v in HOURLY_VARS)
 
 
 def rank_sql(column: str, by: str) -> str:
@@ -33,14 +32,19 @@ def nan_null(expr: str) -> str:
     WITH s AS (SELECT station_id, CAST(year(obs_date) AS INT) AS year, SUM(CASE WHEN tx > 35 THEN 1 ELSE 0 END) * 1.0 / COUNT(*) AS share
                FROM daily_obs GROUP BY 1, 2),
     k AS (SELECT station_id, {rank_sql('year', 'station_id')} AS a, {rank_sql('round(share, 9)', 'station_id')} AS b FROM s),
-    c AS (SELECT station_id, COUNT(*) AS n, {nan_null('corr(a, b)')} AS rho FROM k GROUP BY 1)
-    SELECT station_id, n, {r('rho')} AS rho, {r('rho * sqrt((n - 2) / nullif(1 - rho * rho, 0))', 5)} AS t FROM c""")
+    c AS (SELECT station_id, COUNT(*) AS n, {nan_null('corr(a, b)')} AS rho FROM k GROUP BY 1),
+    d AS (SELECT *, rho * sqrt((n - 2) / nullif(1 - rho * rho, 0)) AS t, atan(abs(rho) / nullif(sqrt(1 - rho * rho), 0)) AS th FROM c)
+    SELECT station_id, n, {r('rho')} AS rho, {r('t', 5)} AS t,
+           {r("""CASE WHEN abs(rho) >= 1 THEN 0 WHEN n = 3 THEN 1 - 2 * th / pi()
+                 WHEN n = 4 THEN 1 - sin(th) WHEN n = 5 THEN 1 - 2 / pi() * (th + sin(th) * cos(th))
+                 WHEN n = 6 THEN 1 - sin(th) * (1 + pow(cos(th), 2) / 2)
+                 WHEN n = 7 THEN 1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0 / 3 * pow(cos(th), 3))) END""")} AS p_value FROM d""")
 def _(i: Inputs):
     share = i.daily_obs().groupBy("station_id", F.year("obs_date").alias("year")).agg(
         F.round(F.avg((F.col("tx") > 35).cast("double")), 9).alias("share")
     )
-    out = T.trend_test(share, ["station_id"], "year", "share").drop("p_value")
-    return out.select("station_id", "n", rd("rho").alias("rho"), rd("t", 5).alias("t"))
+    out = T.trend_test(share, ["station_id"], "year", "share")
+    return out.select("station_id", "n", rd("rho").alias("rho"), rd("t", 5).alias("t"), rd("p_value").alias("p_value"))
 
 
 @query("spearman_decades", f"""
@@ -53,26 +57,30 @@ def _(i: Inputs):
     return round_doubles(T.spearman_by(share, ["city"], "decade", "share_extreme"), "rho")
 
 
+def pair_sql(a: str, b: str, by: str, source: str) -> str:
+    """Spearman correlation of one pair over its own complete rows; ``by`` may be empty."""
+    key = f"{by}, " if by else ""
+    return f"""SELECT {key}{nan_null('corr(a, b)')} AS rho FROM (
+        SELECT {key}{rank_sql('a', by)} AS a, {rank_sql('b', by)} AS b
+        FROM (SELECT {key}CAST("{a}" AS DOUBLE) AS a, CAST("{b}" AS DOUBLE) AS b FROM {source}
+              WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL)) {f'GROUP BY {by}' if by else ''}"""
+
+
 def matrix_sql(by: str) -> str:
-    ranks = ", ".join(rank_sql(f'"{v}"', by) + f' AS "{v}"' for v in HOURLY_VARS)
     key = f"{by}, " if by else ""
     pairs = [(a, b) for n, a in enumerate(HOURLY_VARS) for b in HOURLY_VARS[n:]]
-    corr = [nan_null(f'corr("{a}", "{b}")') for a, b in pairs]
     cells = " UNION ALL ".join(
-        f"SELECT {key}'{a}' AS var_a, '{b}' AS var_b, {c} AS rho FROM k {f'GROUP BY {by}' if by else ''}"
-        for (a, b), c in zip(pairs, corr)
+        f"SELECT {key}'{a}' AS var_a, '{b}' AS var_b, rho FROM ({pair_sql(a, b, by, 'hourly_gaps')})" for a, b in pairs
     )
     return f"""
-    WITH c AS (SELECT city, {VALUES} FROM hourly_obs WHERE {COMPLETE}),
-    k AS (SELECT {key}{ranks} FROM c),
-    upper_cells AS ({cells}),
+    WITH upper_cells AS ({cells}),
     cells AS (SELECT * FROM upper_cells UNION ALL
               SELECT {key}var_b AS var_a, var_a AS var_b, rho FROM upper_cells WHERE var_a <> var_b)
     """
 
 
 def _matrix(i: Inputs):
-    return T.spearman_matrix(i.hourly_obs(), ["city"], ["ts"], HOURLY_VARS)
+    return T.spearman_matrix(i.hourly_gaps(), ["city"], ["ts"], HOURLY_VARS)
 
 
 @query("spearman_matrix", matrix_sql("city") + f"SELECT city, var_a, var_b, {r('rho')} AS rho FROM upper_cells")
@@ -82,7 +90,7 @@ def _(i: Inputs):
 
 @query("spearman_pooled", matrix_sql("") + f"SELECT var_a, var_b, {r('rho')} AS rho FROM upper_cells")
 def _(i: Inputs):
-    return round_doubles(T.spearman_pooled(i.hourly_obs(), ["city", "ts"], HOURLY_VARS), "rho")
+    return round_doubles(T.spearman_pooled(i.hourly_gaps(), ["city", "ts"], HOURLY_VARS), "rho")
 
 
 @query("corr_strength_rank", matrix_sql("city") + f"""
@@ -109,26 +117,22 @@ def countdown_sql() -> str:
     leads = ", ".join(
         f"LEAD(temperature_2m, {k}) OVER (PARTITION BY city ORDER BY ts) - temperature_2m AS jump_{k}" for k in LAGS
     )
-    names = HOURLY_VARS + [f"jump_{k}" for k in LAGS]
-    complete = " AND ".join(f'"{v}" IS NOT NULL' for v in names)
-    ranks = ", ".join(rank_sql(f'"{v}"', "city") + f' AS "{v}"' for v in names)
     cells = " UNION ALL ".join(
-        f"""SELECT city, '{v}' AS feature, {k} AS lag, {r(nan_null(f'corr("{v}", jump_{k})'))} AS rho FROM k GROUP BY city"""
+        f"SELECT city, '{v}' AS feature, {k} AS lag, {r('rho')} AS rho FROM ({pair_sql(v, f'jump_{k}', 'city', 'j')})"
         for v in HOURLY_VARS for k in LAGS
     )
-    return f"""WITH j AS (SELECT *, {leads} FROM hourly_obs), c AS (SELECT * FROM j WHERE {complete}),
-        k AS (SELECT city, {ranks} FROM c) {cells}"""
+    return f"WITH j AS (SELECT *, {leads} FROM hourly_gaps) {cells}"
 
 
 @query("countdown_corr", countdown_sql())
 def _(i: Inputs):
-    return round_doubles(T.countdown_corr(i.hourly_obs(), HOURLY, "temperature_2m", HOURLY_VARS, LAGS), "rho")
+    return round_doubles(T.countdown_corr(i.hourly_gaps(), HOURLY, "temperature_2m", HOURLY_VARS, LAGS), "rho")
 
 
 PROFILE_SQL = f"""
     WITH lags AS (SELECT CAST(unnest(range(1, 73)) AS INT) AS lag),
-    p AS (SELECT h.city, lag, round(f.temperature_2m - h.temperature_2m, 9) AS jump, h.* EXCLUDE (city, ts)
-          FROM hourly_obs h, lags JOIN hourly_obs f ON f.city = h.city AND f.ts = h.ts + to_hours(CAST(lag AS BIGINT))),
+    p AS (SELECT h.city, lag, f.temperature_2m - h.temperature_2m AS jump, h.* EXCLUDE (city, ts)
+          FROM hourly_gaps h, lags JOIN hourly_gaps f ON f.city = h.city AND f.ts = h.ts + to_hours(CAST(lag AS BIGINT))),
     tall AS (UNPIVOT (SELECT city, lag, jump, {VALUES} FROM p WHERE jump IS NOT NULL)
              ON {', '.join(f'"{v}"' for v in HOURLY_VARS)} INTO NAME feature VALUE x),
     k AS (SELECT city, feature, lag, {rank_sql('x', 'city, feature, lag')} AS a, {rank_sql('jump', 'city, feature, lag')} AS b
@@ -137,8 +141,8 @@ PROFILE_SQL = f"""
     """
 
 
-def _profile(i: Inputs, pairwise: bool = False):
-    return T.lag_profile(i.hourly_obs(), HOURLY, "temperature_2m", HOURLY_VARS, 72, pairwise=pairwise)
+def _profile(i: Inputs):
+    return T.lag_profile(i.hourly_gaps(), HOURLY, "temperature_2m", HOURLY_VARS, 72)
 
 
 @query("lag_profile", PROFILE_SQL + f"SELECT city, feature, lag, {r('rho')} AS rho FROM profile")
@@ -172,9 +176,13 @@ def pre_event_sql() -> str:
     return EVENT_WINDOW_SQL + f""",
     rolled AS (SELECT city, offset_h, COUNT(*) OVER (PARTITION BY city, start_date) AS n_rows, {columns} FROM win),
     tall AS (UNPIVOT (SELECT * EXCLUDE (n_rows) FROM rolled WHERE n_rows >= 12)
-             ON {', '.join(f'"{o}"' for o in OTHERS)} INTO NAME variable VALUE c)
-    SELECT city, variable, CAST(offset_h AS INT) AS "offset", COUNT(*) AS n_events, {r('quantile_cont(c, 0.5)')} AS median_corr
-    FROM tall GROUP BY 1, 2, 3"""
+             ON {', '.join(f'"{o}"' for o in OTHERS)} INTO NAME variable VALUE c),
+    every AS (SELECT city, variable, CAST(unnest(range(-72, 0)) AS INT) AS offset_h FROM (
+              SELECT DISTINCT city, unnest([{', '.join(f"'{o}'" for o in OTHERS)}]) AS variable FROM ev)),
+    profile AS (SELECT e.city, e.variable, e.offset_h AS "offset", COUNT(c) AS n_events, quantile_cont(c, 0.5) AS m
+                FROM every e LEFT JOIN tall t ON t.city = e.city AND t.variable = e.variable AND t.offset_h = e.offset_h
+                GROUP BY 1, 2, 3)
+    SELECT city, variable, "offset", n_events, {r('m')} AS median_corr FROM profile"""
 
 
 def _pre_event(i: Inputs):
@@ -205,13 +213,12 @@ def cubic_sql() -> str:
     ]
     powers = ", ".join(f"SUM(pow(z, {n})) AS s{n}" for n in range(7))
     moments = ", ".join(f"SUM(pow(z, {n}) * m) AS t{n}" for n in range(4))
-    return pre_event_sql().rsplit("SELECT city, variable, CAST(offset_h", 1)[0] + f""",
-    profile AS (SELECT city, variable, CAST(offset_h AS INT) AS "offset", COUNT(*) AS n_events, quantile_cont(c, 0.5) AS m
-                FROM tall GROUP BY 1, 2, 3),
-    scaled AS (SELECT *, CAST(abs("offset") AS INT) AS hours_before, (abs("offset") - AVG(abs("offset")) OVER w)
-                         / greatest(MAX(abs("offset")) OVER w - MIN(abs("offset")) OVER w, 1e-9) AS z
-               FROM profile WINDOW w AS (PARTITION BY city, variable)),
-    sums AS (SELECT city, variable, {powers}, {moments} FROM scaled GROUP BY 1, 2 HAVING COUNT(*) > 3),
+    return pre_event_sql().rsplit("SELECT city, variable, \"offset\", n_events", 1)[0] + f""",
+    known AS (SELECT *, CASE WHEN m IS NOT NULL THEN abs("offset") END AS h FROM profile),
+    scaled AS (SELECT *, CAST(abs("offset") AS INT) AS hours_before, (abs("offset") - AVG(h) OVER w)
+                         / greatest(MAX(h) OVER w - MIN(h) OVER w, 1e-9) AS z
+               FROM known WINDOW w AS (PARTITION BY city, variable)),
+    sums AS (SELECT city, variable, {powers}, {moments} FROM scaled WHERE m IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) > 3),
     fit AS (SELECT city, variable, {', '.join(coefficients)} FROM sums)
     SELECT s.city, s.variable, "offset", n_events, {r('m')} AS median_corr, hours_before,
            {r('c0 + z * (c1 + z * (c2 + z * c3))')} AS fitted
@@ -276,16 +283,18 @@ def _(i: Inputs):
 
 @query("stability_by_error_class", f"""
     WITH h AS (SELECT *, pressure_msl - LAG(pressure_msl, 24) OVER (PARTITION BY city ORDER BY ts) AS delta FROM hourly_obs),
-    c AS (SELECT *, CASE WHEN pressure_msl >= 50 THEN 1 ELSE 0 END AS truth, relative_humidity_2m / 100.0 AS prob FROM h)
+    c AS (SELECT *, CASE WHEN pressure_msl >= 50 THEN 1 WHEN pressure_msl < 50 THEN 0 END AS truth,
+                 relative_humidity_2m / 100.0 AS prob FROM h)
     SELECT error_class, COUNT(*) AS n, {r('stddev_samp("v_850hPa")')} AS spread_std, {r('AVG(abs(delta))')} AS mean_abs_change
     FROM (SELECT *, CASE WHEN truth = 0 AND prob > 0.8 THEN 'confident_FP' WHEN truth = 1 AND prob >= 0.5 THEN 'TP'
-                         WHEN truth = 1 THEN 'FN' WHEN prob >= 0.5 THEN 'FP' ELSE 'TN' END AS error_class FROM c)
+                         WHEN truth = 1 AND prob < 0.5 THEN 'FN' WHEN truth = 0 AND prob >= 0.5 THEN 'FP'
+                         WHEN truth = 0 AND prob < 0.5 THEN 'TN' END AS error_class FROM c)
     GROUP BY 1""")
 def _(i: Inputs):
     from heatframe.operators.series import changes
 
     moved = changes(i.hourly_obs(), HOURLY, {"delta": ("pressure_msl", 24)})
-    prob = F.coalesce(F.col("relative_humidity_2m") / 100.0, F.lit(0.0))
-    truth = F.coalesce(F.col("pressure_msl") >= 50, F.lit(False)).cast("int")
+    prob = F.col("relative_humidity_2m") / 100.0
+    truth = (F.col("pressure_msl") >= 50).cast("int")
     classes = V.error_class(truth, (prob >= 0.5).cast("int"), prob, 0.8)
     return round_doubles(V.stability(moved, classes, "v_850hPa", "delta"), "spread_std", "mean_abs_change")

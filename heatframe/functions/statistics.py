@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import log, pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,30 +21,69 @@ def safe_corr(a: Column, b: Column, frame: WindowSpec | None = None) -> Column:
     return F.try_divide(parts[0], parts[1] * parts[2])
 
 
-def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson correlation from centred or rank sums; NULL when a side is constant."""
-    cov = n * sxy - sx * sy
-    return F.try_divide(cov, F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy))
+def corr_from_centred(xy: Column, xx: Column, yy: Column) -> Column:
+    """Pearson correlation from sums of products of centred values; NULL when a side is constant."""
+    return F.when((xx > 0) & (yy > 0), xy / (F.sqrt(xx) * F.sqrt(yy)))
+
+
+# Steps of the continued fraction below: enough for double precision at any degrees of freedom.
+BETA_STEPS = 200
 
 
 def student_t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided tail of Student's t for whole degrees of freedom (finite series)."""
-    theta = F.atan2(F.abs(t), F.sqrt(df.cast("double")))
-    sin, cos = F.sin(theta), F.cos(theta)
-    odd = df % 2 == 1
-    first = F.when(odd, cos).otherwise(F.lit(1.0))
-    start = F.struct(first.alias("term"), first.alias("total"))
-    # term k multiplies by (k-1)/k * cos^2, k stepping by 2 up to df-2
-    steps = F.when(df >= 4, F.sequence(F.when(odd, F.lit(3)).otherwise(F.lit(2)), df.cast("int") - 2, F.lit(2)))
-    steps = F.coalesce(steps, F.array().cast("array<int>"))
-
-    def add(acc: Column, k: Column) -> Column:
-        term = acc["term"] * (k - 1) / k * cos * cos
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(steps, start, add, lambda acc: acc["total"])
-    inside = F.when(df == 1, 2 * theta / pi).when(odd, 2 / pi * (theta + sin * series)).otherwise(sin * series)
-    return F.lit(1.0) - inside
+    """Two-sided tail of Student's t, the regularized incomplete beta function of
+    df / (df + t^2) at (df / 2, 1 / 2), by its continued fraction in a fixed number of steps.
+
+    The fraction is taken on the side where it converges fast; the small tail is then the
+    direct result, not a difference from 1.
+    """
+    n = df.cast("double")
+    x = n / (n + t * t)
+    a, b = n / 2, F.lit(0.5)
+    # ln B(a, 1/2)
+    log_beta = log_gamma(a) + F.lit(log(pi) / 2) - log_gamma(a + 0.5)
+
+    def fraction(x: Column, a: Column, b: Column) -> Column:
+        tiny = F.lit(1e-300)
+
+        def away(v: Column) -> Column:
+            return F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+        first = 1 / away(1 - (a + b) * x / (a + 1))
+        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+        def step(s: Column, m: Column) -> Column:
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            d1, c1 = 1 / away(1 + even * s["d"]), away(1 + even / s["c"])
+            h1 = s["h"] * d1 * c1
+            d2, c2 = 1 / away(1 + odd * d1), away(1 + odd / c1)
+            return F.struct(c2.alias("c"), d2.alias("d"), (h1 * d2 * c2).alias("h"))
+
+        steps = F.transform(F.sequence(F.lit(1), F.lit(BETA_STEPS)), lambda m: m.cast("double"))
+        return F.aggregate(steps, start, step, lambda s: s["h"])
+
+    front = F.exp(a * F.log(x) + b * F.log1p(-x) - log_beta)
+    direct = front * fraction(x, a, b) / a
+    other = 1 - front * fraction(1 - x, b, a) / b
+    return F.when(t == 0, 1.0).when(x < (a + 1) / (a + b + 2), direct).otherwise(other)
+
+
+# Lanczos approximation of the logarithm of the gamma function (g = 7, n = 9).
+LANCZOS = [
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+]
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1/2."""
+    z = x - 1
+    total = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        total = total + F.lit(c) / (z + i)
+    u = z + 7.5
+    return F.lit(log(2 * pi) / 2) + (z + 0.5) * F.log(u) - u + F.log(total)
 
 
 # Coefficients of Wichura's algorithm AS 241 (PPND16, 1988).

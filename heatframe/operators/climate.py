@@ -46,10 +46,18 @@ def baseline_thresholds(
 def percentile_exceedance(
     df: DataFrame, key: str, ts: str, value: str, pct: float, years: tuple[int, int], months: list[int]
 ) -> DataFrame:
-    """(key, year, n_days) of season days at or above the entity's baseline quantile."""
+    """(key, year, n_days) of season days at or above the entity's baseline quantile, for
+    every year in which the entity has a row; years without such a day, and entities
+    without a baseline, have 0.
+
+    Season values are counted first, so what meets the thresholds is a row for each
+    (key, year, value).
+    """
     thresholds = baseline_thresholds(df, [key], ts, value, pct, years, months)
-    season = df.where(is_month(F.col(ts), months)).select(key, ts, value)
-    return exceedance_days(season.join(thresholds, key), key, ts, value, "threshold")
+    counted = df.groupBy(key, F.year(ts).alias("year"), F.when(is_month(F.col(ts), months), F.col(value)).alias("_v")).agg(
+        F.count("*").alias("_n"))
+    reached = F.when(F.col("_v") >= F.col("threshold"), F.col("_n")).otherwise(0)
+    return counted.join(thresholds, key, "left").groupBy(key, "year").agg(F.sum(reached).alias("n_days"))
 
 
 def decadal_share(df: DataFrame, keys: list[str], ts: str, value: str, threshold: float) -> DataFrame:
@@ -67,10 +75,21 @@ def decadal_share(df: DataFrame, keys: list[str], ts: str, value: str, threshold
 
 
 def quantile_flag(df: DataFrame, keys: list[str], value: str, pct: float, name: str = "is_hot") -> DataFrame:
-    """Adds the entity's quantile as ``threshold`` and the ``>=`` flag."""
-    return df.join(quantiles(df, keys, value, {"threshold": pct}), keys).withColumn(
-        name, hot(F.col(value), F.col("threshold"))
-    )
+    """Adds the entity's quantile as ``threshold`` and the ``>=`` flag; entities without a
+    value drop out.
+
+    A threshold meets the distinct values of its entity, and rows meet it by (keys,
+    value), so no row is shuffled by its entity alone.
+    """
+    limits = quantiles(df, keys, value, {"threshold": pct})
+    values = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*")).select(*keys, "_v").join(limits, keys)
+    met = values.withColumn("_key", F.coalesce(F.xxhash64("_v"), F.lit(0))).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    rows = df.withColumn("_key", F.coalesce(F.xxhash64(value), F.lit(0)))
+    same = (rows["_key"] == met["_key"]) & rows[value].eqNullSafe(met["_v"])
+    for k in keys:
+        same = same & (rows[k] == met[f"_of_{k}"])
+    joined = rows.join(met, same).select(*[rows[c] for c in df.columns], "threshold")
+    return joined.withColumn(name, hot(F.col(value), F.col("threshold")))
 
 
 def boxplot_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -78,15 +97,17 @@ def boxplot_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
 
     Whiskers are the extreme values inside 1.5 interquartile ranges.
     """
-    tall = long_form(df, keys, columns)
     by = [*keys, "variable"]
+    # equal values are one row with their number
+    tall = long_form(df, keys, columns)
     quartiles = quantiles(tall, by, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    tall = tall.groupBy(*by, "value").agg(F.count("*").alias("_n"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return tall.join(quartiles, by).groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum((~inside).cast("long")).alias("n_outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"),
     )
 
 
@@ -97,16 +118,21 @@ def long_form(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 30) -> DataFrame:
-    """(keys, bin, low, high, n): equal bins between minimum and maximum of each key,
-    the last one closed on the right. Empty bins are left out; needs a key."""
-    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = present.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    """(keys, bin, low, high, n): all equal bins between minimum and maximum of each key,
+    the last one closed on the right, empty ones with 0. Without keys over all rows."""
+    present = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+        F.count("*").alias("_n"))
+    marked = present if keys else present.withColumn("_all", F.lit(1))
+    by = keys or ["_all"]
+    ends = marked.groupBy(*by).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     width = (F.col("_max") - F.col("_min")) / bins
     index = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_min"), width)), F.lit(0))
-    placed = present.join(ends, keys).withColumn("bin", F.least(index, F.lit(bins - 1)).cast("int"))
-    return placed.groupBy(*keys, "bin", "_min", "_max").agg(F.count("*").alias("n")).select(
+    placed = marked.join(ends, by).withColumn("bin", F.least(index, F.lit(bins - 1)).cast("int"))
+    counts = placed.groupBy(*by, "bin").agg(F.sum("_n").alias("n"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(counts, [*by, "bin"], "left").select(
         *keys, "bin", (F.col("_min") + F.col("bin") * width).alias("low"),
-        (F.col("_min") + (F.col("bin") + 1) * width).alias("high"), "n",
+        (F.col("_min") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 

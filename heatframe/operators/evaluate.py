@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatframe.functions.scalar import ratio, ratio_or_zero
-from heatframe.operators.ordered import running_totals, value_bin
+from heatframe.operators.ordered import running_totals, with_bins
 from heatframe.operators.climate import long_form
 
 # Wording of an attribution's effect.
@@ -15,10 +15,10 @@ LOWERS = "↓ no event"
 
 
 def error_class(truth: Column, pred: Column, prob: Column | None = None, confident: float = 0.8) -> Column:
-    """TP, FN, FP, TN; with a probability also ``confident_FP``."""
+    """TP, FN, FP, TN; with a probability also ``confident_FP``. NULL without truth or prediction."""
     base = (
         F.when((truth == 1) & (pred == 1), "TP").when((truth == 1) & (pred == 0), "FN")
-        .when((truth == 0) & (pred == 1), "FP").otherwise("TN")
+        .when((truth == 0) & (pred == 1), "FP").when((truth == 0) & (pred == 0), "TN")
     )
     return base if prob is None else F.when((truth == 0) & (prob > confident), "confident_FP").otherwise(base)
 
@@ -35,10 +35,11 @@ def class_balance(df: DataFrame, keys: list[str], truth: str) -> DataFrame:
 
 
 def cell_counts(df: DataFrame, keys: list[str], truth: str, pred: str) -> DataFrame:
-    """(keys, tp, fp, tn, fn), one row per key."""
+    """(keys, tp, fp, tn, fn), one row per key, over the rows that have both sides; a key
+    without such a row has zeros."""
     t, p = F.col(truth) == 1, F.col(pred) == 1
     cells = {"tp": t & p, "fp": ~t & p, "tn": ~t & ~p, "fn": t & ~p}
-    return df.groupBy(*keys).agg(*[F.sum(c.cast("long")).alias(n) for n, c in cells.items()])
+    return df.groupBy(*keys).agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in cells.items()])
 
 
 def confusion_matrix(df: DataFrame, keys: list[str], truth: str, pred: str) -> DataFrame:
@@ -81,12 +82,13 @@ def classification_report(df: DataFrame, keys: list[str], truth: str, pred: str)
 
 
 def score_counts(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
-    """Positives, negatives and both sums below each distinct score of a key."""
+    """Positives, negatives and both sums below each distinct score of a key, over the rows
+    that have a truth and a score."""
     t = F.col(truth).cast("long")
-    counts = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+    counts = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.sum(t).alias("pos"), F.sum(1 - t).alias("neg")
     )
-    return running_totals(counts.withColumn("_bin", value_bin(F.col("score"))), keys, ["score"], "_bin", ["pos", "neg"])
+    return running_totals(with_bins(counts, "score"), keys, ["score"], ["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
@@ -114,9 +116,9 @@ def skill_ratio(df: DataFrame, keys: list[str], truth: str, score: str, baseline
 
 
 def regression_metrics(df: DataFrame, keys: list[str], truth: str, pred: str) -> DataFrame:
-    """(keys, n, mae, r2)."""
+    """(keys, n, mae, r2) over the rows that have both sides."""
     error = F.col(truth) - F.col(pred)
-    sums = df.groupBy(*keys).agg(
+    sums = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sum(error * error).alias("_res"),
         (F.var_pop(truth) * F.count(truth)).alias("_tot"),
     )
@@ -131,12 +133,18 @@ def report_by_entity(df: DataFrame, key: str, truth: str, pred: str, digits: int
 
 def confident_false_alarms(df: DataFrame, key: str, truth: str, prob: str, value: str, cut: float = 0.8) -> DataFrame:
     """(key, n, share_pct, mean_value): where the sure but wrong alarms are, a row with
-    NULL key for all of them. The cube is over one small key."""
+    key ``total`` for all of them."""
     wrong = df.where((F.col(truth) == 0) & (F.col(prob) > cut))
-    counts = wrong.rollup(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"), F.grouping(key).alias("_all"))
-    total = F.max(F.when(F.col("_all") == 1, F.col("n"))).over(Window.partitionBy())
-    named = F.when(F.col("_all") == 1, "total").otherwise(F.col(key)).alias(key)
-    return counts.select(named, "n", ratio(F.col("n") * 100, total).alias("share_pct"), "mean_value")
+    sums = wrong.groupBy(F.col(key).cast("string").alias(key)).agg(
+        F.count("*").alias("n"), F.sum(value).alias("_sum"), F.count(value).alias("_with")
+    )
+    whole = sums.agg(*[F.sum(c).alias(c) for c in ("n", "_sum", "_with")])
+    all_n = whole.first()["n"]  # one number
+    total = whole.where("n IS NOT NULL").select(F.lit("total").alias(key), "n", "_sum", "_with")
+    return sums.unionByName(total).select(
+        key, "n", ratio(F.col("n") * 100, F.lit(all_n).cast("long")).alias("share_pct"),
+        F.try_divide(F.col("_sum").cast("double"), F.col("_with").cast("double")).alias("mean_value"),
+    )
 
 
 def class_means(df: DataFrame, features: list[str], classes: Column, a: str, b: str) -> DataFrame:
@@ -150,7 +158,7 @@ def class_means(df: DataFrame, features: list[str], classes: Column, a: str, b:
         *[F.struct(F.lit(f).alias("feature"), F.col(f"{f}|a").alias("mean_a"), F.col(f"{f}|b").alias("mean_b")) for f in features]
     )
     out = sums.select(F.inline(rows)).withColumn("difference", F.col("mean_a") - F.col("mean_b"))
-    order = Window.orderBy(F.round(F.abs("difference"), 9).desc_nulls_last(), "feature")
+    order = Window.orderBy(F.abs("difference").desc_nulls_last(), "feature")
     return out.withColumn("rank", F.row_number().over(order))
 
 
@@ -172,8 +180,8 @@ def sign_change(tall: DataFrame, keys: list[str], value: str, score: str) -> Dat
         tall.where(F.col(value).isNotNull() & F.col(score).isNotNull())
         .groupBy(*keys, value)
         .agg(F.min(F.signum(score)).alias("low"), F.max(F.signum(score)).alias("high"))
-        .withColumn("_bin", value_bin(F.col(value)))
     )
+    signs = with_bins(signs, value).withColumn("_bin", F.col("_bin1"))
     inside = Window.partitionBy(*keys, "_bin").orderBy(value)
     following = F.lead("low").over(inside)
     local = signs.withColumn("_turns", (F.col("low") != F.col("high")) | F.coalesce(following != F.col("high"), F.lit(False)))
@@ -196,7 +204,7 @@ def contribution_pct(importance: DataFrame, value: str = "importance") -> DataFr
 
 
 def top_features(importance: DataFrame, n: int = 20, value: str = "importance") -> DataFrame:
-    order = Window.orderBy(F.round(value, 9).desc(), "feature")
+    order = Window.orderBy(F.col(value).desc(), "feature")
     return importance.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 

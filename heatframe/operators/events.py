@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatframe.functions.scalar import hot
 from heatframe.operators.ordered import quantiles
 from heatframe.operators.runs import label_runs
-from heatframe.operators.series import Series, daily_to_hourly, over_rows, resample_daily_max
+from heatframe.operators.series import Series, densify, over_rows, resample_daily_max
 
 GAPS = ("rows", "null_breaks", "calendar")
+BASES = ("daily_max_all", "daily_max_ref", "seasonal_ref", "hourly_all", "absolute")
 
 
 def tag_spells(
@@ -75,26 +79,45 @@ def event_threshold(
     basis: str = "daily_max_ref",
     ref: tuple[str, str] | None = None,
     months: list[int] | None = None,
+    test_from: str | None = None,
 ) -> DataFrame:
     """(keys, threshold): quantile of daily maxima or of the raw values.
 
-    basis: ``daily_max_all``, ``daily_max_ref`` (inside ``ref``), ``hourly_all`` or
-    ``seasonal_ref`` (daily maxima inside ``ref`` and ``months``).
+    basis: ``daily_max_all``, ``daily_max_ref`` (inside ``ref``), ``hourly_all``,
+    ``seasonal_ref`` (daily maxima inside ``ref`` and ``months``) or ``absolute``
+    (``pct`` is the threshold itself). The two with a reference period need ``ref``;
+    with ``test_from`` a warning tells if that period reaches into the test span.
     """
+    if basis not in BASES:
+        raise ValueError(f"basis must be one of {BASES}")
+    if basis in ("daily_max_ref", "seasonal_ref") and ref is None:
+        raise ValueError(f"{basis} needs ref, or the threshold would see the rows it is tested on")
+    if basis == "seasonal_ref" and not months:
+        raise ValueError("seasonal_ref needs months")
+    if ref and test_from and ref[1] >= test_from:
+        warnings.warn(f"the reference period ends on {ref[1]}, after the test span begins on {test_from}", stacklevel=2)
+    if basis == "absolute":
+        return df.select(*series.keys).distinct().withColumn("threshold", F.lit(float(pct)))
     if basis == "hourly_all":
         return quantiles(df, series.key_list, value, {"threshold": pct})
     daily = resample_daily_max(df, series, value)
-    if basis in ("daily_max_ref", "seasonal_ref") and ref:
+    if basis in ("daily_max_ref", "seasonal_ref"):
         daily = daily.where(F.col("obs_date").between(*[F.lit(d).cast("date") for d in ref]))
-    if basis == "seasonal_ref" and months:
+    if basis == "seasonal_ref":
         daily = daily.where(F.month("obs_date").isin(months))
     return quantiles(daily, series.key_list, "daily_max", {"threshold": pct})
 
 
 def hot_hours(df: DataFrame, series: Series, value: str, thresholds: DataFrame) -> DataFrame:
-    """Adds ``daily_max``, ``threshold`` and ``is_hot``: every hour of a hot day is hot."""
-    spread = daily_to_hourly(df, series, value)
-    return spread.join(thresholds, series.key_list).withColumn("is_hot", hot(F.col("daily_max"), F.col("threshold")))
+    """Adds ``daily_max``, ``threshold`` and ``is_hot``: every hour of a hot day is hot.
+
+    Thresholds meet the daily maxima, not the hours, and those return to the hours by
+    (keys, day): no hour is shuffled by its entity alone.
+    """
+    day = F.col(series.ts).cast("date").alias("_day")
+    daily = df.groupBy(*series.keys, day).agg(F.max(value).alias("daily_max")).join(thresholds, series.key_list)
+    flagged = daily.withColumn("is_hot", hot(F.col("daily_max"), F.col("threshold")))
+    return df.withColumn("_day", F.col(series.ts).cast("date")).join(flagged, [*series.keys, "_day"]).drop("_day")
 
 
 def sustained_label(
@@ -106,6 +129,14 @@ def sustained_label(
     censor: ``reference`` never looks at the flags of the first ``horizon`` rows and
     shortens the horizon at the end; ``strict`` gives NULL when the horizon is cut.
     """
+    reach = max(window, horizon)
+    return over_rows(df, series, reach, horizon, *label_steps(window, horizon, censor)).drop("_seen")
+
+
+def label_steps(window: int, horizon: int, censor: str = "reference") -> list[Callable]:
+    """The windowed columns ``sustained``, ``_seen`` and ``y`` for ``over_rows``, in order."""
+    if censor not in ("reference", "strict"):
+        raise ValueError("censor is reference or strict")
     flag = F.col("is_hot").cast("int")
 
     def sustained(w):
@@ -122,8 +153,7 @@ def sustained_label(
             return {"y": F.when(F.count("*").over(ahead) >= horizon, F.max("sustained").over(ahead))}
         return {"y": F.max("_seen").over(ahead)}
 
-    reach = max(window, horizon)
-    return over_rows(df, series, reach, horizon, sustained, seen, label).drop("_seen")
+    return [sustained, seen, label]
 
 
 def lookahead_label(
@@ -147,15 +177,16 @@ def daily_lookahead_label(
     strict: bool = False,
 ) -> DataFrame:
     """Day-level label: does a day of a spell of ``min_len`` or more days follow within
-    ``horizon`` days? Needs a complete daily calendar."""
+    ``horizon`` days? Absent days are put in for the windows and left out again."""
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     flagged = df.withColumn("is_hot", hot(F.col(value), limit, strict))
     runs = label_runs(flagged, series, "is_hot")
     runs = runs.withColumn("in_event", (F.col("is_hot") & (F.col("run_len") >= min_len)).cast("int"))
     dense = Series(series.keys, series.ts, series.step, dense=True)
+    whole = densify(runs.withColumn("_given", F.lit(True)), dense).withColumn("in_event", F.coalesce("in_event", F.lit(0)))
     return over_rows(
-        runs, dense, 0, horizon, lambda w: {"y": F.max("in_event").over(w.rowsBetween(1, horizon))}
-    ).drop("run_id", "run_pos", "run_len")
+        whole, dense, 0, horizon, lambda w: {"y": F.max("in_event").over(w.rowsBetween(1, horizon))}
+    ).where("_given").drop("run_id", "run_pos", "run_len", "_given")
 
 
 def baseline_alarm(

@@ -24,7 +24,8 @@ def match_station(
 ) -> DataFrame:
     """Per reference group: the candidate station whose values agree on most days.
 
-    Returns (group, station, matching_days, total_days_compared), where the total counts
+    Returns (group, station, matching_days, total_days_compared); a group that agrees with none has no station and
+    0 matching days. Of equal stations the smallest is taken. Here the total counts
     candidate x reference rows of the same day. Agreement is an equi-join on (day, value)
     of counted rows, so no day pairs all its stations with all its groups.
     """
@@ -38,7 +39,8 @@ def match_station(
         .groupBy(group, station)
         .agg(F.sum(F.col("_m") * F.col("_n")).alias("matching_days"))
     )
-    best = matches.groupBy(group).agg(F.max(F.struct("matching_days", (-F.col(station)).alias("_rev"))).alias("_best"))
+    # the most matches first, then the smallest station of any type
+    best = matches.groupBy(group).agg(F.min(F.struct((-F.col("matching_days")).alias("_less"), station)).alias("_best"))
     totals = (
         left.groupBy(on).agg(F.count("*").alias("_days"))
         .join(right.groupBy(on, group).agg(F.sum("_n").alias("_refs")), on)
@@ -46,7 +48,8 @@ def match_station(
         .agg(F.sum(F.col("_days") * F.col("_refs")).alias("total_days_compared"))
     )
     return totals.join(best, group, "left").select(
-        group, (-F.col("_best._rev")).alias(station), F.col("_best.matching_days").alias("matching_days"),
+        group, F.col(f"_best.{station}").alias(station),
+        F.coalesce(-F.col("_best._less"), F.lit(0)).alias("matching_days"),
         "total_days_compared",
     )
 

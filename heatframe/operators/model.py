@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from heatframe.functions.scalar import hash_bucket
 from heatframe.operators.evaluate import average_precision
+from heatframe.operators.ordered import running_totals, with_bins
 
 SEED = 42
 
@@ -105,10 +106,14 @@ def classification_pipeline(features: list[str], label: str, **params) -> Pipeli
 
 def fit_classifier(train: DataFrame, features: list[str], label: str, key: str, **params) -> PipelineModel:
     """Trains on ``train``; a tenth of it, chosen by key hash, only stops the boosting
-    (the test rows are never used for that)."""
+    (the test rows are never used for that). The rows are kept for the time of the fit,
+    which reads them once for the weight and again for every tree."""
     held_out = hash_bucket(F.col(key)) < 10
-    prepared = with_class_weight(train, label).withColumn("is_validation", held_out)
-    return classification_pipeline(features, label, **params).fit(prepared.withColumn(label, F.col(label).cast("double")))
+    rows = train.select(*features, F.col(label).cast("double").alias(label), held_out.alias("is_validation")).persist()
+    try:
+        return classification_pipeline(features, label, **params).fit(with_class_weight(rows, label))
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -125,32 +130,27 @@ def feature_importance(spark: SparkSession, model: PipelineModel, features: list
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def shuffled_columns(df: DataFrame, columns: list[str], key: Column, buckets: int, seed: int = SEED) -> DataFrame:
-    """Adds ``_shuffled_{c}``: the columns of another row.
-
-    Rows fall into hash buckets and are put into a random order there; each row takes
-    the values of its predecessor, the first those of the last.
-    """
-    order = F.xxhash64(key, F.lit(seed))
-    random_order = Window.partitionBy("_bucket").orderBy("_order")
-    everything = random_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = df.withColumns({"_bucket": F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)), "_order": order})
-    packed = F.struct(*columns)
-    donor = F.coalesce(F.lag(packed).over(random_order), F.last(packed).over(everything))
-    return placed.withColumn("_donor", donor).select(
+def shuffled_columns(df: DataFrame, columns: list[str], key: Column, seed: int = SEED) -> DataFrame:
+    """Adds ``_shuffled_{c}``: the columns of another row, the next one in the order of a
+    hash of ``key``; the last row takes the first one's. Rows are numbered by bin totals,
+    so the donors depend on the keys alone and no task holds them all."""
+    hashed = df.withColumns({"_hash": F.xxhash64(key, F.lit(seed)), "_key": key, "_one": F.lit(1).cast("long")})
+    placed = running_totals(with_bins(hashed, "_hash"), [], ["_hash", "_key"], ["_one"])
+    own = placed.withColumn("_place", F.col("_one_before"))
+    donors = placed.select(
+        F.pmod(F.col("_one_before") - 1, F.col("_one_total")).alias("_place"), F.struct(*columns).alias("_donor")
+    )
+    return own.join(donors, "_place").select(
         *df.columns, *[F.col(f"_donor.{c}").alias(f"_shuffled_{c}") for c in columns]
     )
 
 
-def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: list[str], label: str, key: Column, bucket_rows: int = 200_000
-) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, key: Column) -> DataFrame:
     """(feature, importance): loss of average precision when a feature is shuffled.
 
     One shuffle serves all features; the rescored copies go through one aggregate.
-    Values trade places within hash buckets of about ``bucket_rows`` rows.
     """
-    wide = shuffled_columns(df, features, key, max(1, df.count() // bucket_rows))
+    wide = shuffled_columns(df, features, key)
     variants = F.array(F.lit("_none"), *[F.lit(f) for f in features])
     copies = wide.withColumn("feature", F.explode(variants)).select(
         label, "feature",

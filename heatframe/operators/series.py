@@ -16,15 +16,14 @@ from pyspark.sql.window import WindowSpec
 
 from heatframe.operators.ordered import running_totals
 
-STEP_SECONDS = {"hour": 3600, "day": 86400}
-
 
 @dataclass(frozen=True)
 class Series:
     """Column roles: entity keys, time column, row distance and chunk length.
 
     ``dense`` promises a row for every step (see ``densify``); then positions are
-    plain calendar arithmetic and need no counting.
+    plain calendar arithmetic and need no counting. A window that meets a missing or a
+    repeated step of a dense series raises.
     """
 
     keys: tuple[str, ...]
@@ -32,12 +31,16 @@ class Series:
     step: str = "day"
     dense: bool = False
 
+    def __post_init__(self):
+        if self.step not in ("hour", "day"):
+            raise ValueError("a step is an hour or a day")
+
     @property
     def key_list(self) -> list[str]:
         return list(self.keys)
 
     def chunk(self) -> Column:
-        """Calendar year of daily rows, month of hourly rows; never NULL (see value_bin)."""
+        """Calendar year of daily rows, month of hourly rows; never NULL (see order_bits)."""
         ts = F.col(self.ts)
         number = F.year(ts) if self.step == "day" else F.year(ts) * 12 + F.month(ts)
         return F.coalesce(number, F.lit(0))
@@ -54,7 +57,7 @@ def with_position(df: DataFrame, series: Series, name: str = "pos") -> DataFrame
     if series.dense:
         return df.withColumn(name, series.tick())
     marked = df.withColumn("_chunk", series.chunk()).withColumn("_one", F.lit(1).cast("long"))
-    placed = running_totals(marked, series.key_list, [series.ts], "_chunk", ["_one"])
+    placed = running_totals(marked, series.key_list, [series.ts], ["_one"], ["_chunk"])
     return placed.withColumn(name, F.col("_one_before") + 1).drop("_chunk", "_one", "_one_before", "_one_total")
 
 
@@ -80,6 +83,11 @@ def over_rows(
     needed_in = F.sequence(F.floor((pos - ahead) / block), F.floor((pos + back) / block))
     copies = placed.select("*", home.alias("_home"), F.explode(needed_in).alias("_block"))
     window = Window.partitionBy(*series.keys, "_block").orderBy("_pos")
+    if series.dense:
+        # neighbours of a block are there as well, so every gap inside the reach of a frame is seen
+        gap = F.lag("_pos").over(window) != F.col("_pos") - 1
+        copies = copies.withColumn("_pos", F.when(gap, F.raise_error(F.lit(
+            "a dense series has a missing or repeated step: densify it, or say dense=False")).cast("long")).otherwise(F.col("_pos")))
     for step in (build, *then):
         copies = copies.withColumns(step(window))
     return copies.where(F.col("_home") == F.col("_block")).drop("_home", "_block", "_pos")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatframe.functions.statistics import corr_from_sums, normal_quantile, safe_corr, student_t_two_sided
+from heatframe.functions.statistics import corr_from_centred, normal_quantile, safe_corr, student_t_two_sided
 from heatframe.operators.climate import long_form
-from heatframe.operators.ordered import average_ranks, running_totals, value_bin
+from heatframe.operators.ordered import average_ranks, centred_rank, running_totals, with_bins
 from heatframe.operators.series import Series, over_rows
 
 
@@ -18,20 +15,20 @@ def spearman_by(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, n, rho): Spearman correlation over the complete pairs of each key.
 
     Pairs are counted before anything is shuffled, ranks come from the counts, and the
-    sums are weighted, so repeated values cost nothing.
+    sums are weighted, so repeated values cost nothing. Ranks are centred, so a constant
+    side sums to exactly 0 and gives NULL.
     """
     pairs = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     joint = pairs.where("_x IS NOT NULL AND _y IS NOT NULL").groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_c"))
-    rank_x = average_ranks(joint, keys, "_x", weight="_c").select(*keys, "_x", F.col("rank").alias("_rx"))
-    rank_y = average_ranks(joint, keys, "_y", weight="_c").select(*keys, "_y", F.col("rank").alias("_ry"))
+    rank_x = average_ranks(joint, keys, "_x", weight="_c").select(*keys, "_x", F.col("centred").alias("_rx"))
+    rank_y = average_ranks(joint, keys, "_y", weight="_c").select(*keys, "_y", F.col("centred").alias("_ry"))
     rows = joint.join(rank_x, [*keys, "_x"]).join(rank_y, [*keys, "_y"])
-    c, rx, ry = F.col("_c"), F.col("_rx").cast("double"), F.col("_ry").cast("double")
+    c, rx, ry = F.col("_c"), F.col("_rx"), F.col("_ry")
     sums = rows.groupBy(*keys).agg(
-        F.sum(c).alias("n"), F.sum(c * rx).alias("_sx"), F.sum(c * ry).alias("_sy"),
-        F.sum(c * rx * rx).alias("_sxx"), F.sum(c * ry * ry).alias("_syy"), F.sum(c * rx * ry).alias("_sxy"),
+        F.sum(c).alias("n"), F.sum(c * rx * rx).alias("_xx"), F.sum(c * ry * ry).alias("_yy"),
+        F.sum(c * rx * ry).alias("_xy"),
     )
-    rho = corr_from_sums(*[F.col(s) for s in ("n", "_sx", "_sy", "_sxx", "_syy", "_sxy")])
-    return sums.select(*keys, "n", rho.alias("rho"))
+    return sums.select(*keys, "n", corr_from_centred(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))
 
 
 def trend_test(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -48,53 +45,58 @@ def spread_rows(df: DataFrame, by: list[str]) -> DataFrame:
     return df.repartition(*by)
 
 
-def rank_columns(df: DataFrame, keys: list[str], ids: list[str], columns: list[str]) -> DataFrame:
-    """Replaces each column by its average rank within the key, over complete rows.
+def pair_correlations(
+    df: DataFrame, keys: list[str], ids: list[str], pairs: list[tuple[str, str]]
+) -> DataFrame:
+    """(keys, var_a, var_b, rho) of the listed pairs of columns, each over its own complete rows.
 
-    Rows are spread once, by all their columns, and that one shuffle feeds every branch.
-    Each column joins its own (value, rank) table; those hold distinct values only, so
-    for measured data they are small and the joins need no shuffle of the rows.
+    A value's rank depends on which rows of the other variable are present, so every
+    distinct value of a variable is counted once for each partner, side by side in one
+    row. One running total over (key, variable) then gives all ranks, and one grouping by
+    ``ids``, which tell the rows of a key apart, brings them back to the rows: the number
+    of shuffles does not grow with the number of columns.
     """
-    typed = df.select(*keys, *ids, *[F.col(c).cast("double").alias(c) for c in columns])
-    # Written out column by column: each branch below asks for some of these conditions
-    # again, and only an identical scan can be shared.
-    complete = reduce(and_, [F.col(c).isNotNull() for c in [*keys, *columns]])
-    rows = spread_rows(typed.where(complete), [*keys, *ids, *columns])
-    out = rows
-    for c in columns:
-        ranks = average_ranks(rows, keys, c).select(*keys, c, F.col("rank").cast("double").alias(f"_rank_{c}"))
-        out = out.join(ranks, [*keys, c])
-    return out.select(*keys, *ids, *[F.col(f"_rank_{c}").alias(c) for c in columns])
-
-
-def rank_products(ranked: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """(keys, var_a, var_b, rho) of the listed pairs: one aggregate, one row per key."""
-    singles = sorted({v for pair in pairs for v in pair})
-    sums = ranked.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        *[F.sum(v).alias(f"_s_{v}") for v in singles],
-        *[F.sum(F.col(v) * F.col(v)).alias(f"_q_{v}") for v in singles],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"_p_{n}") for n, (a, b) in enumerate(pairs) if a != b],
+    columns = list(dict.fromkeys(v for pair in pairs for v in pair))
+    size = len(columns)
+    rows = spread_rows(df.select(*keys, *ids, *[F.col(c).cast("double").alias(c) for c in columns]), [*keys, *ids])
+    there = F.array(*[F.col(c).isNotNull().cast("long") for c in columns])
+    cells = F.array(*[F.struct(F.lit(i).alias("_var"), F.col(c).alias("_value")) for i, c in enumerate(columns)])
+    tall = rows.select(*keys, *ids, there.alias("_there"), F.inline(cells)).where("_value IS NOT NULL")
+    counted = tall.groupBy(*keys, "_var", "_value").agg(
+        *[F.sum(F.col("_there")[j]).alias(f"_n{j}") for j in range(size)]
     )
-
-    def rho(n: int, a: str, b: str) -> Column:
-        cross = F.col(f"_q_{a}") if a == b else F.col(f"_p_{n}")
-        return corr_from_sums(
-            F.col("_n"), F.col(f"_s_{a}"), F.col(f"_s_{b}"), F.col(f"_q_{a}"), F.col(f"_q_{b}"), cross
+    sums = [f"_n{j}" for j in range(size)]
+    placed = running_totals(with_bins(counted, "_value"), [*keys, "_var"], ["_value"], sums)
+    centred = [centred_rank(F.col(f"{n}_before"), F.col(n), F.col(f"{n}_total")) for n in sums]
+    ranks = placed.select(*keys, "_var", "_value", F.array(*centred).alias("_ranks"))
+    back = tall.join(ranks, [*keys, "_var", "_value"]).groupBy(*keys, *ids).agg(
+        *[F.max(F.when(F.col("_var") == i, F.col("_ranks"))).alias(f"_r{i}") for i in range(size)]
+    )
+    at = {c: i for i, c in enumerate(columns)}
+
+    def ranks_of(a: str, b: str) -> Column:
+        """Ranks of ``a`` among the rows that have ``b``, on those rows."""
+        return F.when(F.col(f"_r{at[b]}").isNotNull(), F.col(f"_r{at[a]}")[at[b]])
+
+    products = []
+    for n, (a, b) in enumerate(pairs):
+        x, y = ranks_of(a, b), ranks_of(b, a)
+        products += [F.sum(x * y).alias(f"_xy{n}"), F.sum(x * x).alias(f"_xx{n}"), F.sum(y * y).alias(f"_yy{n}")]
+    found = back.groupBy(*keys).agg(*products)
+    out = [
+        F.struct(
+            F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
+            corr_from_centred(F.col(f"_xy{n}"), F.col(f"_xx{n}"), F.col(f"_yy{n}")).alias("rho"),
         )
-
-    cells = [
-        F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), rho(n, a, b).alias("rho"))
         for n, (a, b) in enumerate(pairs)
     ]
-    return sums.select(*keys, F.inline(F.array(*cells)))
+    return found.select(*keys, F.inline(F.array(*out)))
 
 
 def spearman_matrix(df: DataFrame, keys: list[str], ids: list[str], columns: list[str]) -> DataFrame:
-    """(keys, var_a, var_b, rho) for var_a <= var_b in the order of ``columns``; ``ids``
-    tell the rows of a key apart."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return rank_products(rank_columns(df, keys, ids, columns), keys, pairs)
+    """(keys, var_a, var_b, rho) for var_a <= var_b in the order of ``columns``, pair by
+    pair over the rows that have both; ``ids`` tell the rows of a key apart."""
+    return pair_correlations(df, keys, ids, [(a, b) for i, a in enumerate(columns) for b in columns[i:]])
 
 
 def spearman_pooled(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
@@ -118,7 +120,7 @@ def strength_rank(upper: DataFrame, keys: list[str]) -> DataFrame:
     strength = full_matrix(upper, keys).groupBy(*keys, F.col("var_a").alias("variable")).agg(
         F.avg(F.abs("rho")).alias("mean_abs_rho")
     )
-    order = Window.partitionBy(*keys).orderBy(F.round("mean_abs_rho", 9).desc(), "variable")
+    order = Window.partitionBy(*keys).orderBy(F.col("mean_abs_rho").desc_nulls_last(), "variable")
     return strength.withColumn("rank", F.row_number().over(order))
 
 
@@ -126,32 +128,16 @@ def collinear_groups(upper: DataFrame, keys: list[str], columns: list[str], cut:
     """(keys, variable, group): connected variables with |rho| >= ``cut``; a group is
     named by its alphabetically first member.
 
-    One entity's matrix has as many cells as there are pairs of columns, so it fits an
-    array; labels spread along strong cells until every variable carries the smallest.
+    The links are a table of one row per strong pair. Paths double in length in a round, so
+    the logarithm of the number of columns is enough.
     """
-    names = sorted(columns)
-    size = len(names)
     strong = F.coalesce(F.abs("rho") >= cut, F.lit(False)) | (F.col("var_a") == F.col("var_b"))
-    at = {side: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(side)).cast("int") - 1 for side in ("var_a", "var_b")}
-    links = full_matrix(upper, keys).where(strong).groupBy(*keys).agg(
-        F.collect_set(at["var_a"] * size + at["var_b"]).alias("_links")
-    )
-
-    def spread(labels: Column, _: Column) -> Column:
-        def smallest(_, i: Column) -> Column:
-            linked = F.filter(labels_at(labels), lambda p: F.array_contains("_links", i * size + p["at"]))
-            return F.array_min(F.transform(linked, lambda p: p["label"]))
-
-        return F.transform(labels, smallest)
-
-    def labels_at(labels: Column) -> Column:
-        return F.transform(labels, lambda label, j: F.struct(j.alias("at"), label.alias("label")))
-
-    start = F.sequence(F.lit(0), F.lit(size - 1))
-    labels = F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, spread)
-    grouped = links.select(*keys, F.posexplode(labels).alias("_i", "_g"))
-    name = F.array(*[F.lit(n) for n in names])
-    return grouped.select(*keys, name[F.col("_i")].alias("variable"), name[F.col("_g")].alias("group"))
+    reach = full_matrix(upper, keys).where(strong).select(*keys, "var_a", "var_b")
+    rounds = max(1, (len(columns) - 1).bit_length())
+    for _ in range(rounds):
+        onward = reach.select(*keys, F.col("var_a").alias("var_b"), F.col("var_b").alias("_to"))
+        reach = reach.join(onward, [*keys, "var_b"]).select(*keys, "var_a", F.col("_to").alias("var_b")).distinct()
+    return reach.groupBy(*keys, F.col("var_a").alias("variable")).agg(F.min("var_b").alias("group"))
 
 
 def countdown_corr(
@@ -165,65 +151,59 @@ def countdown_corr(
     )
     kept = moved if season is None else moved.where(season)
     keys = series.key_list
-    ranked = rank_columns(kept, keys, [series.ts], [*features, *jumps])
-    table = rank_products(ranked, keys, [(f, j) for f in features for j in jumps])
+    table = pair_correlations(kept, keys, [series.ts], [(f, j) for f in features for j in jumps])
     lag = F.regexp_extract("var_b", r"(\d+)$", 1).cast("int")
     return table.select(*keys, F.col("var_a").alias("feature"), lag.alias("lag"), "rho")
 
 
-def ranks_by_lag(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, column, {column}_ranks): a value's rank among the rows that are valid at
-    each lag, as one array over the lags."""
-    per_lag = rows.select(*keys, column, F.posexplode("_jumps").alias("_i", "_jump")).select(
-        *keys, "_i", column, F.col("_jump").isNotNull().cast("long").alias("_valid")
-    )
-    ranks = average_ranks(per_lag, [*keys, "_i"], column, weight="_valid")
-    listed = F.array_sort(F.collect_list(F.struct("_i", F.col("rank").cast("double").alias("rank"))))
-    return ranks.groupBy(*keys, column).agg(listed["rank"].alias(f"{column}_ranks"))
-
-
 def lag_profile(
-    df: DataFrame, series: Series, value: str, features: list[str], max_lag: int = 72, season: Column | None = None,
-    pairwise: bool = False,
+    df: DataFrame, series: Series, value: str, features: list[str], max_lag: int = 72, season: Column | None = None
 ) -> DataFrame:
     """(keys, feature, lag, rho) for every lag 1..max_lag: each feature against the
-    change of ``value`` over the next ``lag`` rows.
-
-    Uses the complete rows of a lag; ``pairwise`` uses the complete pairs of each
-    feature instead, which only matters when features are missing at different times.
+    change of ``value`` over the next ``lag`` rows, over the complete pairs of each.
 
-    Rows are multiplied by the lags only inside a task: features look up the ranks of
-    all lags at once, before that, and what is shuffled afterwards is counted first.
+    A feature's values are counted with one sum for each lag, side by side, so rows are
+    not multiplied by the lags there. Rows then carry the ranks of all lags to the
+    changes, where each distinct change sums the ranks that meet it: a change's own rank
+    depends on nothing else.
     """
     keys = series.key_list
     # a struct is never NULL, so missing values keep their place among the later rows
     later = F.collect_list(F.struct(F.col(value).alias("v")))
     moved = over_rows(df, series, 0, max_lag, lambda w: {"_later": later.over(w.rowsBetween(1, max_lag))})
     kept = moved if season is None else moved.where(season)
-    jumps = F.transform(F.sequence(F.lit(0), F.lit(max_lag - 1)), lambda i: F.round(F.get("_later", i)["v"] - F.col(value), 9))
-    typed = kept.select(*keys, series.ts, *[F.col(f).cast("double").alias(f) for f in features], jumps.alias("_jumps"))
-    if pairwise:
-        values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])
-        tall = spread_rows(typed, [*keys, series.ts]).select(*keys, values.alias("_v"), F.posexplode("_jumps").alias("_i", "_jump"))
-        found = spearman_by(tall.select(*keys, "_i", "_jump", F.inline("_v")), [*keys, "_i", "feature"], "x", "_jump")
-        return found.select(*keys, "feature", (F.col("_i") + 1).alias("lag"), "rho")
-
-    complete = reduce(and_, [F.col(c).isNotNull() for c in [*keys, *features]])
-    rows = spread_rows(typed.where(complete), [*keys, series.ts, *features, "_jumps"])
-    out = rows
-    for f in features:
-        out = out.join(ranks_by_lag(rows, keys, f), [*keys, f])
-    by_lag = out.select(*keys, *[f"{f}_ranks" for f in features], F.posexplode("_jumps").alias("_i", "_jump"))
-    picked = by_lag.where("_jump IS NOT NULL").select(
-        *keys, "_i", "_jump", *[F.get(f"{f}_ranks", F.col("_i")).alias(f) for f in features]
+    jumps = F.transform(
+        F.sequence(F.lit(0), F.lit(max_lag - 1)), lambda i: F.get("_later", i)["v"].cast("double") - F.col(value).cast("double")
+    )
+    rows = spread_rows(
+        kept.select(*keys, series.ts, *[F.col(f).cast("double").alias(f) for f in features], jumps.alias("_jumps")),
+        [*keys, series.ts],
+    )
+    cells = F.array(*[F.struct(F.lit(i).alias("_var"), F.col(f).alias("_value")) for i, f in enumerate(features)])
+    tall = rows.select(*keys, series.ts, "_jumps", F.inline(cells)).where("_value IS NOT NULL")
+    sums = [f"_n{k}" for k in range(max_lag)]
+    counted = tall.groupBy(*keys, "_var", "_value").agg(
+        *[F.sum(F.col("_jumps")[k].isNotNull().cast("long")).alias(n) for k, n in enumerate(sums)]
+    )
+    placed = running_totals(with_bins(counted, "_value"), [*keys, "_var"], ["_value"], sums)
+    centred = F.array(*[centred_rank(F.col(f"{n}_before"), F.col(n), F.col(f"{n}_total")) for n in sums])
+    ranks = placed.select(*keys, "_var", "_value", centred.alias("_ranks"))
+    met = tall.join(ranks, [*keys, "_var", "_value"]).select(
+        *keys, "_var", F.posexplode(F.arrays_zip("_jumps", "_ranks")).alias("_i", "_at")
+    )
+    rank = F.col("_at._ranks")
+    by_jump = met.where("_at._jumps IS NOT NULL").groupBy(*keys, "_i", "_var", F.col("_at._jumps").alias("_jump")).agg(
+        F.count("*").alias("_n"), F.sum(rank).alias("_x"), F.sum(rank * rank).alias("_xx")
     )
-    all_jumps = rows.select(*keys, F.posexplode("_jumps").alias("_i", "_jump"))
-    jump_ranks = average_ranks(all_jumps.where("_jump IS NOT NULL"), [*keys, "_i"], "_jump").select(
-        *keys, "_i", "_jump", F.col("rank").cast("double").alias("_jump_rank")
+    by = [*keys, "_i", "_var"]
+    found = running_totals(with_bins(by_jump, "_jump"), by, ["_jump"], ["_n"])
+    y = centred_rank(F.col("_n_before"), F.col("_n"), F.col("_n_total"))
+    table = found.groupBy(*by).agg(
+        F.sum(F.col("_x") * y).alias("_xy"), F.sum("_xx").alias("_xx"), F.sum(F.col("_n") * y * y).alias("_yy")
     )
-    ranked = picked.join(jump_ranks, [*keys, "_i", "_jump"])
-    table = rank_products(ranked, [*keys, "_i"], [(f, "_jump_rank") for f in features])
-    return table.select(*keys, F.col("var_a").alias("feature"), (F.col("_i") + 1).alias("lag"), "rho")
+    names = F.array(*[F.lit(f) for f in features])
+    rho = corr_from_centred(F.col("_xy"), F.col("_xx"), F.col("_yy"))
+    return table.select(*keys, names[F.col("_var")].alias("feature"), (F.col("_i") + 1).alias("lag"), rho.alias("rho"))
 
 
 def lag_checkpoints(profile: DataFrame, keys: list[str], points: list[int]) -> DataFrame:
@@ -232,7 +212,7 @@ def lag_checkpoints(profile: DataFrame, keys: list[str], points: list[int]) -> D
     table = profile.where(F.col("lag").isin(points)).groupBy(*keys, "feature").agg(
         *[F.max(F.when(F.col("lag") == p, F.col("rho"))).alias(f"lag_{p}") for p in points]
     )
-    order = Window.partitionBy(*keys).orderBy(F.round(F.abs(f"lag_{points[0]}"), 9).desc_nulls_last(), "feature")
+    order = Window.partitionBy(*keys).orderBy(F.abs(f"lag_{points[0]}").desc_nulls_last(), "feature")
     return table.withColumn("rank", F.row_number().over(order))
 
 
@@ -246,7 +226,7 @@ def ordinal_positions(df: DataFrame, series: Series, columns: list[str]) -> Data
                      [*series.keys, "_chunk", "_tick"], columns)
     by = [*series.keys, "variable"]
     pieces = tall.groupBy(*by, "value", "_chunk").agg(F.count("*").alias("n"))
-    placed = running_totals(pieces.withColumn("_bin", value_bin(F.col("value"))), by, ["value", "_chunk"], "_bin", ["n"])
+    placed = running_totals(with_bins(pieces, "value"), by, ["value", "_chunk"], ["n"])
     same = Window.partitionBy(*by, "value", "_chunk").orderBy("_tick")
     return (
         tall.withColumn("_place", F.row_number().over(same))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heatframe.functions import features as X
 from heatframe.functions.scalar import is_month, one_hot
-from heatframe.operators.events import event_threshold, hot_hours, sustained_label
+from heatframe.operators.events import event_threshold, hot_hours, label_steps
 from heatframe.operators.features import apply_climatology, climatology
 from heatframe.operators.series import Series, gated, over_rows
 
@@ -37,6 +37,7 @@ class Recipe:
     horizon: int = 72
     months: tuple[int, ...] = (5, 6, 7, 8, 9)
     train_before: str = "2016-01-01"
+    older: bool = False  # also the earlier variant's 48-hour mean, soil index and vetoes, whose gaps cost rows
 
     def period_columns(self, ts: str) -> dict[str, Column]:
         return {name: make(ts) for name, make in self.periods.items()}
@@ -51,14 +52,13 @@ def row_features(df: DataFrame, recipe: Recipe, ts: str) -> DataFrame:
     new = dict(X.time_encoding(ts))
     if {recipe.upper_temp, recipe.humidity} <= set(df.columns):
         new["heat_aridity_index"] = X.aridity_index(recipe.upper_temp, recipe.humidity)
-    if {recipe.upper_temp, recipe.soil} <= set(df.columns):
+    if recipe.older and {recipe.upper_temp, recipe.soil} <= set(df.columns):
         new["soil_heat_interaction"] = X.soil_heat(recipe.upper_temp, recipe.soil)
     return df.withColumns(new)
 
 
-def window_features(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
-    """Lags, tendencies and smoothing, all over one window so the rows move once."""
-    have = set(df.columns)
+def window_columns(have: set[str], recipe: Recipe) -> Callable:
+    """Lags, tendencies and smoothing over one ordered window; the names are fixed values."""
 
     def build(w) -> dict[str, Column]:
         out: dict[str, Column] = {}
@@ -76,40 +76,46 @@ def window_features(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
                 out[name] = F.col(column) - F.lag(column, 24).over(w)
         if recipe.inflow in have:
             out["v850_smooth_6h"] = gated(F.avg, F.col(recipe.inflow), w.rowsBetween(-5, 0), 6)
-        if recipe.upper_temp in have:
+        if recipe.older and recipe.upper_temp in have:
             out["t850_48h_mean"] = gated(F.avg, F.col(recipe.upper_temp), w.rowsBetween(-47, 0), 48)
         return out
 
-    return over_rows(df, series, 72, 0, build)
+    return build
 
 
-def with_vetoes(df: DataFrame) -> DataFrame:
-    return df.withColumns(X.veto_flags(F.col("v850_smooth_6h"), F.col("delta_press_24h")))
+def with_vetoes(df: DataFrame, recipe: Recipe) -> DataFrame:
+    return df.withColumns(X.veto_flags(F.col("v850_smooth_6h"), F.col("delta_press_24h"))) if recipe.older else df
 
 
-def engineer_features(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
-    """Anomaly scores from the reference span only, then row and window features."""
+def scored_rows(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
+    """Anomaly scores from the reference span only, and the features of single rows."""
     keys, periods = series.key_list, recipe.period_columns(series.ts)
     scored = [c for c in recipe.zscores if c in df.columns]
     normal = climatology(df, keys, scored, periods, recipe.reference_rows(series.ts))
-    out = apply_climatology(df, keys, scored, periods, normal)
-    return with_vetoes(window_features(row_features(out, recipe, series.ts), series, recipe))
+    return row_features(apply_climatology(df, keys, scored, periods, normal), recipe, series.ts)
+
+
+def engineer_features(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
+    """All features, the windowed ones over one window so the rows move once."""
+    rows = scored_rows(df, series, recipe)
+    return with_vetoes(over_rows(rows, series, 72, 0, window_columns(set(df.columns), recipe)), recipe)
 
 
 def feature_matrix(df: DataFrame, series: Series, recipe: Recipe, entities: list[str]) -> DataFrame:
     """Complete, labelled rows of the season with one-hot entities and ``is_train``.
 
-    Label and features are computed on the whole series and the season is cut last, so
-    no window reaches across a season boundary.
+    Label and features are computed on the whole series, over one window, and the season
+    is cut last, so no window reaches across a season boundary.
     """
     limits = event_threshold(
-        df, series, recipe.value, recipe.pct, "daily_max_ref", recipe.label_reference or recipe.reference
-    )
-    features = engineer_features(df, series, recipe)
-    hot = hot_hours(features, series, recipe.value, limits)
-    labelled = sustained_label(hot, series, recipe.window, recipe.horizon).drop(
-        "daily_max", "threshold", "is_hot", "sustained"
+        df, series, recipe.value, recipe.pct, "daily_max_ref", recipe.label_reference or recipe.reference,
+        test_from=recipe.train_before,
     )
+    hot = hot_hours(scored_rows(df, series, recipe), series, recipe.value, limits)
+    reach = max(72, recipe.window, recipe.horizon)
+    steps = label_steps(recipe.window, recipe.horizon)
+    windowed = over_rows(hot, series, reach, recipe.horizon, window_columns(set(df.columns), recipe), *steps)
+    labelled = with_vetoes(windowed, recipe).drop("daily_max", "threshold", "is_hot", "sustained", "_seen")
     season = labelled.where(is_month(F.col(series.ts), list(recipe.months))).dropna("any")
     is_train = F.col(series.ts) < F.lit(recipe.train_before).cast("timestamp_ntz")
     return season.select("*", *one_hot(F.col(series.keys[0]), entities, series.keys[0]), is_train.alias("is_train"))

@@ -39,8 +39,9 @@ def pre_event_profile(
     """(keys, variable, offset, n_events, median_corr): rolling correlation of ``base``
     with each variable before events, restarted at every event, median over events.
 
-    A window of one event holds at most ``hours`` rows. Events with fewer than
-    ``min_periods`` rows are left out.
+    Every offset of every variable is there for each entity with an event; without a
+    value it has no median and 0 events. A window of one event holds at most ``hours``
+    rows. Events with fewer than ``min_periods`` rows are left out.
     """
     rows = hourly if season is None else hourly.where(season)
     windows = event_windows(events, rows.select(*series.keys, series.ts, base, *others), series, hours)
@@ -60,7 +61,11 @@ def pre_event_profile(
     tall = kept.unpivot([*series.keys, "offset"], others, "variable", "corr").where("corr IS NOT NULL")
     by = [*series.keys, "variable", "offset"]
     counts = tall.groupBy(*by).agg(F.count("*").alias("n_events"))
-    return counts.join(quantiles(tall, by, "corr", {"median_corr": 0.5}), by)
+    found = counts.join(quantiles(tall, by, "corr", {"median_corr": 0.5}), by)
+    every = events.select(*series.keys).distinct().select(
+        *series.keys, F.explode(F.array(*[F.lit(o) for o in others])).alias("variable")
+    ).withColumn("offset", F.explode(F.sequence(F.lit(-hours), F.lit(-1))))
+    return every.join(found, by, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long")))
 
 
 def smooth_profile(profile: DataFrame, keys: list[str], degree: int = 3) -> DataFrame:

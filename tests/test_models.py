@@ -45,7 +45,7 @@ def test_importances_find_the_signal(spark, planted, model):
 
 
 def test_shuffle_keeps_every_value(planted):
-    got = M.shuffled_columns(planted, ["a", "b"], F.col("id"), 3).toPandas()
+    got = M.shuffled_columns(planted, ["a", "b"], F.col("id")).toPandas()
     assert sorted(got["a"]) == sorted(got["_shuffled_a"]) and (got["a"] != got["_shuffled_a"]).mean() > 0.99
 
 

@@ -199,3 +199,40 @@ def test_hourly_calendar_crosses_months(spark):
 def test_positions_count_rows_not_days(spark):
     df = daily(spark, [1.0] * 800, skip=set(range(100, 500)))
     assert column(S.with_position(df, DAY), "pos", "d") == list(range(1, 401))
+
+
+def test_a_dense_series_with_a_gap_raises(spark):
+    hours = [h for h in range(3000) if h not in (700, 1400, 2100)]
+    df = spark.createDataFrame([("a", h) for h in hours], "k string, h int").select(
+        "k", F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)").alias("t"), F.col("h").cast("double").alias("v"))
+    with pytest.raises(Exception, match="missing or repeated step"):
+        S.lags(df, HOUR, {"x": ("v", 72)}).collect()
+    whole = S.lags(S.densify(df, HOUR), HOUR, {"x": ("v", 72)}).where("v IS NOT NULL")
+    got = {r["v"]: r["x"] for r in whole.collect()}
+    assert got[772.0] is None and got[773.0] == 701.0 and len(got) == 2997
+
+
+def test_threshold_basis_is_checked(spark):
+    from heatframe.operators.events import event_threshold
+
+    df = spark.createDataFrame([("a", "2020-01-01", 3.0)], "k string, t string, v double").withColumn(
+        "t", F.col("t").cast("timestamp_ntz"))
+    for wrong in ({"basis": "other"}, {}, {"basis": "seasonal_ref", "ref": ("2020-01-01", "2020-01-02")}):
+        with pytest.raises(ValueError):
+            event_threshold(df, HOUR, "v", 0.5, **wrong)
+    with pytest.warns(UserWarning, match="reference period"):
+        event_threshold(df, HOUR, "v", 0.5, ref=("2019-01-01", "2020-01-02"), test_from="2020-01-01")
+    assert event_threshold(df, HOUR, "v", 31.5, "absolute").first()["threshold"] == 31.5
+    with pytest.raises(ValueError):
+        S.Series(("k",), "t", "minute")
+
+
+def test_daily_label_on_a_series_with_gaps(spark):
+    from heatframe.operators.events import daily_lookahead_label
+
+    days = S.Series(("k",), "d", "day")
+    hot = {1, 2, 3, 20, 21, 22}
+    df = spark.createDataFrame([("a", n, 40.0 if n in hot else 1.0) for n in (*range(1, 10), *range(18, 25))], "k string, n int, v double")
+    df = df.select("k", "n", F.expr("date_add(date'2020-01-01', n)").alias("d"), "v")
+    got = {r["n"]: r["y"] for r in daily_lookahead_label(df, days, "v", 30.0).collect()}
+    assert len(got) == 16 and got[9] == 0 and got[18] == 1 and got[24] is None

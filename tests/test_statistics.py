@@ -33,9 +33,74 @@ def test_bins_do_not_decrease(spark):
     v = np.sort(skewed(5)["v"].to_numpy())
     edge = np.array([2.0**e * f for e in range(-20, 20) for f in (1 - 2**-52, 1.0, 1 + 2**-52)])
     both = np.sort(np.concatenate([v, edge, -edge]))
-    df = frame(spark, pd.DataFrame({"v": both}), "v double").withColumn("b", O.value_bin(F.col("v")))
-    bins = df.toPandas().sort_values("v", kind="stable")["b"].to_numpy()
-    assert (np.diff(bins) >= 0).all() and len(set(bins)) > 1000
+    df = O.with_bins(frame(spark, pd.DataFrame({"v": both}), "v double"), "v")
+    for name in O.BINS:
+        bins = df.toPandas().sort_values("v", kind="stable")[name].to_numpy()
+        assert (np.diff(bins) >= 0).all() and len(set(bins)) > 1000
+    odd = spark.createDataFrame([(None,), (float("inf"),), (-float("inf"),), (0.0,), (-0.0,)], "v double")
+    assert len(O.with_bins(odd, "v").select(*O.BINS).distinct().collect()) == 3
+
+
+def test_fine_bins_stay_small(spark):
+    """Times of a month, probabilities near 1 and pressures share most of their leading bits."""
+    ids = spark.range(200_000)
+    for value in (1.7e9 + F.rand(1) * 30 * 86400, 0.99 + F.rand(2) * 0.01, 980 + F.rand(3) * 60):
+        counts = O.with_bins(ids.select(value.alias("v")), "v").groupBy(*O.BINS).count()
+        assert counts.agg(F.max("count")).first()[0] < 2000
+
+
+def test_constant_columns_have_no_correlation(spark):
+    df = spark.range(1_100_000).select(
+        F.lit("a").alias("k"), "id", F.lit(0.1).alias("c"), (F.col("id") % 1000).cast("double").alias("v"),
+        F.when(F.col("id") % 3 != 0, F.rand(5)).alias("gaps"),
+    )
+    got = {(r["var_a"], r["var_b"]): r["rho"] for r in T.spearman_matrix(df, ["k"], ["id"], ["c", "v", "gaps"]).collect()}
+    assert [got["c", x] for x in ("c", "v", "gaps")] == [None] * 3
+    assert got["v", "v"] == pytest.approx(1.0) and got["gaps", "gaps"] == pytest.approx(1.0) and abs(got["v", "gaps"]) < 0.01
+    by = T.spearman_by(df, ["k"], "c", "v").first()
+    assert (by["n"], by["rho"]) == (1_100_000, None)
+
+
+def test_pairs_are_complete_pair_by_pair(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame(rng.integers(0, 12, (300, 3)).astype(float), columns=list("abc"))
+    for n, c in enumerate("abc"):
+        pdf.loc[rng.random(300) < 0.2 * (n + 1), c] = np.nan
+    rows = [("k", i, *(None if np.isnan(v) else v for v in r)) for i, r in enumerate(pdf.itertuples(index=False))]
+    df = spark.createDataFrame(rows, "k string, i int, a double, b double, c double")
+    want = pdf.corr("spearman")
+    got = T.spearman_matrix(df, ["k"], ["i"], ["a", "b", "c"]).collect()
+    assert len(got) == 6
+    assert all(r["rho"] == pytest.approx(want.loc[r["var_a"], r["var_b"]], abs=1e-12) for r in got)
+
+
+def test_missing_sides_are_left_out(spark):
+    rows = [(1, 0.9), (1, 0.6), (0, 0.7), (0, 0.2), (None, 0.1), (1, None), (0, None)]
+    df = spark.createDataFrame([("a", t, s, int(s > 0.5) if s is not None else None) for t, s in rows], "k string, t int, s double, p int")
+    assert V.roc_auc(df, ["k"], "t", "s").first()["roc_auc"] == 0.75
+    cells = V.cell_counts(df, ["k"], "t", "p").first()
+    assert (cells["tp"], cells["fp"], cells["tn"], cells["fn"]) == (2, 1, 1, 0)
+    found = [r[0] for r in df.select(V.error_class(F.col("t"), F.col("p"))).collect()]
+    assert found == ["TP", "TP", "FP", "TN", None, None, None]
+    r = V.regression_metrics(df.withColumn("y", F.col("t") * 2.0), ["k"], "y", "s").first()
+    assert r["n"] == 4 and r["mae"] == pytest.approx((1.1 + 1.4 + 0.7 + 0.2) / 4)
+
+
+def test_station_without_agreement(spark):
+    from heatframe.operators.joins import match_station
+
+    left = spark.createDataFrame([("d1", "s2", 1.0), ("d1", "s1", 1.0), ("d2", "s1", 5.0)], "d string, s string, v double")
+    right = spark.createDataFrame([("d1", "g", 1.0), ("d1", "h", 2.0)], "d string, g string, w double")
+    got = sorted(tuple(r) for r in match_station(left, right, "s", "g", "d", "v", "w").collect())
+    assert got == [("g", "s1", 1, 2), ("h", None, 0, 2)]
+
+
+def test_small_tails_are_direct(spark):
+    df = spark.createDataFrame([(40.0, 100), (2.0, 1), (0.5, 1_000_000), (3.0, 2_000_000_000), (0.0, 4)], "t double, n long")
+    got = [r[0] for r in df.select(student_t_two_sided(F.col("t"), F.col("n"))).collect()]
+    want = [1.1164e-63, 1 - 2 / math.pi * math.atan(2.0), 0.6170751, 0.0026998, 1.0]
+    assert got[0] == pytest.approx(want[0], rel=1e-2)
+    assert got[1:] == pytest.approx(want[1:], rel=1e-4)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -146,7 +211,8 @@ def test_histogram_closes_the_last_bin(spark):
 
 def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([("a", 2.0)] * 3, "k string, v double")
-    assert [(r["bin"], r["n"]) for r in C.histogram(df, ["k"], "v").collect()] == [(0, 3)]
+    assert sorted((r["bin"], r["n"]) for r in C.histogram(df, ["k"], "v").collect()) == [(0, 3)] + [(b, 0) for b in range(1, 30)]
+    assert C.histogram(df.drop("k"), [], "v").agg(F.count("*"), F.sum("n")).first() == (30, 3)
 
 
 def scores(seed=0, n=500):
@@ -194,33 +260,29 @@ def test_collinear_groups_follow_chains(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
-def test_lag_profile_pairwise_differs_only_with_partial_rows(spark):
+def test_lag_profile_uses_complete_pairs(spark):
     rng = np.random.default_rng(4)
     times = pd.date_range("2021-01-01", periods=60, freq="h")
     pdf = pd.DataFrame({"k": "a", "t": times, "v": rng.random(60).round(2), "w": rng.random(60).round(2)})
     series = Series(("k",), "t", "hour", dense=True)
     schema = "k string, t timestamp_ntz, v double, w double"
 
-    def profile(p, pairwise):
+    def profile(p):
         rows = [
             (k, t.to_pydatetime(), v, None if np.isnan(w) else w) for k, t, v, w in p.itertuples(index=False)
         ]
-        out = T.lag_profile(spark.createDataFrame(rows, schema), series, "v", ["v", "w"], 5, pairwise=pairwise)
+        out = T.lag_profile(spark.createDataFrame(rows, schema), series, "v", ["v", "w"], 5)
         return {(r["feature"], r["lag"]): r["rho"] for r in out.collect()}
 
     def brute(p):
         return {
-            (f, lag): spearman(p.assign(j=(p["v"].shift(-lag) - p["v"]).round(9)), f, "j") for f in "vw" for lag in range(1, 6)
+            (f, lag): spearman(p.assign(j=p["v"].shift(-lag) - p["v"]), f, "j") for f in "vw" for lag in range(1, 6)
         }
 
-    whole = brute(pdf)
-    for pairwise in (False, True):
-        got = profile(pdf, pairwise)
-        assert got.keys() == whole.keys()
-        assert all(got[c] == pytest.approx(whole[c], abs=1e-9) for c in whole)
-    partial = pdf.assign(w=pdf["w"].where(pdf.index % 5 != 0))
-    got = profile(partial, True)
-    assert all(got[c] == pytest.approx(r, abs=1e-9) for c, r in brute(partial).items())
+    for p in (pdf, pdf.assign(w=pdf["w"].where(pdf.index % 5 != 0))):
+        got, want = profile(p), brute(p)
+        assert got.keys() == want.keys()
+        assert all(got[c] == pytest.approx(r, abs=1e-9) for c, r in want.items())
 
 
 def test_normal_plot_positions_with_a_frequent_value(spark):
