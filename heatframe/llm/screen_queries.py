@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from heatframe.llm.decontamination import find_overlaps
 from heatframe.llm.host_rules import judge
+from heatframe.llm.oracles import HOST_RULES, OVERLAP
 from heatframe.llm.registry import query, scratch, table
 from heatframe.llm.secrets import find_secrets
 
 
-@query("op4_benchmark_overlap")
+@query("op4_benchmark_overlap", OVERLAP)
 def benchmark_overlap(spark, sf_dir):
     found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])")
@@ -20,7 +21,7 @@ def benchmark_overlap(spark, sf_dir):
         (F.size("spans") > 0).alias("contaminated"))
 
 
-@query("op5_host_rules")
+@query("op5_host_rules", HOST_RULES)
 def host_verdicts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return judge(docs, folder=scratch(spark, "judged")).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heatframe.llm.oracles import REPEATS
 from heatframe.llm.partenum import jaccard_components
 from heatframe.llm.registry import query, scratch, table
 from heatframe.llm.substrings import remove_repeats
@@ -14,7 +15,7 @@ def jaccard_groups(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), scratch(spark, "partenum"), num=85, den=100, width=4)
 
 
-@query("op10_repeated_passages")
+@query("op10_repeated_passages", REPEATS)
 def repeated_passages(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents"), scratch(spark, "substrings"), width=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
