@@ -180,19 +180,39 @@ class SubstringDedup:
                     runs, ids, _each(runs.first[wanted], runs.last[wanted])))
 
         by_doc = open_rows.groupBy("doc").agg(F.collect_list("place").alias("places"))
-        return self._with_text(self.written(by_doc, "open")).mapInArrow(
+        return self._with_text(self.written(by_doc, "open"), "places").mapInArrow(
             scan, "kind int, key long, doc long, place long")
 
-    def _with_text(self, by_doc: DataFrame, how: str = "inner") -> DataFrame:
-        """doc_id, text and the places of by_doc; broadcast if its size allows, beyond that shuffled by document."""
-        size = by_doc.agg(F.sum(F.size("places") * 8 + 64)).first()[0] or 0
+    def _with_text(self, by_doc: DataFrame, lists: str, how: str = "inner") -> DataFrame:
+        """doc_id, text and the lists of by_doc; broadcast if its size allows, beyond that shuffled by document."""
+        size = by_doc.agg(F.sum(F.size(lists) * 8 + 64)).first()[0] or 0
         if size <= BROADCAST_BYTES:
             by_doc = F.broadcast(by_doc)
-        return self.docs.join(by_doc, self.docs["doc_id"] == by_doc["doc"], how).select("doc_id", "text", "places")
+        return self.docs.join(by_doc, self.docs["doc_id"] == by_doc["doc"], how).select("doc_id", "text", lists)
 
     def _spans(self, lost: DataFrame) -> DataFrame:
-        """doc and its lost places; a document has no more of them than words."""
-        return lost.groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places"))
+        """doc and spans: its lost words as a flat list of (tag, first, stop), overlapping and touching ones merged.
+        A document has no more lost places than words."""
+        width = self.width
+        schema = pa.schema([("doc", pa.int64()), ("spans", pa.list_(pa.int64()))])
+
+        def merge(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows():
+                for doc, places in files.rows_of(incoming):
+                    at = np.sort(np.array(places, "i8"))
+                    tag, first = at >> (RUN_BITS + START_BITS), (at >> RUN_BITS) & START_MASK
+                    stop = first + (at & RUN_MASK) + width
+                    # within a tag, places are in order and so are their reaches, but for runs within longer ones
+                    reach = np.maximum.accumulate(stop + (tag << START_BITS)) - (tag << START_BITS)
+                    new = np.ones(len(at), bool)
+                    new[1:] = (tag[1:] != tag[:-1]) | (first[1:] > reach[:-1])
+                    ends = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)
+                    yield doc, np.stack([tag[new], first[new], reach[ends]], axis=1).reshape(-1).tolist()
+
+            yield from files.batches(rows(), schema, lambda r: 8 * len(r[1]))
+
+        places = lost.groupBy("doc").agg(F.collect_set("place").alias("places"))
+        return places.mapInArrow(merge, "doc long, spans array<long>")
 
     def _kept(self, spans: DataFrame) -> DataFrame:
         width = self.width
@@ -204,23 +224,20 @@ class SubstringDedup:
                 for b in incoming:
                     ids = b.column(0).to_pylist()
                     for lot in lots(b.column(1), WHITE):
-                        places = b.column(2).slice(lot.rows.start, lot.rows.stop - lot.rows.start).to_pylist()
-                        tags = Runs(lot, width, width).tags if any(places) else None
-                        for k, at in enumerate(places):
+                        spans = b.column(2).slice(lot.rows.start, lot.rows.stop - lot.rows.start).to_pylist()
+                        tags = Runs(lot, width, width).tags if any(spans) else None
+                        for k, own in enumerate(spans):
                             a, z = int(lot.bounds[k]), int(lot.bounds[k + 1])
                             stay = np.ones(z - a, bool)
-                            if at:
-                                at = np.array(at, "i8")
-                                at = at[at >> (RUN_BITS + START_BITS) == tags[k]]
-                                first = (at >> RUN_BITS) & START_MASK
-                                for s, e in zip(first.tolist(), (first + (at & RUN_MASK) + width).tolist()):
-                                    stay[s:e] = False
+                            for tag, first, stop in np.array(own or [], "i8").reshape(-1, 3).tolist():
+                                if tag == tags[k]:
+                                    stay[first:stop] = False
                             words = [lot.data[lot.starts[i]:lot.ends[i]].tobytes() for i in a + np.flatnonzero(stay)]
                             yield ids[lot.rows.start + k], z - a, z - a - len(words), b" ".join(words).decode()
 
             yield from files.batches(rows(), schema, lambda r: len(r[-1]))
 
-        return self._with_text(spans, "left").mapInArrow(
+        return self._with_text(spans, "spans", "left").mapInArrow(
             cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
