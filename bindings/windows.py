@@ -165,4 +165,5 @@ def _(i: Inputs):
                 / 2.0 AS DOUBLE) AS rank
     FROM daily_obs""")
 def _(i: Inputs):
-    return average_ranks(i.daily_obs(), ["station_id"], "tx").withColumn("rank", F.col("rank").cast("double"))
+    ranks = average_ranks(i.daily_obs(), ["station_id"], "tx")
+    return ranks.select("station_id", "tx", "n", F.col("rank").cast("double").alias("rank"))
