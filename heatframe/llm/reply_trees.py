@@ -50,21 +50,23 @@ def paths(messages: DataFrame, folder: str) -> DataFrame:
     # up: the next ancestor to look up; path: from below it to the message
     steps = written(known.join(ids, ["tree", "parent"], "left").select(
         "tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.array("id").alias("path")), "paths-0")
-    turn, left = 0, steps.where("up IS NOT NULL").count()
-    replied = steps.select("tree", F.col("up").alias("id")).where("id IS NOT NULL").distinct()
-    replied = written(replied, "replied")
+    replied = written(steps.select("tree", F.col("up").alias("id")).where("id IS NOT NULL").distinct(), "replied")
+    # messages whose path has reached the root are looked up further on, but join no more
+    whole, partial = steps.where("up IS NULL"), steps.where("up IS NOT NULL")
+    turn, left = 0, partial.count()
     while left:
         turn += 1
-        above = steps.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("higher"))
-        steps = written(steps.join(above, ["tree", "up"], "left").select(
-            "tree", "id", F.col("next").alias("up"),
-            F.when(F.col("higher").isNull(), F.col("path")).otherwise(F.concat("higher", "path")).alias("path")),
-            f"paths-{turn}")
-        now = steps.where("up IS NOT NULL").count()
+        above = whole.unionByName(partial).select(
+            "tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("higher"))
+        moved = written(partial.join(above, ["tree", "up"]).select(
+            "tree", "id", F.col("next").alias("up"), F.concat("higher", "path").alias("path")), f"paths-{turn}")
+        whole = whole.unionByName(moved.where("up IS NULL"))
+        partial = moved.where("up IS NOT NULL")
+        now = partial.count()
         if now == left:
             break  # every message that reaches a root would be nearer to it: what is left are circles
         left = now
-    leaves = steps.where("up IS NULL").join(replied, ["tree", "id"], "left_anti")
+    leaves = whole.join(replied, ["tree", "id"], "left_anti")
     return leaves.select("tree", F.col("id").alias("leaf"), "path")
 
 
