@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group linked at a similarity of 0.8 over five-word shingles."""
-    return keep_one_per_component(docs, scratch(spark, "stage-jaccard"), num=80, den=100, width=5)
+    return keep_one_per_component(docs, scratch(spark, "stage-jaccard"), num=80, den=100, width=5, parts=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures (operator 9).
 
-Sets fall into bands of similar size. Within a band, similar sets differ in at most k shingles, so of
-``n1 = k // 2 + 1`` groups of the shingle domain one holds at most one difference, and of that group's three
-parts two agree: a set's signatures are all choices of two parts of a group. Whatever shares a signature
-is a candidate, and candidates are verified on whole sets.
+Sets fall into bands of similar size. Within a band, similar sets differ in at most k shingles, so of more than
+k / 2 groups of the shingle domain one holds at most one difference, and of that group's parts all but one
+agree: a set's signatures are all choices of all parts but one of a group. Whatever shares a signature is a
+candidate, and candidates are verified on whole sets.
 
 Work stays below all pairs. Sets that are equal are one class. A task sends every signature once per lot.
 Members of a signature are compared with one pivot of it; only where that leaves several components, the rest
-is compared, and only pairs that can still link: shingles that no other candidate has bound the overlap.
+is compared, and only pairs that can still link: the rarest shingle that two sets share
+bounds their overlap.
 """
 
 from __future__ import annotations
@@ -24,17 +25,20 @@ from heatframe.llm.components import components
 from heatframe.llm.words import AS_IS, BASE, LOWERED, WHITE, Lot, lots, mix, window_hashes
 
 SEEDS = 4
-BAND_RATIO = 1.25
+BAND_RATIO = 1.6
+MOST_EXTRA = 40
+COUNTERS = 128
 LOT_SIGNATURES = 1 << 20
 BROADCAST_ROWS = 2_000_000  # at 48 bytes a row: below 100 MB
 
 
 class Bands:
-    """Bands of set sizes and the differences that each must bear, for links at ``num / den``."""
+    """Bands of set sizes and the differences that each must bear, for links at ``num / den``; groups have ``parts``."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, parts: int = 3):
+        self.num, self.den, self.parts = num, den, parts
         self.lows = [1]
+        self.known: dict[int, int] = {}
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         top = int(sizes.max(initial=1))
@@ -51,6 +55,20 @@ class Bands:
         """Largest symmetric difference of two linked sets of which the larger is in the band."""
         return 2 * self.high(band) * (self.den - self.num) // (self.den + self.num)
 
+    def groups(self, band: np.ndarray) -> np.ndarray:
+        """Groups of the domain: over half the differences, and more where choices are empty by chance."""
+        for j in np.unique(band).tolist():
+            if j not in self.known:
+                one = np.array([j])
+                k, least = int(self.differences(one)[0]), self.num * int(self.high(one)[0]) / self.den
+                for extra in range(MOST_EXTRA):
+                    n = k // 2 + 1 + extra
+                    empty = self.parts * n * np.exp(-least * (self.parts - 1) / (self.parts * n))
+                    if 2 * n - k > empty + 3 * empty**0.5:
+                        break
+                self.known[j] = n
+        return np.array([self.known[j] for j in band.tolist()], "i8")
+
 
 class Sets:
     """Distinct shingles of the texts of a lot: values, the text of each, sizes, and a hash of every set."""
@@ -77,6 +95,13 @@ class Sets:
         self.hashes = mix(total + self.sizes.astype("u8") * BASE).view("i8")
         self.bounds = np.searchsorted(self.text, np.arange(n + 1))
 
+    def counts(self) -> list[bytes]:
+        """Shingles of every set by COUNTERS cells of the domain, at most 255 each. The cells' differences
+        between two sets sum up to no more than their symmetric difference."""
+        cell = (mix(self.values + np.uint64(7)) >> np.uint64(57)).astype("i8")
+        found = np.bincount(self.text * COUNTERS + cell, minlength=self.n * COUNTERS)
+        return [row.tobytes() for row in np.minimum(found, 255).astype("u1").reshape(self.n, COUNTERS)]
+
     def of(self, k: int) -> np.ndarray:
         return self.values[self.bounds[k]:self.bounds[k + 1]].view("i8")
 
@@ -104,8 +129,9 @@ def signatures(sets: Sets, chosen: np.ndarray, bands: Bands) -> tuple[np.ndarray
         todo = chosen & (sets.sizes > 0) & (k > 0)
         if shift:
             todo &= sets.sizes * bands.den >= bands.num * next_low
-        groups = k // 2 + 1
-        sure = np.where(k % 2 == 0, 3, 1)  # signatures that two linked sets share at least
+        groups, parts = bands.groups(band), bands.parts
+        # signatures that two linked sets share at least: the first difference of a group leaves one, the second none
+        sure = 2 * groups - k
         for seed in range(SEEDS):
             if not todo.any():
                 break
@@ -113,17 +139,20 @@ def signatures(sets: Sets, chosen: np.ndarray, bands: Bands) -> tuple[np.ndarray
             own_value = todo[sets.text]
             values, text = sets.values[own_value], sets.text[own_value]
             spread = mix(values + np.uint64((seed + 1) * 0x9E3779B9))
-            part = ((spread >> np.uint64(20)) % (3 * groups[text]).astype("u8")).astype("i8") + 3 * first[text]
-            total = _sums(spread, part, 3 * first[-1]).reshape(-1, 3)
-            filled = np.bincount(part, minlength=3 * first[-1]).reshape(-1, 3) > 0
+            part = ((spread >> np.uint64(20)) % (parts * groups[text]).astype("u8")).astype("i8") + parts * first[text]
+            total = _sums(spread, part, parts * first[-1]).reshape(-1, parts)
+            filled = np.bincount(part, minlength=parts * first[-1]).reshape(-1, parts) > 0
             group_text = np.repeat(np.arange(sets.n), np.where(todo, groups, 0))
             number = (np.arange(first[-1]) - first[group_text]).astype("u8")
             tag = mix(number * BASE + (band[group_text] * SEEDS + seed).astype("u8"))
             empty = np.zeros(sets.n, "i8")
-            for left in range(3):
-                a, b = (left + 1) % 3, (left + 2) % 3
-                says = filled[:, a] | filled[:, b]
-                sig = mix(mix(total[:, a] + tag) + total[:, b] * BASE + np.uint64(left))
+            for left in range(parts):
+                says, sig = np.zeros(len(tag), bool), tag
+                for p in range(parts):
+                    if p != left:
+                        says = says | filled[:, p]
+                        sig = mix(sig * BASE + total[:, p])
+                sig = mix(sig + np.uint64(left))
                 out_sig.append(sig[says])
                 out_text.append(group_text[says])
                 empty += np.bincount(group_text[~says], minlength=sets.n)
@@ -131,17 +160,21 @@ def signatures(sets: Sets, chosen: np.ndarray, bands: Bands) -> tuple[np.ndarray
         last = np.flatnonzero(todo)
         out_sig.append(mix(band[last].astype("u8") + np.uint64(1 << 40)))
         out_text.append(last)
-    return np.concatenate(out_sig).view("i8"), np.concatenate(out_text)
+    # 56 bits: shorter when shuffled, and a chance meeting is only one more candidate
+    return (np.concatenate(out_sig) >> np.uint64(8)).view("i8"), np.concatenate(out_text)
 
 
 class JaccardJoin:
     """The join's settings and steps; ``classes`` and the tables of every step lie below ``folder``."""
 
-    def __init__(self, docs: DataFrame, folder: str, num: int = 85, den: int = 100, width: int = 4,
+    def __init__(self, docs: DataFrame, folder: str, num: int = 85, den: int = 100, width: int = 4, parts: int = 3,
                  separators: np.ndarray = WHITE, lower: bool = True, id_column: str = "doc_id",
                  text_column: str = "text"):
         if not 0 < num < den:
             raise ValueError("the similarity is a fraction between 0 and 1")
+        if parts < 2:
+            raise ValueError("a group has two parts or more")
+        self.parts = parts
         self.spark, self.folder, self.num, self.den, self.width = docs.sparkSession, folder, num, den, width
         self.separators, self.letters = separators, LOWERED if lower else AS_IS
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -152,11 +185,12 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
-        sizes = self.written(self.docs.mapInArrow(self._sizes(), "doc_id long, n_shingles long, set_hash long"), "sizes")
+        sizes = self.written(self.docs.mapInArrow(self._sizes(), "doc_id long, n_shingles long, set_hash long, counts binary"), "sizes")
         classes = self.written(
             sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash", "n_shingles")
-            .agg(F.min("doc_id").alias("id")).select("set_hash", "id", F.col("n_shingles").alias("m")), "classes")
-        linked = self._links(classes)
+            .agg(F.min("doc_id").alias("id"), F.min("counts").alias("counts"))
+            .select("set_hash", "id", F.col("n_shingles").alias("m"), "counts"), "classes")
+        linked = self._links(sizes, classes)
         found = linked.select(F.col("node").alias("id"), "component")
         named = self.written(classes.join(found, "id", "left").select(
             "set_hash", F.col("m").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "named")
@@ -171,23 +205,26 @@ class JaccardJoin:
                 for lot in lots(b.column(1), self_separators, self_letters):
                     sets = Sets(lot, width)
                     yield pa.record_batch([b.column(0).slice(lot.rows.start, sets.n), pa.array(sets.sizes, pa.int64()),
-                                           pa.array(sets.hashes)], ["doc_id", "n_shingles", "set_hash"])
+                                           pa.array(sets.hashes), pa.array(sets.counts(), pa.binary())],
+                                          ["doc_id", "n_shingles", "set_hash", "counts"])
 
         self_separators, self_letters, width = self.separators, self.letters, self.width
         return sizes
 
     def _candidates(self) -> DataFrame:
-        """set_hash a and pivot p of all signatures that several sets share."""
-        separators, letters, width, num, den = self.separators, self.letters, self.width, self.num, self.den
+        """id a and pivot p of all signatures that several documents share."""
+        separators, letters, width = self.separators, self.letters, self.width
+        num, den, parts = self.num, self.den, self.parts
 
         def sign(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bands, held, size = Bands(num, den), [], 0
+            bands, held, size = Bands(num, den, parts), [], 0
             for b in incoming:
                 known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+                ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 for lot in lots(b.column(1), separators, letters):
                     sets = Sets(lot, width)
                     sig, text = signatures(sets, known[lot.rows], bands)
-                    held.append((sig, sets.hashes[text]))
+                    held.append((sig, ids[lot.rows][text]))
                     size += len(sig)
                     if size >= LOT_SIGNATURES:
                         yield _combined(held)
@@ -239,19 +276,39 @@ class JaccardJoin:
         return self.written(both.where(F.col("i") * self.den >= (F.col("both") - F.col("i")) * self.num)
                             .select("a", F.col("p").alias("b")), name)
 
+    def _close(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Those of the pairs whose counts allow a link: most chance meetings end here, on COUNTERS bytes a set."""
+        num, den = self.num, self.den
+
+        def near(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in incoming:
+                of_a, of_p = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(-1, COUNTERS).astype("i2")
+                              for c in (6, 7))
+                differ = np.abs(of_a - of_p).sum(axis=1, dtype="i8")
+                both = b.column(4).to_numpy() + b.column(5).to_numpy()
+                yield b.select(range(6)).filter(pa.array(differ * (den + num) <= both * (den - num)))
+
+        of_a = classes.select(F.col("id").alias("a"), F.col("set_hash").alias("ha"), F.col("counts").alias("of_a"))
+        of_p = classes.select(F.col("id").alias("p"), F.col("set_hash").alias("hp"), F.col("counts").alias("of_p"))
+        met = pairs.join(of_a, ["a", "ha"]).join(of_p, ["p", "hp"]).select("a", "p", "ha", "hp", "ma", "mp", "of_a", "of_p")
+        return met.mapInArrow(near, "a long, p long, ha long, hp long, ma long, mp long")
+
     def _can_link(self, m, n):
         """Whether sizes m and n allow a link."""
         return (F.least(m, n) * self.den >= F.greatest(m, n) * self.num)
 
-    def _links(self, classes: DataFrame) -> DataFrame:
+    def _links(self, sizes: DataFrame, classes: DataFrame) -> DataFrame:
         """node, component over classes' ids."""
-        as_a = classes.select(F.col("set_hash").alias("ha"), F.col("id").alias("a"), F.col("m").alias("ma"))
-        as_p = classes.select(F.col("set_hash").alias("hp"), F.col("id").alias("p"), F.col("m").alias("mp"))
-        tried = self.written(
-            self._candidates().select(F.col("a").alias("ha"), F.col("p").alias("hp")).join(as_a, "ha").join(as_p, "hp"),
-            "pairs-0")
+        # pairs of documents become pairs of classes
+        known = sizes.select("doc_id", "n_shingles", "set_hash").where("n_shingles > 0 AND doc_id IS NOT NULL")
+        named = known.distinct().join(
+            classes.select("set_hash", F.col("m").alias("n_shingles"), "id"), ["set_hash", "n_shingles"])
+        as_a = named.select(F.col("doc_id").alias("da"), F.col("set_hash").alias("ha"), F.col("id").alias("a"), F.col("n_shingles").alias("ma"))
+        as_p = named.select(F.col("doc_id").alias("dp"), F.col("set_hash").alias("hp"), F.col("id").alias("p"), F.col("n_shingles").alias("mp"))
+        met = self._candidates().select(F.col("a").alias("da"), F.col("p").alias("dp")).join(as_a, "da").join(as_p, "dp")
+        tried = self.written(met.where("a != p OR ha != hp").drop("da", "dp").distinct(), "pairs-0")
         fits = self._can_link(F.col("ma"), F.col("mp"))
-        links = self._verified(tried.where(fits), "links-0")
+        links = self._verified(self.written(self._close(tried.where(fits), classes), "close"), "links-0")
         labels = components(links, f"{self.folder}/components-0")
         # A signature is settled if all its members and its pivot are in one component. Members of the others
         # were all tried with the pivot of a failed pair.
@@ -267,29 +324,41 @@ class JaccardJoin:
         return self._settle(members, links, labels, tried)
 
     def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Compares members of unsettled signatures until every pair that can link is in one component or was tried."""
+        """Compares members of unsettled signatures until every pair that can link is in one component or was tried.
+
+        With shingles ordered by how many members have them, two linked sets share one of their rarest
+        ``(1 - num/den) * m + 1``. So members meet at those shingles alone, first each with the pivot of a shingle,
+        then, where components are left, with one another.
+        """
         sets = self.written(self._shingles(members).dropDuplicates(["id"]), "open-sets")
-        # a shingle that one candidate alone has counts against every link of it
-        alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(
-            F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-        rare = members.join(alone, "id", "left").select("id", "set_hash", "m", F.coalesce("own", F.lit(0)).alias("own"))
-        # |a| >= overlap >= num/den * |a|, or nothing links
-        rare = rare.where(F.col("own") * self.den <= F.col("m") * (self.den - self.num))
-        signed = self.written(self._signed(rare), "open-signatures")
+        each = sets.select("id", F.explode("shingles").alias("s"))
+        spread = self.written(each.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")), "open-shingles")
+        # a shingle that one member alone has counts against every link of it
+        alone = spread.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+        spare = F.floor(F.col("m") * (self.den - self.num) / F.lit(self.den))
+        able = self.written(members.join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn(
+            "meets", spare + 1 - F.col("own")).where("meets > 0"), "open-able")
+        shared = sets.join(able.select("id", "meets"), "id").select("id", "meets", F.explode("shingles").alias("s")).join(
+            spread.where("n > 1").select("s", "n"), "s")
+        # as many rows as a set has shingles
+        rarest = Window.partitionBy("id").orderBy("n", "s")
+        prefix = shared.withColumn("rank", F.row_number().over(rarest)).where("rank <= meets").select("id", "s", "rank")
+        signed = self.written(prefix.join(able.drop("meets"), "id").select(
+            F.col("s").alias("sig"), "id", "set_hash", "m", (F.col("own") + F.col("rank") - 1).alias("before")), "open-prefixes")
         done = tried.select("a", "p")
         for turn in range(1, 4):
             at = signed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
                 "component", F.coalesce("component", "id"))
             if turn < 3:
-                first = at.groupBy("sig").agg(F.min(F.struct("own", "id", "m", "component", "set_hash")).alias("p"))
+                first = at.groupBy("sig").agg(F.min(F.struct("before", "id", "m", "component", "set_hash")).alias("p"))
                 pairs = at.join(self.written(first, f"pivots-{turn}"), "sig").select(
-                    F.col("id").alias("a"), "p.id", "own", F.col("p.own").alias("own_p"), "m", F.col("p.m").alias("mp"),
+                    F.col("id").alias("a"), "p.id", "before", F.col("p.before").alias("before_p"), "m", F.col("p.m").alias("mp"),
                     "component", F.col("p.component").alias("cp"), F.col("set_hash").alias("ha"),
                     F.col("p.set_hash").alias("hp")).withColumnRenamed("id", "p")
             else:
-                other = at.select("sig", F.col("id").alias("p"), F.col("own").alias("own_p"), F.col("m").alias("mp"),
+                other = at.select("sig", F.col("id").alias("p"), F.col("before").alias("before_p"), F.col("m").alias("mp"),
                                   F.col("component").alias("cp"), F.col("set_hash").alias("hp"))
-                pairs = at.select("sig", F.col("id").alias("a"), "own", "m", "component", F.col("set_hash").alias("ha")).join(
+                pairs = at.select("sig", F.col("id").alias("a"), "before", "m", "component", F.col("set_hash").alias("ha")).join(
                     other, (at["sig"] == other["sig"]) & (F.col("a") > F.col("p")) & self._open_pair())
             pairs = pairs.where(self._open_pair()).select("a", "p", "ha", "hp").distinct()
             fresh = pairs.join(done, ["a", "p"], "left_anti").join(
@@ -303,32 +372,14 @@ class JaccardJoin:
         return labels
 
     def _open_pair(self):
-        """Not yet in one component, of fitting sizes, and with few enough shingles of their own."""
-        both = F.col("m") + F.col("mp")
-        return ((F.col("component") != F.col("cp")) & self._can_link(F.col("m"), F.col("mp"))
-                & ((F.col("own") + F.col("own_p")) * (self.den + self.num) <= both * (self.den - self.num)))
-
-    def _signed(self, members: DataFrame) -> DataFrame:
-        """sig, id, set_hash, m, own: all signatures of the members."""
-        separators, letters, width, num, den = self.separators, self.letters, self.width, self.num, self.den
-
-        def sign(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bands = Bands(num, den)
-            for b in incoming:
-                hashes = b.column(2).to_numpy(zero_copy_only=False)
-                for lot in lots(b.column(1), separators, letters):
-                    sets = Sets(lot, width)
-                    sig, text = signatures(sets, sets.hashes == hashes[lot.rows], bands)
-                    rows = pa.array(text + lot.rows.start)
-                    yield pa.record_batch([pa.array(sig), *(b.column(c).take(rows) for c in (0, 2, 3, 4))],
-                                          ["sig", "id", "set_hash", "m", "own"])
-
-        own = self._texts(members).select("id", "text", "set_hash", "m", "own")
-        return own.mapInArrow(sign, "sig long, id long, set_hash long, m long, own long").distinct()
+        """Not yet in one component, and able to link if this is the rarest shingle they share: the ``before`` rarer
+        ones of either are then in the other one not."""
+        most = F.least(F.col("m") - F.col("before"), F.col("mp") - F.col("before_p"))
+        return (F.col("component") != F.col("cp")) & (most * self.den >= (F.col("m") + F.col("mp") - most) * self.num)
 
 
 def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows (key, a, is_pair) of a lot: each signature once, with its smallest set; the others as pairs with that one."""
+    """Rows (key, a, is_pair) of a lot: each signature once, with its smallest member; the others as pairs with that one."""
     sig, member = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((member, sig))
     sig, member = sig[order], member[order]

@@ -48,10 +48,10 @@ def near_copies(seed):
     return out
 
 
-@pytest.mark.parametrize("num,width", [(85, 4), (80, 5), (60, 2)])
-def test_components_equal_all_pairs(spark, folder, num, width):
+@pytest.mark.parametrize("num,width,parts", [(85, 4, 3), (80, 5, 2), (60, 2, 3), (30, 1, 4)])
+def test_components_equal_all_pairs(spark, folder, num, width, parts):
     docs = list(enumerate(texts() + near_copies(num)))
-    got = jaccard_components(documents(spark, rows=docs), folder, num=num, den=100, width=width)
+    got = jaccard_components(documents(spark, rows=docs), folder, num=num, den=100, width=width, parts=parts)
     assert rows_of(got) == sorted(groups(docs, num, 100, width), key=repr)
 
 
@@ -102,3 +102,30 @@ def test_components_of_a_path_and_stars(spark, folder):
     want = {**{k: 0 for k in range(41)}, **{k: 50 for k in [50, *range(100, 110)]}}
     assert dict(map(tuple, got.collect())) == want
     assert components(spark.createDataFrame([], "a long, b long"), folder + "-e").count() == 0
+
+
+@pytest.mark.parametrize("num,parts", [(85, 3), (80, 2), (70, 4)])
+def test_linked_sets_share_a_signature(num, parts):
+    import numpy as np
+    import pyarrow as pa
+
+    from heatframe.llm.partenum import Bands, Sets, signatures
+    from heatframe.llm.words import AS_IS, WHITE, lots
+
+    rng = random.Random(num)
+    pairs = []
+    for _ in range(400):
+        words = [f"w{rng.random()}" for _ in range(rng.choice([7, 8, 12, 20, 45, 130, 400]))]
+        other = [w for w in words if rng.random() > (100 - num) / 140]
+        other += [f"x{rng.random()}" for _ in range(rng.randint(0, max(1, len(words) * (100 - num) // 220)))]
+        i = len(set(words) & set(other))
+        if 100 * i >= num * (len(words) + len(other) - i) and set(words) != set(other):
+            pairs += [" ".join(words), " ".join(other)]
+    assert len(pairs) > 200
+    (lot,) = lots(pa.array(pairs), WHITE, AS_IS, 1 << 30)
+    sets = Sets(lot, 1)
+    sig, text = signatures(sets, np.ones(sets.n, bool), Bands(num, 100, parts))
+    held = [set() for _ in pairs]
+    for s, t in zip(sig.tolist(), text.tolist()):
+        held[t].add(s)
+    assert all(held[k] & held[k + 1] for k in range(0, len(pairs), 2))
