@@ -212,7 +212,7 @@ class JaccardJoin:
         return sizes
 
     def _candidates(self) -> DataFrame:
-        """id a and pivot p of all signatures that several documents share."""
+        """id a and pivot p of all signatures that several documents share; many: whether a stands for others of its lot."""
         separators, letters, width = self.separators, self.letters, self.width
         num, den, parts = self.num, self.den, self.parts
 
@@ -232,10 +232,10 @@ class JaccardJoin:
             if held:
                 yield _combined(held)
 
-        rows = self.docs.mapInArrow(sign, "key long, a long, is_pair boolean")
+        rows = self.docs.mapInArrow(sign, "key long, a long, is_pair boolean, many boolean")
         shared = Window.partitionBy("key", "is_pair")
         pivot = F.when(F.col("is_pair"), F.col("key")).otherwise(F.min("a").over(shared))
-        return rows.select("a", pivot.alias("p")).where("a != p").distinct()
+        return rows.select("a", pivot.alias("p"), "many").where("a != p").groupBy("a", "p").agg(F.max("many").alias("many"))
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """wanted (id, ..) with the text of its documents. Broadcast if small; shuffled by id beyond that."""
@@ -305,18 +305,25 @@ class JaccardJoin:
             classes.select("set_hash", F.col("m").alias("n_shingles"), "id"), ["set_hash", "n_shingles"])
         as_a = named.select(F.col("doc_id").alias("da"), F.col("set_hash").alias("ha"), F.col("id").alias("a"), F.col("n_shingles").alias("ma"))
         as_p = named.select(F.col("doc_id").alias("dp"), F.col("set_hash").alias("hp"), F.col("id").alias("p"), F.col("n_shingles").alias("mp"))
-        met = self._candidates().select(F.col("a").alias("da"), F.col("p").alias("dp")).join(as_a, "da").join(as_p, "dp")
-        tried = self.written(met.where("a != p OR ha != hp").drop("da", "dp").distinct(), "pairs-0")
+        met = self._candidates().select(F.col("a").alias("da"), F.col("p").alias("dp"), "many").join(as_a, "da").join(as_p, "dp")
+        tried = self.written(met.where("a != p OR ha != hp").groupBy("a", "p", "ha", "hp", "ma", "mp").agg(
+            F.max("many").alias("many")), "pairs-0")
         fits = self._can_link(F.col("ma"), F.col("mp"))
         links = self._verified(self.written(self._close(tried.where(fits), classes), "close"), "links-0")
         labels = components(links, f"{self.folder}/components-0")
-        # A signature is settled if all its members and its pivot are in one component. Members of the others
-        # were all tried with the pivot of a failed pair.
+        # A signature is settled if all its members and its pivots are in one component. Its pairs are two levels
+        # high: members of a lot below the lot's pivot, and those of several lots (many) below the smallest of them.
+        # So a failed pair opens its pivot and the pivot above, and these the lots' pivots below with their members.
         label_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         label_p = labels.select(F.col("node").alias("p"), F.col("component").alias("cp"))
         failed = tried.join(label_a, "a", "left").join(label_p, "p", "left").where(
             F.coalesce("ca", "a") != F.coalesce("cp", "p")).select("hp").distinct()
-        open_pairs = tried.join(failed, "hp", "left_semi")
+        stand_in = tried.where("many").select("ha", "hp")
+        above = stand_in.join(failed.select(F.col("hp").alias("ha")), "ha", "left_semi").select("hp")
+        roots = self.written(failed.union(above).distinct(), "roots")
+        below = stand_in.join(roots, "hp", "left_semi").select(F.col("ha").alias("hp"))
+        reopened = self.written(roots.union(below).distinct(), "reopened")
+        open_pairs = tried.join(reopened, "hp", "left_semi")
         members = self.written(open_pairs.select(F.col("a").alias("id"), F.col("ha").alias("set_hash"), F.col("ma").alias("m"))
                                .union(open_pairs.select("p", "hp", "mp")).distinct(), "open")
         if members.isEmpty():
@@ -379,7 +386,8 @@ class JaccardJoin:
 
 
 def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows (key, a, is_pair) of a lot: each signature once, with its smallest member; the others as pairs with that one."""
+    """Rows (key, a, is_pair, many) of a lot: each signature once, with its smallest member and whether it has others;
+    the others as pairs with that one."""
     sig, member = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((member, sig))
     sig, member = sig[order], member[order]
@@ -388,9 +396,12 @@ def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     pivot = member[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))] if len(sig) else member
     other = ~first & (member != pivot)
     pairs = np.unique(np.stack([pivot[other], member[other]], axis=1), axis=0)
+    group = np.cumsum(first) - 1
+    many = np.bincount(group[other], minlength=int(first.sum())) > 0
     return pa.record_batch([
         pa.array(np.concatenate([sig[first], pairs[:, 0]])), pa.array(np.concatenate([member[first], pairs[:, 1]])),
-        pa.array(np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(pairs), bool)]))], ["key", "a", "is_pair"])
+        pa.array(np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(pairs), bool)])),
+        pa.array(np.concatenate([many, np.zeros(len(pairs), bool)]))], ["key", "a", "is_pair", "many"])
 
 
 def jaccard_components(docs: DataFrame, folder: str, **settings) -> DataFrame:

@@ -55,6 +55,59 @@ def test_components_equal_all_pairs(spark, folder, num, width, parts):
     assert rows_of(got) == sorted(groups(docs, num, 100, width), key=repr)
 
 
+def four_texts(first, second):
+    """Texts 1, 5, 3, 7 in this order, of which 5 and 7 link and share no signature that 1 and 3 have not, too.
+
+    first, second: how many of the extra words 1 and 3 have; 5 and 7 have three each of other ones.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from heatframe.llm.partenum import Bands, Sets, signatures
+    from heatframe.llm.words import WHITE, lots
+
+    for seed in range(2000):
+        rng = random.Random(seed)
+        base, x = [f"b{rng.random()}" for _ in range(40)], [f"x{rng.random()}" for _ in range(400)]
+        (lot,) = lots(pa.array([" ".join(base)] + [" ".join([*base, w]) for w in x]), WHITE)
+        sig, text = signatures(Sets(lot, 1), np.ones(401, bool), Bands(85, 100))
+        held = [set() for _ in range(401)]
+        for s, k in zip(sig.tolist(), text.tolist()):
+            held[k].add(s)
+        # extra words of one part lose the same signatures
+        alike = {}
+        for w, h in zip(x, held[1:]):
+            alike.setdefault(frozenset(held[0] - h), []).append(w)
+        many = [ws for ws in alike.values() if len(ws) >= 7][:2]
+        if len(many) < 2:
+            continue
+        extra = {"x": many[0], "y": many[1]}
+        texts_ = [" ".join(base + extra[side][:n]) for side, n in (first, ("x", 3), second, ("y", 3))]
+        (lot,) = lots(pa.array(texts_), WHITE)
+        sig, text = signatures(Sets(lot, 1), np.ones(4, bool), Bands(85, 100))
+        own = [set(sig[text == k].tolist()) for k in range(4)]
+        if own[1] & own[3] and own[1] & own[3] <= own[0] & own[2]:
+            return list(zip((1, 5, 3, 7), texts_))
+    raise AssertionError("no such texts")
+
+
+@pytest.mark.parametrize("per_lot", [1, 2])
+@pytest.mark.parametrize("first,second", [(("x", 7), ("y", 7)), (("x", 5), ("x", 7))])
+def test_links_do_not_depend_on_lots(spark, folder, monkeypatch, first, second, per_lot):
+    from heatframe.llm import partenum
+
+    docs = four_texts(first, second)
+    want = sorted(groups(docs, 85, 100, 1), key=repr)
+    assert {c for *_, c in want} == {1}
+    monkeypatch.setattr(partenum, "LOT_SIGNATURES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_lot)
+    try:
+        given = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        assert rows_of(jaccard_components(given, folder, num=85, den=100, width=1)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_rows_without_id_and_repeated_rows(spark, folder):
     text = prose(random.Random(1), 30)
     docs = documents(spark, rows=[(None, text), (7, text), (7, text), (9, text), (3, None), (4, "")])
