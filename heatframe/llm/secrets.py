@@ -23,7 +23,10 @@ BROADCAST_ROWS = 1_000_000
 MARK = "<secret>"
 
 _SPACES = "[ \\\\x09-\\\\x0D]+"
-_OTHER = "[^A-Za-z0-9+/_-]+"
+_RUN = "[A-Za-z0-9+/_-]"
+_ENDS = "\"'`,;&?={}()<>|"  # a value within a word, as a path, ends at these
+# what stands before a candidate since the last one, the candidate, and the rest of its value, which is bounded
+_CANDIDATE = (f"(?s)(.*?)(?<!{_RUN})((?=[A-Za-z+/_-]*[0-9]){_RUN}{{{MIN_LENGTH},}})(?=([^{_ENDS}]{{0,200}}))")
 # Names that stand before a secret, fixed values.
 KEY_NAMES = "(?i)(token|passw(or)?d|passwd|secret|api[_-]?key|access[_-]?key|auth|credential|private)"
 FEATURES = ["length", "class_changes", "distinct_share", "digit_share", "upper_share", "is_hex", "covered_share",
@@ -31,14 +34,15 @@ FEATURES = ["length", "class_changes", "distinct_share", "digit_share", "upper_s
 
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, word_no, word, core, before_2, before, after of every candidate.
+    """doc_id, word_no, run_no, core, lead, value, before_2, before, after of every candidate.
 
-    Words are runs of anything but white space. A word's core is its longest run of [A-Za-z0-9+/_-] with a digit, of at
-    least MIN_LENGTH characters; of equal ones the last by its text. Null and empty texts have none.
+    Words are runs of anything but white space. Every run of [A-Za-z0-9+/_-] in a word with a digit and at least
+    MIN_LENGTH characters is a candidate, ``run_no`` its place among those of the word. ``lead`` is the word's text
+    before it back to the last candidate, and that of the first part for parts joined by dots (five at most);
+    before_2 and before are the words before, empty where another candidate stands between. ``value`` is the
+    candidate with what surrounds it up to quotes, commas and the like. Null and empty texts have none.
     """
     words = f"filter(split(coalesce(`{text_column}`, ''), '{_SPACES}'), w -> w != '')"
-    core = f"""array_max(transform(filter(split(word, '{_OTHER}'),
-        p -> char_length(p) >= {MIN_LENGTH} and p rlike '[0-9]'), p -> struct(char_length(p) as n, p as p))).p"""
     held = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.expr(words).alias("words"))
     places = F.expr(f"filter(sequence(0, size(words)), i -> char_length(get(words, i)) >= {MIN_LENGTH}"
                     " and get(words, i) rlike '[0-9]')")
@@ -46,7 +50,20 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         coalesce(get(words, i - 2), '') as before_2, coalesce(get(words, i - 1), '') as before,
         coalesce(get(words, i + 1), '') as after))""")
     found = held.withColumn("places", places).select("doc_id", F.explode(near).alias("c")).select("doc_id", "c.*")
-    return found.withColumn("core", F.expr(core)).where("core IS NOT NULL")
+    for k, name in enumerate(("leads", "cores", "rests"), 1):
+        found = found.withColumn(name, F.regexp_extract_all("word", F.lit(_CANDIDATE), F.lit(k)))
+    own = "i" + "".join(f" - if(i >= {k} and " + " and ".join(f"get(leads, i - {j}) = '.'" for j in range(k)) + ", 1, 0)"
+                        for k in range(1, 5))
+    runs = F.expr(f"transform(cores, (c, i) -> struct(cast(i as int) as run_no, c as core, {own} as own, get(rests, i) as rest,"
+                  f" get(leads, {own}) as lead))")
+    each = found.select(
+        "doc_id", "word_no", "before_2", "before", "after", F.explode(runs).alias("r")).select(
+        "doc_id", "word_no", "before_2", "before", "after", "r.*")
+    first = F.col("own") == 0
+    value = F.concat(F.regexp_extract("lead", f"[^{_ENDS}]*$", 0), "core", "rest")
+    return each.select(
+        "doc_id", "word_no", "run_no", "core", "lead", value.alias("value"), F.when(first, F.col("before_2")).otherwise("").alias("before_2"),
+        F.when(first, F.col("before")).otherwise("").alias("before"), "after")
 
 
 def dictionary(docs: DataFrame, found: DataFrame, text_column: str = "text", least: int = DICTIONARY_COUNT) -> DataFrame:
@@ -70,8 +87,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     covered = pieces.join(words, "piece").groupBy("core").agg(F.sum(F.char_length("piece")).alias("covered"))
     if covered.count() <= BROADCAST_ROWS:
         covered = F.broadcast(covered)
-    core, n = F.col("core"), F.char_length("core")
-    lead = F.expr("substring_index(word, core, 1)")
+    core, n, lead = F.col("core"), F.char_length("core"), F.col("lead")
     context = F.concat_ws(" ", "before_2", "before", lead)
     changes = F.regexp_count(core, F.lit(
         "(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[+/_-])(?=[A-Za-z0-9])"))
@@ -82,7 +98,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "upper_share": F.regexp_count(core, F.lit("[A-Z]")) / n,
         "is_hex": core.rlike("^([0-9a-f]+|[0-9A-F]+)$"),
         "covered_share": F.coalesce("covered", F.lit(0)) / n,
-        "in_path": F.col("word").rlike("://|^/|/.*/"), "in_address": F.col("word").rlike("@|\\.[a-z]+$"),
+        "in_path": F.col("value").rlike("://|^/|/.*/"), "in_address": F.col("value").rlike("@|\\.[a-z]+$"),
         "key_name_before": context.rlike(KEY_NAMES), "assigned": context.rlike("[=:]\\s*[\"'`]?$"),
         "quoted": lead.rlike("[\"'`]$"), "word_before_length": F.char_length("before"),
     }
@@ -112,7 +128,7 @@ def fit_forest(labelled: DataFrame, rows: int = TRAINING_ROWS):
 
 def find_secrets(docs: DataFrame, folder: str, labelled: DataFrame | None = None, threshold: float = 0.5,
                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, word_no, core, probability, is_secret of every candidate.
+    """doc_id, word_no, run_no, core, probability, is_secret of every candidate.
 
     labelled   findings with the columns of FEATURES, core and label (0.0 or 1.0), from ``with_features``; without them
                the plain cases of ``weak_labels`` are taken. Where they have one label only, that label decides, and
@@ -133,7 +149,7 @@ def find_secrets(docs: DataFrame, folder: str, labelled: DataFrame | None = None
         judged = featured.withColumn("probability", F.lit(float(one)))
     else:
         judged = model.transform(featured).withColumn("probability", vector_to_array("probability")[1])
-    return judged.select("doc_id", "word_no", "core", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    return judged.select("doc_id", "word_no", "run_no", "core", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, folder: str, mark: str = MARK, id_column: str = "doc_id", text_column: str = "text",

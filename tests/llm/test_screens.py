@@ -136,6 +136,22 @@ def test_held_out_accuracy(spark, folder):
     assert right.first()[0] >= 0.95
 
 
+def test_every_run_of_a_word_is_a_candidate(spark, folder):
+    one, two, three = HEX[0], HEX[4][:26] + "1", HEX[8]
+    rows = [(1, f'{{"token":"{one}","password":"{two}"}}'), (2, f"https://a.example/p?id={one}&api_key={two}"),
+            (3, f"K1={one};K2={two};"), (4, f'now token = "{one}.{two}.{three}" and'), (5, f"{one}x,{two}")]
+    found = secrets.candidates(documents(spark, rows=rows)).collect()
+    got = {(r.doc_id, r.run_no): (r.core, r.lead, r.before) for r in found}
+    assert got == {
+        (1, 0): (one, '{"token":"', ""), (1, 1): (two, '","password":"', ""),
+        (2, 0): (one, "https://a.example/p?id=", ""), (2, 1): (two, "&api_key=", ""),
+        (3, 0): (one, "K1=", ""), (3, 1): (two, ";K2=", ""),
+        (4, 0): (one, '"', "="), (4, 1): (two, '"', "="), (4, 2): (three, '"', "="), (5, 0): (one + "x", "", ""), (5, 1): (two, ",", "")}
+    docs = secret_docs(spark).unionByName(spark.createDataFrame([(200, rows[0][1], "k", 9)], "doc_id long, text string, core string, n_chars long"))
+    clean = secrets.redact(docs, folder).where("doc_id = 200").first()
+    assert clean.text == '{"token":"<secret>","password":"<secret>"}'
+
+
 def test_without_candidates_or_labels(spark, folder):
     plain = documents(spark, rows=[(1, "no such thing"), (2, None)])
     assert secrets.find_secrets(plain, folder).count() == 0
