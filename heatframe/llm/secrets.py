@@ -2,8 +2,8 @@
 
 Candidates are long runs of letters, digits and a few marks with a digit in them. A random forest trained on labelled
 findings judges each by its length, its changes of character class, how much of it dictionary words cover, whether it
-lies in a path or address, and the words beside it. The dictionary is counted over the whole corpus, but only for
-letter runs that candidates hold.
+lies in a path or address, and the words beside it. The dictionary holds the letter runs of candidates that stand as
+whole words in enough different texts of the corpus; pieces of candidates don't count, however often they are copied.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_LENGTH = 12
-DICTIONARY_COUNT = 3  # a word of the dictionary stands this often in the corpus
+DICTIONARY_COUNT = 3  # a word of the dictionary stands in so many different texts at least,
+DICTIONARY_RATE = 1e-6  # and is this share of all words, each counted once a text
 TRAINING_ROWS = 20_000  # labelled findings that the forest is trained on at most, taken by hash
 TREES, DEPTH, SEED = 30, 6, 7
 BROADCAST_ROWS = 1_000_000
@@ -24,6 +25,8 @@ MARK = "<secret>"
 
 _SPACES = "[ \\\\x09-\\\\x0D]+"
 _RUN = "[A-Za-z0-9+/_-]"
+# a white-space word of letters alone, marks around it left out
+_PLAIN_WORD = r"(?<![^ \x09-\x0D])\p{Punct}*+([a-z]{3,})\p{Punct}*+(?![^ \x09-\x0D])"
 _ENDS = "\"'`,;&?={}()<>|"  # a value within a word, as a path, ends at these
 # what stands before a candidate since the last one, the candidate, and the rest of its value, which is bounded
 _CANDIDATE = (f"(?s)(.*?)(?<!{_RUN})((?=[A-Za-z+/_-]*[0-9]){_RUN}{{{MIN_LENGTH},}})(?=([^{_ENDS}]{{0,200}}))")
@@ -66,14 +69,22 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.when(first, F.col("before")).otherwise("").alias("before"), "after")
 
 
-def dictionary(docs: DataFrame, found: DataFrame, text_column: str = "text", least: int = DICTIONARY_COUNT) -> DataFrame:
-    """piece: the lower-case letter runs of candidates that are words of the corpus ``least`` times or more."""
+def dictionary(docs: DataFrame, found: DataFrame, text_column: str = "text", least: int = DICTIONARY_COUNT,
+               rate: float = DICTIONARY_RATE) -> DataFrame:
+    """piece: the lower-case letter runs of candidates that are words of the corpus.
+
+    A word is a whole white-space word of three letters or more. It must stand in ``least`` different texts, and in as
+    many as ``rate`` times the words of all different texts.
+    """
     pieces = found.select(F.explode(_pieces(F.col("core"))).alias("piece")).distinct()
     if pieces.count() <= BROADCAST_ROWS:
         pieces = F.broadcast(pieces)
-    spoken = docs.select(F.explode(F.expr(
-        f"split(lower(coalesce(`{text_column}`, '')), '[^a-z]+')")).alias("piece")).where("piece != ''")
-    return spoken.join(pieces, "piece").groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("piece")
+    spoken = docs.where(F.col(text_column).isNotNull()).select(F.xxhash64(text_column).alias("text_hash"), F.array_distinct(
+        F.regexp_extract_all(F.lower(text_column), F.lit(_PLAIN_WORD), F.lit(1))).alias("spoken"))
+    all_words = spoken.groupBy("text_hash").agg(F.max(F.size("spoken")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    counted = spoken.select("text_hash", F.explode("spoken").alias("piece")).join(pieces, "piece").distinct().groupBy("piece").agg(
+        F.count("*").alias("n"))
+    return counted.where(F.col("n") >= max(least, rate * all_words)).select("piece")
 
 
 def _pieces(core: Column) -> Column:

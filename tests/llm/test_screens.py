@@ -152,6 +152,22 @@ def test_every_run_of_a_word_is_a_candidate(spark, folder):
     assert clean.text == '{"token":"<secret>","password":"<secret>"}'
 
 
+def test_copies_of_a_secret_are_no_words(spark):
+    key = "QwZxRtyBvnKlmPq7HgfDsaJkWmnTrcXzLpoYtv3B"
+    rows = [(k, f'now token = "{key}" in copy {k}') for k in range(5)]
+    rows += [(k, "the harmless (number) stands here and ends, so") for k in range(10, 20)]  # one text, ten times
+    rows += [(k, f"a silent \"name\" of {k}, page-silent-name-{k:012d}") for k in range(20, 24)]
+    docs = documents(spark, rows=rows + [(30, "x harmless-number-0123456789")])
+    found = secrets.candidates(docs)
+    words = secrets.dictionary(docs, found)
+    assert rows_of(words) == [("name",), ("silent",)]
+    assert rows_of(secrets.dictionary(docs, found, rate=0.9)) == []
+    featured = secrets.with_features(found, words)
+    assert featured.where(F.col("core") == key).agg(F.max("covered_share")).first()[0] == 0
+    labels = {r.core: r.label for r in secrets.weak_labels(featured).collect()}
+    assert labels[key] == 1.0
+
+
 def test_without_candidates_or_labels(spark, folder):
     plain = documents(spark, rows=[(1, "no such thing"), (2, None)])
     assert secrets.find_secrets(plain, folder).count() == 0
