@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatframe.llm.merkle import manifest
+from heatframe.llm.prefix_trie import prefix_trie, turn_sequences, with_shared_starts
 from heatframe.llm.registry import query, scratch, table
 
 
@@ -70,3 +71,34 @@ def merkle_manifest(spark, sf_dir):
     found = manifest(table(spark, sf_dir, "documents"), scratch(spark, "merkle"))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"),
                         "folded_root", "verified")
+
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM turns),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(CASE WHEN b.s IS NULL THEN [] ELSE b.s[1:a.h] END, a.s[a.h + 1:]) AS s
+  FROM h a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 100),
+prefixes AS (SELECT conv_id, d, len(s) AS n, s[1:d] AS p FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(p[-1].t) END AS saved
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+below AS (
+  SELECT p[1:a] AS p, a AS depth, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (SELECT nodes.*, k.n IS NULL AS leaf, unnest(range(0, nodes.depth + 1)) AS a
+        FROM nodes LEFT JOIN kids k ON k.p = nodes.p AND k.depth = nodes.depth) GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p AND b.depth = n.depth LEFT JOIN kids k ON k.p = n.p AND k.depth = n.depth
+  LEFT JOIN nodes u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]"""
+
+
+@query("op12_prefix_trie", TRIE)
+def conversation_trie(spark, sf_dir):
+    sequences = with_shared_starts(turn_sequences(table(spark, sf_dir, "conversations")))
+    return prefix_trie(sequences, scratch(spark, "trie"))

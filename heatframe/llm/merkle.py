@@ -1,6 +1,6 @@
 """Merkle manifest of a table as a persistent tree with copied paths (operator 11).
 
-The leaves of a scope stand in a given order and are cut into aligned blocks of ``2 ** LEVELS``. A block is one row
+The leaves of a scope stand in a given order and are cut into aligned blocks of ``2 ** levels``. A block is one row
 that holds all its nodes; the tops of a scope's blocks are the leaves of the next tier of blocks, and the tops of the
 scopes are the leaves of one more tree. No row is larger than a block, however many leaves a scope has.
 
@@ -47,12 +47,12 @@ def _parents(nodes: list[bytes]) -> list[bytes]:
     return [sha256(b"".join(nodes[k:k + 2])).hexdigest().encode() for k in range(0, len(nodes), 2)]
 
 
-def grown(leaves: list[bytes], whole: bool) -> list[list[bytes]]:
-    """Levels of a block, leaves first. A block that is its ``whole`` scope ends at one node, others after LEVELS."""
-    levels = [leaves]
-    while len(levels[-1]) > 1 if whole else len(levels) <= LEVELS:
-        levels.append(_parents(levels[-1]))
-    return levels
+def grown(leaves: list[bytes], whole: bool, levels: int) -> list[list[bytes]]:
+    """Levels of a block, leaves first. A block that is its ``whole`` scope ends at one node, others after ``levels``."""
+    out = [leaves]
+    while len(out[-1]) > 1 if whole else len(out) <= levels:
+        out.append(_parents(out[-1]))
+    return out
 
 
 def stored(nodes: bytes, n: int) -> list[list[bytes]]:
@@ -98,8 +98,8 @@ class MerkleTree:
     leaves both are empty.
     """
 
-    def __init__(self, leaves: DataFrame, folder: str, order: tuple[str, ...] = ("doc_id",)):
-        self.spark, self.folder = leaves.sparkSession, folder
+    def __init__(self, leaves: DataFrame, folder: str, order: tuple[str, ...] = ("doc_id",), levels: int = LEVELS):
+        self.spark, self.folder, self.levels = leaves.sparkSession, folder, levels
         given = [c for c in leaves.columns if c not in ("scope", "leaf")]
         rows = placed(leaves, "scope", [*order, "leaf"], f"{folder}/leaves")
         self.blocks = self._tier(rows.withColumn("given", F.struct(*given)), "blocks")
@@ -120,17 +120,19 @@ class MerkleTree:
         """Blocks over rows (scope, place, in_scope, leaf, given if any): scope, block, blocks (of the scope),
         n (leaves), nodes (digests level by level), given."""
         more = [c for c in rows.columns if c == "given"]
-        held = rows.groupBy("scope", F.expr(f"shiftright(place, {LEVELS})").alias("block")).agg(
-            F.expr(f"shiftright(max(in_scope) - 1, {LEVELS}) + 1").alias("blocks"), F.count("*").alias("n"),
+        held = rows.groupBy("scope", F.expr(f"shiftright(place, {self.levels})").alias("block")).agg(
+            F.expr(f"shiftright(max(in_scope) - 1, {self.levels}) + 1").alias("blocks"), F.count("*").alias("n"),
             F.sort_array(F.collect_list(F.struct("place", "leaf", *more))).alias("items"))
         held = held.select("scope", "block", "blocks", "n", F.array_join("items.leaf", "").cast("binary").alias("nodes"),
                            *[F.col(f"items.{c}").alias(c) for c in more])
 
+        depth = self.levels
+
         def grow(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in incoming:
                 nodes = []
                 for leaves, n, blocks in zip(*(b.column(c).to_pylist() for c in ("nodes", "n", "blocks"))):
-                    levels = grown(stored(leaves, n)[0], blocks == 1)
+                    levels = grown(stored(leaves, n)[0], blocks == 1, depth)
                     nodes.append(b"".join(node for level in levels for node in level))
                 at = b.schema.get_field_index("nodes")
                 yield b.set_column(at, b.schema.field(at), pa.array(nodes, b.schema.field(at).type))
@@ -142,7 +144,7 @@ class MerkleTree:
         tiers = []
         while True:
             blocks = self._tier(rows.select("scope", "place", "in_scope", "leaf"), f"{name}-{len(tiers)}")
-            tiers.append(_ways(blocks))
+            tiers.append(_ways(blocks, self.levels))
             rows = _tops(blocks)
             if blocks.where("blocks > 1").isEmpty():
                 break
@@ -167,6 +169,8 @@ class MerkleTree:
         schema = (f"scope string, place long, leaf string, given {given}, siblings string, subroot string, root string, "
                   "copies array<string>, folded_root string")
 
+        depth = self.levels
+
         def read(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in incoming:
                 for k in range(b.num_rows):
@@ -184,7 +188,7 @@ class MerkleTree:
                         out[3].append(above[-1] if above else new[at] or leaf)
                     names = ["scope", "place", "leaf", "given", "siblings", "subroot", "root", "copies", "folded_root"]
                     yield pa.record_batch([
-                        pa.array([scope] * n), pa.array(range(block << LEVELS, (block << LEVELS) + n), pa.int64()),
+                        pa.array([scope] * n), pa.array(range(block << depth, (block << depth) + n), pa.int64()),
                         pa.array(out[0], pa.binary()).cast(pa.string()), given, pa.array(out[1], pa.binary()).cast(pa.string()),
                         pa.array([subroot] * n), pa.array([root] * n), pa.array(out[2], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                         pa.array(out[3]).cast(pa.binary()).cast(pa.string())], names)
@@ -198,16 +202,16 @@ def _tops(blocks: DataFrame) -> DataFrame:
     return blocks.select("scope", F.col("block").alias("place"), F.col("blocks").alias("in_scope"), top.alias("leaf"))
 
 
-def _ways(blocks: DataFrame) -> DataFrame:
+def _ways(blocks: DataFrame, levels: int) -> DataFrame:
     """scope, block, place, way (up to the block's top) of the leaves of blocks."""
     schema = pa.schema([("scope", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("way", pa.binary())])
 
     def walk(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for scope, block, n, nodes in files.rows_of(incoming):
-                levels = stored(nodes, n)
+                digests = stored(nodes, n)
                 for at in range(n):
-                    yield scope, block, (block << LEVELS) + at, way(levels, at)
+                    yield scope, block, (block << levels) + at, way(digests, at)
 
         yield from files.batches(rows(), schema, lambda r: len(r[3]))
 
@@ -216,7 +220,7 @@ def _ways(blocks: DataFrame) -> DataFrame:
 
 def manifest(docs: DataFrame, folder: str, scope: str = "lang", order: str = "doc_id",
              fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), raised: str = "n_chars",
-             every: int = 7) -> DataFrame:
+             every: int = 7, levels: int = LEVELS) -> DataFrame:
     """The manifest of docs checked against tampered rows: doc_id, leaf, subroot, root, siblings, copies, folded_root, verified.
 
     A leaf is the digest of the encoded ``fields``, scopes are the values of ``scope``. Where ``every`` divides the
@@ -229,7 +233,7 @@ def manifest(docs: DataFrame, folder: str, scope: str = "lang", order: str = "do
     tampered = (F.crc32(F.col(order).cast("string").cast("binary")) % every == 0) & F.col(raised).isNotNull()
     leaves = docs.select(scope_of(F.col(scope)).alias("scope"), F.col(order).cast("long").alias("doc_id"),
                          digest(plain).alias("leaf"), F.when(tampered, digest(other)).alias("changed"))
-    tree = MerkleTree(leaves, folder, ("doc_id",))
+    tree = MerkleTree(leaves, folder, ("doc_id",), levels)
     return tree.versions("changed").select(
         "given.doc_id", "leaf", "subroot", "root", "siblings", "copies", "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"))

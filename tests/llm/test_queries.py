@@ -19,7 +19,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_operators_are_registered():
     numbers = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit()}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "best-fit packing"]
 
