@@ -3,33 +3,21 @@
 Sets fall into bands of similar size. Within a band, similar sets differ in at most k shingles, so of more than
 k / 2 groups of the shingle domain one holds at most one difference, and of that group's parts all but one
 agree: a set's signatures are all choices of all parts but one of a group. Whatever shares a signature is a
-candidate, and candidates are verified on whole sets.
-
-Work stays below all pairs. Sets that are equal are one class. A task sends every signature once per lot.
-Members of a signature are compared with one pivot of it; only where that leaves several components, the rest
-is compared, and only pairs that can still link: the rarest shingle that two sets share
-bounds their overlap.
+candidate, and candidates are verified on whole sets (``setjoin``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatframe.llm import files
-from heatframe.llm.components import components
-from heatframe.llm.words import AS_IS, BASE, LOWERED, WHITE, Lot, lots, mix, window_hashes
+from heatframe.llm.setjoin import BROADCAST_ROWS, SetJoin, Sets, sums
+from heatframe.llm.words import BASE, mix
 
 SEEDS = 4
 BAND_RATIO = 1.6
 MOST_EXTRA = 40
-COUNTERS = 128
-LOT_SIGNATURES = 1 << 20
-BROADCAST_ROWS = 2_000_000  # at 48 bytes a row: below 100 MB
 
 
 class Bands:
@@ -70,65 +58,19 @@ class Bands:
         return np.array([self.known[j] for j in band.tolist()], "i8")
 
 
-class Sets:
-    """Distinct shingles of the texts of a lot: values, the text of each, sizes, and a hash of every set."""
-
-    def __init__(self, lot: Lot, width: int):
-        n = len(lot.bounds) - 1
-        counts = np.diff(lot.bounds)
-        values = window_hashes(lot.hashes, width)
-        text = np.repeat(np.arange(n), counts)
-        # a window belongs to the text of its first word if its last word does
-        inside = text[:len(values)] == text[len(text) - len(values):]
-        values, text = values[inside], text[:len(inside)][inside]
-        few = np.flatnonzero((counts > 0) & (counts < width))
-        if len(few):
-            whole = [window_hashes(lot.of(k), int(counts[k]))[0] for k in few]
-            values, text = np.append(values, np.array(whole, "u8")), np.append(text, few)
-        order = np.lexsort((values, text))
-        values, text = values[order], text[order]
-        new = np.ones(len(values), bool)
-        new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-        self.values, self.text, self.n = values[new], text[new], n
-        self.sizes = np.bincount(self.text, minlength=n)
-        total = _sums(mix(self.values * BASE), self.text, n)
-        self.hashes = mix(total + self.sizes.astype("u8") * BASE).view("i8")
-        self.bounds = np.searchsorted(self.text, np.arange(n + 1))
-
-    def counts(self) -> list[bytes]:
-        """Shingles of every set by COUNTERS cells of the domain, at most 255 each. The cells' differences
-        between two sets sum up to no more than their symmetric difference."""
-        cell = (mix(self.values + np.uint64(7)) >> np.uint64(57)).astype("i8")
-        found = np.bincount(self.text * COUNTERS + cell, minlength=self.n * COUNTERS)
-        return [row.tobytes() for row in np.minimum(found, 255).astype("u1").reshape(self.n, COUNTERS)]
-
-    def of(self, k: int) -> np.ndarray:
-        return self.values[self.bounds[k]:self.bounds[k + 1]].view("i8")
-
-
-def _sums(values: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """Sums modulo 2**64 by place; exact as the halves' sums stay below 2**53."""
-    low = np.bincount(place, (values & np.uint64(0xFFFFFFFF)).astype("f8"), n)
-    high = np.bincount(place, (values >> np.uint64(32)).astype("f8"), n)
-    return low.astype("u8") + (high.astype("u8") << np.uint64(32))
-
-
 def signatures(sets: Sets, chosen: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signatures and the text of each, for the chosen texts.
 
-    A set is signed for its own band and, if a larger partner can lie there, for the next. A choice of parts
+    A set is signed for its own band and every one above in which a larger partner can lie. A choice of parts
     that is empty says nothing; where so many are empty that a link may rest on them alone, which then holds for
     both sides, the set is signed again by another partition, and after the last one by its band.
     """
     out_sig, out_text = [], []
     own = bands.of(np.maximum(sets.sizes, 1))
-    next_low = bands.high(own) + 1
-    for shift in (0, 1):
-        band = own + shift
-        k = bands.differences(band)
-        todo = chosen & (sets.sizes > 0) & (k > 0)
-        if shift:
-            todo &= sets.sizes * bands.den >= bands.num * next_low
+    band, todo = own, chosen & (sets.sizes > 0)
+    while todo.any():
+        reached, k = todo, bands.differences(band)
+        todo = todo & (k > 0)
         groups, parts = bands.groups(band), bands.parts
         # signatures that two linked sets share at least: the first difference of a group leaves one, the second none
         sure = 2 * groups - k
@@ -140,7 +82,7 @@ def signatures(sets: Sets, chosen: np.ndarray, bands: Bands) -> tuple[np.ndarray
             values, text = sets.values[own_value], sets.text[own_value]
             spread = mix(values + np.uint64((seed + 1) * 0x9E3779B9))
             part = ((spread >> np.uint64(20)) % (parts * groups[text]).astype("u8")).astype("i8") + parts * first[text]
-            total = _sums(spread, part, parts * first[-1]).reshape(-1, parts)
+            total = sums(spread, part, parts * first[-1]).reshape(-1, parts)
             filled = np.bincount(part, minlength=parts * first[-1]).reshape(-1, parts) > 0
             group_text = np.repeat(np.arange(sets.n), np.where(todo, groups, 0))
             number = (np.arange(first[-1]) - first[group_text]).astype("u8")
@@ -160,248 +102,31 @@ def signatures(sets: Sets, chosen: np.ndarray, bands: Bands) -> tuple[np.ndarray
         last = np.flatnonzero(todo)
         out_sig.append(mix(band[last].astype("u8") + np.uint64(1 << 40)))
         out_text.append(last)
+        todo = reached & (sets.sizes * bands.den >= bands.num * (bands.high(band) + 1))
+        band = band + 1
+    if not out_sig:
+        return np.empty(0, "i8"), np.empty(0, "i8")
     # 56 bits: shorter when shuffled, and a chance meeting is only one more candidate
     return (np.concatenate(out_sig) >> np.uint64(8)).view("i8"), np.concatenate(out_text)
 
 
-class JaccardJoin:
-    """The join's settings and steps; ``classes`` and the tables of every step lie below ``folder``."""
+class JaccardJoin(SetJoin):
+    """The join by PartEnum signatures whose groups have ``parts``."""
 
-    def __init__(self, docs: DataFrame, folder: str, num: int = 85, den: int = 100, width: int = 4, parts: int = 3,
-                 separators: np.ndarray = WHITE, lower: bool = True, id_column: str = "doc_id",
-                 text_column: str = "text"):
-        if not 0 < num < den:
-            raise ValueError("the similarity is a fraction between 0 and 1")
+    def __init__(self, docs: DataFrame, folder: str, num: int = 85, den: int = 100, width: int = 4, parts: int = 3, **settings):
+        super().__init__(docs, folder, num, den, width, **settings)
         if parts < 2:
             raise ValueError("a group has two parts or more")
         self.parts = parts
-        self.spark, self.folder, self.num, self.den, self.width = docs.sparkSession, folder, num, den, width
-        self.separators, self.letters = separators, LOWERED if lower else AS_IS
-        self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
-        sizes = self.written(self.docs.mapInArrow(self._sizes(), "doc_id long, n_shingles long, set_hash long, counts binary"), "sizes")
-        classes = self.written(
-            sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash", "n_shingles")
-            .agg(F.min("doc_id").alias("id"), F.min("counts").alias("counts"))
-            .select("set_hash", "id", F.col("n_shingles").alias("m"), "counts"), "classes")
-        linked = self._links(sizes, classes)
-        found = linked.select(F.col("node").alias("id"), "component")
-        named = self.written(classes.join(found, "id", "left").select(
-            "set_hash", F.col("m").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "named")
-        # equal keys of a hot class meet one row here
-        out = sizes.join(named, ["set_hash", "n_shingles"], "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(
-            "component_id", "doc_id")).alias("component_id"))
-
-    def _sizes(self):
-        def sizes(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in incoming:
-                for lot in lots(b.column(1), self_separators, self_letters):
-                    sets = Sets(lot, width)
-                    yield pa.record_batch([b.column(0).slice(lot.rows.start, sets.n), pa.array(sets.sizes, pa.int64()),
-                                           pa.array(sets.hashes), pa.array(sets.counts(), pa.binary())],
-                                          ["doc_id", "n_shingles", "set_hash", "counts"])
 
-        self_separators, self_letters, width = self.separators, self.letters, self.width
-        return sizes
-
-    def _candidates(self) -> DataFrame:
-        """id a and pivot p of all signatures that several documents share; many: whether a stands for others of its lot."""
-        separators, letters, width = self.separators, self.letters, self.width
+    def signer(self):
         num, den, parts = self.num, self.den, self.parts
 
-        def sign(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bands, held, size = Bands(num, den, parts), [], 0
-            for b in incoming:
-                known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
-                ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-                for lot in lots(b.column(1), separators, letters):
-                    sets = Sets(lot, width)
-                    sig, text = signatures(sets, known[lot.rows], bands)
-                    held.append((sig, ids[lot.rows][text]))
-                    size += len(sig)
-                    if size >= LOT_SIGNATURES:
-                        yield _combined(held)
-                        held, size = [], 0
-            if held:
-                yield _combined(held)
-
-        rows = self.docs.mapInArrow(sign, "key long, a long, is_pair boolean, many boolean")
-        shared = Window.partitionBy("key", "is_pair")
-        pivot = F.when(F.col("is_pair"), F.col("key")).otherwise(F.min("a").over(shared))
-        return rows.select("a", pivot.alias("p"), "many").where("a != p").groupBy("a", "p").agg(F.max("many").alias("many"))
-
-    def _texts(self, wanted: DataFrame) -> DataFrame:
-        """wanted (id, ..) with the text of its documents. Broadcast if small; shuffled by id beyond that."""
-        if wanted.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-        return self.docs.join(wanted, self.docs["doc_id"] == wanted["id"]).drop("doc_id")
-
-    def _shingles(self, wanted: DataFrame) -> DataFrame:
-        """wanted (id, set_hash) with column shingles, the set as array<long>, once for each id."""
-        separators, letters, width = self.separators, self.letters, self.width
-        schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        def make():
+            bands = Bands(num, den, parts)
+            return lambda sets, chosen: signatures(sets, chosen, bands)
 
-        def read(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows():
-                for b in incoming:
-                    ids, hashes = b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
-                    for lot in lots(b.column(1), separators, letters):
-                        sets = Sets(lot, width)
-                        # rows of one id may hold several texts; the class has one of them
-                        for k in np.flatnonzero(sets.hashes == hashes[lot.rows]).tolist():
-                            yield ids[lot.rows.start + k], sets.of(k)
-
-            yield from files.batches(rows(), schema, lambda r: 8 * len(r[1]))
-
-        own = self._texts(wanted.select("id", "set_hash")).select("id", "text", "set_hash")
-        found = own.mapInArrow(read, "id long, shingles array<long>")
-        return found
-
-    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of pairs (a, p: ids; ha, hp: set hashes) that link; every pair is compared on its whole sets."""
-        pivots = self._shingles(pairs.select(F.col("p").alias("id"), F.col("hp").alias("set_hash")).distinct())
-        members = self._shingles(pairs.select(F.col("a").alias("id"), F.col("ha").alias("set_hash")).distinct())
-        own = members.dropDuplicates(["id"]).select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-        others = pivots.dropDuplicates(["id"]).select(F.col("id").alias("p"), F.col("shingles").alias("of_p"))
-        both = pairs.select("a", "p").join(own, "a").join(others, "p").select(
-            "a", "p", F.size(F.array_intersect("of_a", "of_p")).alias("i"),
-            (F.size("of_a") + F.size("of_p")).alias("both"))
-        return self.written(both.where(F.col("i") * self.den >= (F.col("both") - F.col("i")) * self.num)
-                            .select("a", F.col("p").alias("b")), name)
-
-    def _close(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Those of the pairs whose counts allow a link: most chance meetings end here, on COUNTERS bytes a set."""
-        num, den = self.num, self.den
-
-        def near(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in incoming:
-                of_a, of_p = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(-1, COUNTERS).astype("i2")
-                              for c in (6, 7))
-                differ = np.abs(of_a - of_p).sum(axis=1, dtype="i8")
-                both = b.column(4).to_numpy() + b.column(5).to_numpy()
-                yield b.select(range(6)).filter(pa.array(differ * (den + num) <= both * (den - num)))
-
-        of_a = classes.select(F.col("id").alias("a"), F.col("set_hash").alias("ha"), F.col("counts").alias("of_a"))
-        of_p = classes.select(F.col("id").alias("p"), F.col("set_hash").alias("hp"), F.col("counts").alias("of_p"))
-        met = pairs.join(of_a, ["a", "ha"]).join(of_p, ["p", "hp"]).select("a", "p", "ha", "hp", "ma", "mp", "of_a", "of_p")
-        return met.mapInArrow(near, "a long, p long, ha long, hp long, ma long, mp long")
-
-    def _can_link(self, m, n):
-        """Whether sizes m and n allow a link."""
-        return (F.least(m, n) * self.den >= F.greatest(m, n) * self.num)
-
-    def _links(self, sizes: DataFrame, classes: DataFrame) -> DataFrame:
-        """node, component over classes' ids."""
-        # pairs of documents become pairs of classes
-        known = sizes.select("doc_id", "n_shingles", "set_hash").where("n_shingles > 0 AND doc_id IS NOT NULL")
-        named = known.distinct().join(
-            classes.select("set_hash", F.col("m").alias("n_shingles"), "id"), ["set_hash", "n_shingles"])
-        as_a = named.select(F.col("doc_id").alias("da"), F.col("set_hash").alias("ha"), F.col("id").alias("a"), F.col("n_shingles").alias("ma"))
-        as_p = named.select(F.col("doc_id").alias("dp"), F.col("set_hash").alias("hp"), F.col("id").alias("p"), F.col("n_shingles").alias("mp"))
-        met = self._candidates().select(F.col("a").alias("da"), F.col("p").alias("dp"), "many").join(as_a, "da").join(as_p, "dp")
-        tried = self.written(met.where("a != p OR ha != hp").groupBy("a", "p", "ha", "hp", "ma", "mp").agg(
-            F.max("many").alias("many")), "pairs-0")
-        fits = self._can_link(F.col("ma"), F.col("mp"))
-        links = self._verified(self.written(self._close(tried.where(fits), classes), "close"), "links-0")
-        labels = components(links, f"{self.folder}/components-0")
-        # A signature is settled if all its members and its pivots are in one component. Its pairs are two levels
-        # high: members of a lot below the lot's pivot, and those of several lots (many) below the smallest of them.
-        # So a failed pair opens its pivot and the pivot above, and these the lots' pivots below with their members.
-        label_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        label_p = labels.select(F.col("node").alias("p"), F.col("component").alias("cp"))
-        failed = tried.join(label_a, "a", "left").join(label_p, "p", "left").where(
-            F.coalesce("ca", "a") != F.coalesce("cp", "p")).select("hp").distinct()
-        stand_in = tried.where("many").select("ha", "hp")
-        above = stand_in.join(failed.select(F.col("hp").alias("ha")), "ha", "left_semi").select("hp")
-        roots = self.written(failed.union(above).distinct(), "roots")
-        below = stand_in.join(roots, "hp", "left_semi").select(F.col("ha").alias("hp"))
-        reopened = self.written(roots.union(below).distinct(), "reopened")
-        open_pairs = tried.join(reopened, "hp", "left_semi")
-        members = self.written(open_pairs.select(F.col("a").alias("id"), F.col("ha").alias("set_hash"), F.col("ma").alias("m"))
-                               .union(open_pairs.select("p", "hp", "mp")).distinct(), "open")
-        if members.isEmpty():
-            return labels
-        return self._settle(members, links, labels, tried)
-
-    def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Compares members of unsettled signatures until every pair that can link is in one component or was tried.
-
-        With shingles ordered by how many members have them, two linked sets share one of their rarest
-        ``(1 - num/den) * m + 1``. So members meet at those shingles alone, first each with the pivot of a shingle,
-        then, where components are left, with one another.
-        """
-        sets = self.written(self._shingles(members).dropDuplicates(["id"]), "open-sets")
-        each = sets.select("id", F.explode("shingles").alias("s"))
-        spread = self.written(each.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")), "open-shingles")
-        # a shingle that one member alone has counts against every link of it
-        alone = spread.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-        spare = F.floor(F.col("m") * (self.den - self.num) / F.lit(self.den))
-        able = self.written(members.join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn(
-            "meets", spare + 1 - F.col("own")).where("meets > 0"), "open-able")
-        shared = sets.join(able.select("id", "meets"), "id").select("id", "meets", F.explode("shingles").alias("s")).join(
-            spread.where("n > 1").select("s", "n"), "s")
-        # as many rows as a set has shingles
-        rarest = Window.partitionBy("id").orderBy("n", "s")
-        prefix = shared.withColumn("rank", F.row_number().over(rarest)).where("rank <= meets").select("id", "s", "rank")
-        signed = self.written(prefix.join(able.drop("meets"), "id").select(
-            F.col("s").alias("sig"), "id", "set_hash", "m", (F.col("own") + F.col("rank") - 1).alias("before")), "open-prefixes")
-        done = tried.select("a", "p")
-        for turn in range(1, 4):
-            at = signed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-                "component", F.coalesce("component", "id"))
-            if turn < 3:
-                first = at.groupBy("sig").agg(F.min(F.struct("before", "id", "m", "component", "set_hash")).alias("p"))
-                pairs = at.join(self.written(first, f"pivots-{turn}"), "sig").select(
-                    F.col("id").alias("a"), "p.id", "before", F.col("p.before").alias("before_p"), "m", F.col("p.m").alias("mp"),
-                    "component", F.col("p.component").alias("cp"), F.col("set_hash").alias("ha"),
-                    F.col("p.set_hash").alias("hp")).withColumnRenamed("id", "p")
-            else:
-                other = at.select("sig", F.col("id").alias("p"), F.col("before").alias("before_p"), F.col("m").alias("mp"),
-                                  F.col("component").alias("cp"), F.col("set_hash").alias("hp"))
-                pairs = at.select("sig", F.col("id").alias("a"), "before", "m", "component", F.col("set_hash").alias("ha")).join(
-                    other, (at["sig"] == other["sig"]) & (F.col("a") > F.col("p")) & self._open_pair())
-            pairs = pairs.where(self._open_pair()).select("a", "p", "ha", "hp").distinct()
-            fresh = pairs.join(done, ["a", "p"], "left_anti").join(
-                done.select(F.col("a").alias("p"), F.col("p").alias("a")), ["a", "p"], "left_anti")
-            fresh = self.written(fresh, f"pairs-{turn}")
-            if fresh.isEmpty():
-                continue
-            links = links.union(self._verified(fresh, f"links-{turn}"))
-            done = done.union(fresh.select("a", "p"))
-            labels = components(links, f"{self.folder}/components-{turn}")
-        return labels
-
-    def _open_pair(self):
-        """Not yet in one component, and able to link if this is the rarest shingle they share: the ``before`` rarer
-        ones of either are then in the other one not."""
-        most = F.least(F.col("m") - F.col("before"), F.col("mp") - F.col("before_p"))
-        return (F.col("component") != F.col("cp")) & (most * self.den >= (F.col("m") + F.col("mp") - most) * self.num)
-
-
-def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows (key, a, is_pair, many) of a lot: each signature once, with its smallest member and whether it has others;
-    the others as pairs with that one."""
-    sig, member = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((member, sig))
-    sig, member = sig[order], member[order]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    pivot = member[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))] if len(sig) else member
-    other = ~first & (member != pivot)
-    pairs = np.unique(np.stack([pivot[other], member[other]], axis=1), axis=0)
-    group = np.cumsum(first) - 1
-    many = np.bincount(group[other], minlength=int(first.sum())) > 0
-    return pa.record_batch([
-        pa.array(np.concatenate([sig[first], pairs[:, 0]])), pa.array(np.concatenate([member[first], pairs[:, 1]])),
-        pa.array(np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(pairs), bool)])),
-        pa.array(np.concatenate([many, np.zeros(len(pairs), bool)]))], ["key", "a", "is_pair", "many"])
+        return make
 
 
 def jaccard_components(docs: DataFrame, folder: str, **settings) -> DataFrame:
@@ -413,13 +138,34 @@ def jaccard_components(docs: DataFrame, folder: str, **settings) -> DataFrame:
     link with nothing. Rows with a null doc_id link with nothing and have no component. Repeated rows get one result
     each; other columns play no part.
     """
-    return JaccardJoin(docs, folder, **settings).run()
+    return JaccardJoin(docs, folder, **settings).run().drop("set_hash", "component")
+
 
+def keep_one_per_component(docs: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """Rows with all columns, of which each component keeps one: the first of its smallest id.
 
-def keep_one_per_component(docs: DataFrame, folder: str, id_column: str = "doc_id", **settings) -> DataFrame:
-    """Rows whose id is their component's, with all columns; rows without an id and repeated rows stay."""
-    found = jaccard_components(docs, folder, id_column=id_column, **settings)
-    drop = found.where("component_id != doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    return docs.join(drop, docs[id_column].cast("long") == F.col("_dropped"), "left_anti")
+    Of repeated rows one stays. Of several texts under one id those stay that are in different components, of which the
+    id is the smallest. A row without an id stays if no row with an id has its set, and then once for each set. Texts
+    without words link with nothing and all stay.
+    """
+    join = JaccardJoin(docs, folder, id_column=id_column, text_column=text_column, **settings)
+    found = join.written(join.run(), "found").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    ids = join.written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") != F.col("doc_id")).alias("goes"))
+                       .where("n > 1 OR goes").select(F.col("doc_id").alias("_listed"), "n"), "listed")
+    few = ids.count() <= BROADCAST_ROWS
+    one = docs[id_column].cast("long")
+    plain = docs.where(one.isNotNull()).join(F.broadcast(ids) if few else ids, one == F.col("_listed"), "left_anti")
+    several = ids.where("n > 1")
+    nameless = docs.where(one.isNull())
+    if several.isEmpty() and nameless.isEmpty():
+        return plain
+    # the rest is decided by its sets; of an id's sets in one component the smallest hash stays
+    known = docs.join(F.broadcast(several) if few else several, one == F.col("_listed"), "left_semi").union(nameless)
+    told = join.with_sets(known, text_column, "_set", "_words").withColumn("_listed", F.col(id_column).cast("long"))
+    stays = found.where("component_id = doc_id").groupBy("component").agg(
+        F.min("set_hash").alias("_set"), F.first("component_id").alias("_listed")).drop("component")
+    sets = found.select(F.col("set_hash").alias("_set")).distinct()
+    words = told.where("_words")
+    kept = words.join(stays, ["_listed", "_set"], "left_semi").unionByName(
+        words.where("_listed IS NULL").join(sets, "_set", "left_anti")).dropDuplicates(["_listed", "_set"])
+    return plain.unionByName(told.where("NOT _words").unionByName(kept).select(*docs.columns))

@@ -63,7 +63,8 @@ def four_texts(first, second):
     import numpy as np
     import pyarrow as pa
 
-    from heatframe.llm.partenum import Bands, Sets, signatures
+    from heatframe.llm.partenum import Bands, signatures
+    from heatframe.llm.setjoin import Sets
     from heatframe.llm.words import WHITE, lots
 
     for seed in range(2000):
@@ -94,12 +95,12 @@ def four_texts(first, second):
 @pytest.mark.parametrize("per_lot", [1, 2])
 @pytest.mark.parametrize("first,second", [(("x", 7), ("y", 7)), (("x", 5), ("x", 7))])
 def test_links_do_not_depend_on_lots(spark, folder, monkeypatch, first, second, per_lot):
-    from heatframe.llm import partenum
+    from heatframe.llm import setjoin
 
     docs = four_texts(first, second)
     want = sorted(groups(docs, 85, 100, 1), key=repr)
     assert {c for *_, c in want} == {1}
-    monkeypatch.setattr(partenum, "LOT_SIGNATURES", 1)
+    monkeypatch.setattr(setjoin, "LOT_SIGNATURES", 1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_lot)
     try:
         given = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
@@ -115,10 +116,28 @@ def test_rows_without_id_and_repeated_rows(spark, folder):
         [(None, 27, None), (7, 27, 7), (7, 27, 7), (9, 27, 7), (3, 0, 3), (4, 0, 4)], key=repr)
     kept = keep_one_per_component(docs, folder + "-k")
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 7, 7]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [3, 4, 7]
     assert jaccard_components(docs.limit(0), folder + "-e").count() == 0
 
 
+def test_several_texts_under_one_id(spark, folder):
+    a, b, c = (prose(random.Random(k), 60) for k in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (3, c), (None, c), (None, "only " + c[::-1]), (None, "only " + c[::-1])]
+    docs = documents(spark, rows=rows)
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(docs, folder).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (3, 3), (None, None)}
+    kept = sorted(((r.doc_id, r.text) for r in keep_one_per_component(docs, folder + "-k").collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (3, c), (None, "only " + c[::-1])], key=repr)
+
+
+@pytest.mark.parametrize("num,small,large", [(50, 19, 38), (30, 5, 14), (30, 40, 130)])
+def test_partners_two_bands_away(spark, folder, num, small, large):
+    words = [f"w{k}" for k in range(large)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:small])), (3, " ".join(f"x{k}" for k in range(small)))]
+    got = jaccard_components(documents(spark, rows=docs), folder, num=num, den=100, width=1)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def kept_words(docs, n):
     first = {}
     for d, t in sorted((x for x in docs if x[0] is not None), key=lambda x: x[0]):
@@ -162,7 +181,8 @@ def test_linked_sets_share_a_signature(num, parts):
     import numpy as np
     import pyarrow as pa
 
-    from heatframe.llm.partenum import Bands, Sets, signatures
+    from heatframe.llm.partenum import Bands, signatures
+    from heatframe.llm.setjoin import Sets
     from heatframe.llm.words import AS_IS, WHITE, lots
 
     rng = random.Random(num)
