@@ -9,21 +9,35 @@ from bindings.registry import query
 from bindings.text import r, rd, round_doubles
 from heatframe.functions.scalar import entity_from_name
 from heatframe.session import new_path
-from heatframe.sources import files, grid, manifest
+from heatframe.sources import files, grid, manifest, zipped
 from heatframe.sources.schema import SITES
 
 
-@query("ingest_station_daily", """
+STATION_SQL = """
     SELECT CAST(station_id AS VARCHAR) AS "NUM_POSTE", obs_date AS date, tx AS "TX" FROM daily_obs
-    WHERE NOT (station_id % 10 = 3 AND day(obs_date) = 1)""")
-def _(i: Inputs):
+    WHERE NOT (station_id % 10 = 3 AND day(obs_date) = 1)"""
+
+
+def station_text(i: Inputs):
+    """Station rows as text, some with a date that is none."""
     broken = (F.col("station_id") % 10 == 3) & (F.dayofmonth("obs_date") == 1)
     text = F.when(broken, "20001399").otherwise(F.date_format("obs_date", "yyyyMMdd"))
-    raw = i.daily_obs().select(
+    return i.daily_obs().select(
         F.col("station_id").cast("string").alias(" NUM_POSTE "), text.alias("AAAAMMJJ "),
         F.col("tx").cast("string").alias("TX"),
     )
-    return files.parse_station_rows(raw, ["TX"])
+
+
+@query("ingest_station_daily", STATION_SQL)
+def _(i: Inputs):
+    return files.parse_station_rows(station_text(i), ["TX"])
+
+
+@query("ingest_station_zip", STATION_SQL)
+def _(i: Inputs):
+    """The same rows out of zip archives of several members."""
+    paths = zipped.write_zipped(station_text(i), new_path(i.spark, "archives"), "stations")
+    return files.read_station_csv(i.spark, paths, ["TX"])
 
 
 @query("ingest_clean_subset", """

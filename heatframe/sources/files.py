@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heatframe.functions.scalar import entity_from_name, null_nan
 from heatframe.sources.schema import DATE_COLUMN, DATE_FORMAT
+from heatframe.sources.zipped import read_zipped
 
 
 def strip_names(df: DataFrame) -> DataFrame:
@@ -39,12 +40,18 @@ def read_station_csv(
     required: list[str] | None = None,
     strict: bool = False,
 ) -> DataFrame:
-    """Semicolon station files (plain, .gz or .bz2 - Spark cannot split or open .zip).
+    """Semicolon station files (plain, .gz, .bz2, or members of .zip archives).
 
     All columns are read as text by header name, so nothing is inferred; ``columns``
     prunes the scan, ``required`` drops rows without those values.
     """
-    raw = strip_names(spark.read.csv(paths, sep=";", header=True, inferSchema=False))
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    packed = [p for p in listed if p.lower().endswith(".zip")]
+    plain = [p for p in listed if p not in packed]
+    frames = [strip_names(spark.read.csv(plain, sep=";", header=True, inferSchema=False))] if plain else []
+    if packed:
+        frames.append(strip_names(read_zipped(spark, packed)))
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if columns:
         raw = raw.select(*[c for c in raw.columns if c in {*columns, DATE_COLUMN}])
     out = parse_station_rows(raw, [c for c in numeric if c in raw.columns], strict=strict)
