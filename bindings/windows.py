@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings.inputs import DAILY, HOURLY, Inputs
 from bindings.registry import query
 from bindings.text import r, rd, round_doubles
+from heatframe.operators import asof as A
 from heatframe.operators import series as S
 from heatframe.operators.climate import period_mean
 from heatframe.operators.ordered import average_ranks
@@ -167,3 +168,39 @@ def _(i: Inputs):
 def _(i: Inputs):
     ranks = average_ranks(i.daily_obs(), ["station_id"], "tx")
     return ranks.select("station_id", "tx", "n", F.col("rank").cast("double").alias("rank"))
+
+
+SPARSE_DAYS = """
+    WITH days AS (SELECT city, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, MAX(temperature_2m) AS daily_max
+                  FROM hourly_sparse WHERE day(ts) % 5 <> 2 GROUP BY 1, 2)
+    """
+
+
+def sparse_days(i: Inputs):
+    """Daily maxima, of which whole days are missing."""
+    hourly = i.hourly_sparse().where(F.dayofmonth("ts") % 5 != 2)
+    return hourly.groupBy("city", F.col("ts").cast("date").cast("timestamp_ntz").alias("day")).agg(
+        F.max("temperature_2m").alias("daily_max"))
+
+
+@query("daily_to_hourly_asof", SPARSE_DAYS + """
+    SELECT h.city, h.ts, d.day AS as_of, d.daily_max FROM hourly_sparse h ASOF LEFT JOIN days d ON h.city = d.city AND h.ts >= d.day""")
+def _(i: Inputs):
+    return A.asof_join(i.hourly_sparse().select("city", "ts"), sparse_days(i), HOURLY, "day", ["daily_max"])
+
+
+@query("daily_to_hourly_asof_near", SPARSE_DAYS + """
+    SELECT h.city, h.ts, CASE WHEN epoch(h.ts) - epoch(d.day) <= 30 * 3600 THEN d.day END AS as_of,
+           CASE WHEN epoch(h.ts) - epoch(d.day) <= 30 * 3600 THEN d.daily_max END AS daily_max
+    FROM hourly_sparse h ASOF LEFT JOIN days d ON h.city = d.city AND h.ts > d.day""")
+def _(i: Inputs):
+    return A.asof_join(i.hourly_sparse().select("city", "ts"), sparse_days(i), HOURLY, "day", ["daily_max"], strict=True, tolerance=30)
+
+
+@query("carry_forward", """
+    SELECT city, ts, last_value(soil_moisture IGNORE NULLS) OVER w AS soil_moisture,
+           last_value("t_500hPa" IGNORE NULLS) OVER w AS "t_500hPa"
+    FROM hourly_gaps WINDOW w AS (PARTITION BY city ORDER BY ts)""")
+def _(i: Inputs):
+    rows = i.hourly_gaps().select("city", "ts", "soil_moisture", "t_500hPa")
+    return A.carry_forward(rows, HOURLY, ["soil_moisture", "t_500hPa"])
