@@ -8,6 +8,7 @@ from bindings.features import CITIES, MATRIX_COLUMNS, matrix
 from bindings.inputs import Inputs
 from bindings.registry import query
 from bindings.text import rd, round_doubles
+from heatframe.operators import attribution as A
 from heatframe.operators import evaluate as V
 from heatframe.operators import model as M
 from heatframe.session import new_path
@@ -91,3 +92,31 @@ def _(i: Inputs):
         F.count("*").alias("n"), F.sum((F.col("before") == F.col("after")).cast("long")).alias("n_equal"),
         F.lit(len(names)).alias("n_features"),
     )
+
+
+def attributed(i: Inputs):
+    """Long (row_key, feature, value, score): what each feature gives to the margin of each test row."""
+    model, test = fitted_classifier(i)
+    return A.contribution_rows(test, A.leaf_paths(model, new_path(i.spark, "trees")), ["row_key"], FEATURES)
+
+
+@query("row_attributions")
+def _(i: Inputs):
+    return round_doubles(attributed(i), "value", "score")
+
+
+@query("model_attribution_table")
+def _(i: Inputs):
+    out = V.attribution_table(attributed(i), 20)
+    return round_doubles(out, "importance", "direction", "threshold", "feature_mean", "feature_std")
+
+
+@query("model_sign_change_threshold")
+def _(i: Inputs):
+    return round_doubles(V.sign_change(attributed(i), ["feature"], "value", "score"), "threshold")
+
+
+@query("model_contribution_pct")
+def _(i: Inputs):
+    out = V.contribution_pct(V.attribution_importance(attributed(i)).drop("direction"))
+    return round_doubles(out, "importance", "contribution_pct")
