@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from bindings.events import HOT_SQL, REF, _label_sql
@@ -12,6 +13,8 @@ from heatframe.functions import features as X
 from heatframe.operators import features as K
 from heatframe.operators.series import gated, over_rows
 from heatframe.plans.feature_matrix import Recipe, feature_matrix
+from heatframe.plans.saved_matrix import FeatureMatrix
+from heatframe.session import new_path
 
 HOUR = {"_hour": F.hour}
 ZS = ["temperature_2m", "pressure_msl", "t_850hPa"]
@@ -122,7 +125,7 @@ ONE_HOT = ", ".join(f"CAST(city = '{c}' AS INT) AS city_{c}" for c in CITIES)
 HAVE = " AND ".join(f'"{c}" IS NOT NULL' for c in [*MATRIX_COLUMNS, "relative_humidity_2m", "y"])
 
 
-@query("feature_matrix", HOT_SQL + _label_sql(24, 24) + "," + CLIM_SQL.strip()[len("WITH"):] + f""",
+MATRIX_SQL = HOT_SQL + _label_sql(24, 24) + "," + CLIM_SQL.strip()[len("WITH"):] + f""",
     w AS (SELECT h.*, {', '.join(f'(h."{z}" - c."{z}_mean") / (c."{z}_std" + 1e-8) AS "{z}_zscore"' for z in ZS)},
         sin(2 * pi() * hour(h.ts) / 24) AS hour_sin, cos(2 * pi() * hour(h.ts) / 24) AS hour_cos,
         sin(2 * pi() * dayofyear(h.ts) / 365) AS doy_sin, cos(2 * pi() * dayofyear(h.ts) / 365) AS doy_cos,
@@ -138,6 +141,17 @@ HAVE = " AND ".join(f'"{c}" IS NOT NULL' for c in [*MATRIX_COLUMNS, "relative_hu
     m AS (SELECT w.*, l.y FROM w JOIN labelled l ON l.city = w.city AND l.ts = w.ts)
     SELECT city, ts, relative_humidity_2m, y, {FLOATS}, {ONE_HOT},
            ts < TIMESTAMP '2024-01-21 00:00:00' AS is_train
-    FROM m WHERE {HAVE}""")
+    FROM m WHERE {HAVE}"""
+
+
+@query("feature_matrix", MATRIX_SQL)
 def _(i: Inputs):
     return round_doubles(matrix(i), *MATRIX_COLUMNS)
+
+
+@query("feature_matrix_reloaded", MATRIX_SQL)
+def _(i: Inputs):
+    """The same matrix, rebuilt by a pipeline that was fitted, saved and loaded."""
+    path = new_path(i.spark, "matrix")
+    Pipeline(stages=[FeatureMatrix(HOURLY, recipe(), CITIES)]).fit(i.hourly_obs()).write().save(path)
+    return round_doubles(PipelineModel.load(path).transform(i.hourly_obs()), *MATRIX_COLUMNS)

@@ -87,12 +87,25 @@ def with_vetoes(df: DataFrame, recipe: Recipe) -> DataFrame:
     return df.withColumns(X.veto_flags(F.col("v850_smooth_6h"), F.col("delta_press_24h"))) if recipe.older else df
 
 
-def scored_rows(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
-    """Anomaly scores from the reference span only, and the features of single rows."""
-    keys, periods = series.key_list, recipe.period_columns(series.ts)
+def fit_climatology(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
+    """Means and deviations of the reference span, one row for each entity and period."""
     scored = [c for c in recipe.zscores if c in df.columns]
-    normal = climatology(df, keys, scored, periods, recipe.reference_rows(series.ts))
-    return row_features(apply_climatology(df, keys, scored, periods, normal), recipe, series.ts)
+    return climatology(df, series.key_list, scored, recipe.period_columns(series.ts), recipe.reference_rows(series.ts))
+
+
+def fit_limits(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
+    """The event threshold of each entity, from the label's reference span."""
+    return event_threshold(
+        df, series, recipe.value, recipe.pct, "daily_max_ref", recipe.label_reference or recipe.reference,
+        test_from=recipe.train_before,
+    )
+
+
+def scored_rows(df: DataFrame, series: Series, recipe: Recipe, normal: DataFrame | None = None) -> DataFrame:
+    """Anomaly scores from the reference span only (or a given climatology), and the features of single rows."""
+    scored = [c for c in recipe.zscores if c in df.columns]
+    normal = fit_climatology(df, series, recipe) if normal is None else normal
+    return row_features(apply_climatology(df, series.key_list, scored, recipe.period_columns(series.ts), normal), recipe, series.ts)
 
 
 def engineer_features(df: DataFrame, series: Series, recipe: Recipe) -> DataFrame:
@@ -101,17 +114,16 @@ def engineer_features(df: DataFrame, series: Series, recipe: Recipe) -> DataFram
     return with_vetoes(over_rows(rows, series, 72, 0, window_columns(set(df.columns), recipe)), recipe)
 
 
-def feature_matrix(df: DataFrame, series: Series, recipe: Recipe, entities: list[str]) -> DataFrame:
+def feature_matrix(df: DataFrame, series: Series, recipe: Recipe, entities: list[str], normal: DataFrame | None = None,
+                   limits: DataFrame | None = None) -> DataFrame:
     """Complete, labelled rows of the season with one-hot entities and ``is_train``.
 
     Label and features are computed on the whole series, over one window, and the season
-    is cut last, so no window reaches across a season boundary.
+    is cut last, so no window reaches across a season boundary. ``normal`` and ``limits`` are the statistics of an
+    earlier fit (see ``plans.saved_matrix``); without them they come from df.
     """
-    limits = event_threshold(
-        df, series, recipe.value, recipe.pct, "daily_max_ref", recipe.label_reference or recipe.reference,
-        test_from=recipe.train_before,
-    )
-    hot = hot_hours(scored_rows(df, series, recipe), series, recipe.value, limits)
+    limits = fit_limits(df, series, recipe) if limits is None else limits
+    hot = hot_hours(scored_rows(df, series, recipe, normal), series, recipe.value, limits)
     reach = max(72, recipe.window, recipe.horizon)
     steps = label_steps(recipe.window, recipe.horizon)
     windowed = over_rows(hot, series, reach, recipe.horizon, window_columns(set(df.columns), recipe), *steps)
