@@ -11,6 +11,9 @@ from heatframe.operators.ordered import average_ranks, centred_rank, running_tot
 from heatframe.operators.series import Series, over_rows
 
 
+LAGS_SIDE_BY_SIDE, FEATURES_SIDE_BY_SIDE = 12, 8
+
+
 def spearman_by(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, n, rho): Spearman correlation over the complete pairs of each key.
 
@@ -162,12 +165,12 @@ def lag_profile(
     """(keys, feature, lag, rho) for every lag 1..max_lag: each feature against the
     change of ``value`` over the next ``lag`` rows, over the complete pairs of each.
 
-    A feature's values are counted with one sum for each lag, side by side, so rows are
-    not multiplied by the lags there. Rows then carry the ranks of all lags to the
-    changes, where each distinct change sums the ranks that meet it: a change's own rank
-    depends on nothing else.
+    Lags and features are taken some at a time, side by side, so the plan does not grow with either. A feature's
+    values are counted with one sum for each lag of a group; rows then carry the ranks to the changes, whose
+    distinct values count and sum what meets them with one set of sums for each feature of a group: a change's
+    own rank depends on nothing else, and rows are multiplied by the lags once for all features.
     """
-    keys = series.key_list
+    keys, side, wide = series.key_list, min(LAGS_SIDE_BY_SIDE, max_lag), min(FEATURES_SIDE_BY_SIDE, len(features))
     # a struct is never NULL, so missing values keep their place among the later rows
     later = F.collect_list(F.struct(F.col(value).alias("v")))
     moved = over_rows(df, series, 0, max_lag, lambda w: {"_later": later.over(w.rowsBetween(1, max_lag))})
@@ -176,34 +179,46 @@ def lag_profile(
         F.sequence(F.lit(0), F.lit(max_lag - 1)), lambda i: F.get("_later", i)["v"].cast("double") - F.col(value).cast("double")
     )
     rows = spread_rows(
-        kept.select(*keys, series.ts, *[F.col(f).cast("double").alias(f) for f in features], jumps.alias("_jumps")),
+        kept.select(*keys, series.ts, *[F.col(f).cast("double").alias(f) for f in features], jumps.alias("_all")),
         [*keys, series.ts],
     )
+    groups = F.sequence(F.lit(0), F.lit((max_lag - 1) // side))
     cells = F.array(*[F.struct(F.lit(i).alias("_var"), F.col(f).alias("_value")) for i, f in enumerate(features)])
-    tall = rows.select(*keys, series.ts, "_jumps", F.inline(cells)).where("_value IS NOT NULL")
-    sums = [f"_n{k}" for k in range(max_lag)]
-    counted = tall.groupBy(*keys, "_var", "_value").agg(
-        *[F.sum(F.col("_jumps")[k].isNotNull().cast("long")).alias(n) for k, n in enumerate(sums)]
+    tall = rows.select("*", F.explode(groups).alias("_g")).select(
+        *keys, series.ts, "_g", F.slice("_all", F.col("_g") * side + 1, side).alias("_jumps"), F.inline(cells)
+    ).where("_value IS NOT NULL")
+    sums = [f"_n{k}" for k in range(side)]
+    counted = tall.groupBy(*keys, "_g", "_var", "_value").agg(
+        *[F.sum(F.get("_jumps", F.lit(k)).isNotNull().cast("long")).alias(n) for k, n in enumerate(sums)]
     )
-    placed = running_totals(with_bins(counted, "_value"), [*keys, "_var"], ["_value"], sums)
+    placed = running_totals(with_bins(counted, "_value"), [*keys, "_g", "_var"], ["_value"], sums)
     centred = F.array(*[centred_rank(F.col(f"{n}_before"), F.col(n), F.col(f"{n}_total")) for n in sums])
-    ranks = placed.select(*keys, "_var", "_value", centred.alias("_ranks"))
-    met = tall.join(ranks, [*keys, "_var", "_value"]).select(
-        *keys, "_var", F.posexplode(F.arrays_zip("_jumps", "_ranks")).alias("_i", "_at")
-    )
-    rank = F.col("_at._ranks")
-    by_jump = met.where("_at._jumps IS NOT NULL").groupBy(*keys, "_i", "_var", F.col("_at._jumps").alias("_jump")).agg(
-        F.count("*").alias("_n"), F.sum(rank).alias("_x"), F.sum(rank * rank).alias("_xx")
-    )
-    by = [*keys, "_i", "_var"]
-    found = running_totals(with_bins(by_jump, "_jump"), by, ["_jump"], ["_n"])
-    y = centred_rank(F.col("_n_before"), F.col("_n"), F.col("_n_total"))
-    table = found.groupBy(*by).agg(
-        F.sum(F.col("_x") * y).alias("_xy"), F.sum("_xx").alias("_xx"), F.sum(F.col("_n") * y * y).alias("_yy")
-    )
+    ranks = placed.select(*keys, "_g", "_var", "_value", centred.alias("_ranks"))
+    back = tall.join(ranks, [*keys, "_g", "_var", "_value"]).groupBy(
+        *keys, series.ts, "_g", F.floor(F.col("_var") / wide).alias("_h")
+    ).agg(F.first("_jumps").alias("_jumps"), *[F.max(F.when(F.col("_var") % wide == j, F.col("_ranks"))).alias(f"_r{j}") for j in range(wide)])
+    met = back.select(*keys, "_g", "_h", *[f"_r{j}" for j in range(wide)], F.posexplode("_jumps").alias("_i", "_jump"))
+    lag = (F.col("_g") * side + F.col("_i") + 1).cast("int").alias("lag")
+    parts = []
+    for j in range(wide):
+        rank = F.get(f"_r{j}", F.col("_i"))
+        parts += [F.count(rank).alias(f"_n{j}"), F.sum(rank).alias(f"_x{j}"), F.sum(rank * rank).alias(f"_xx{j}")]
+    by = [*keys, "lag", "_h"]
+    by_jump = met.where("_jump IS NOT NULL").groupBy(*keys, lag, "_h", "_jump").agg(*parts)
+    found = running_totals(with_bins(by_jump, "_jump"), by, ["_jump"], [f"_n{j}" for j in range(wide)])
+    products = []
+    for j in range(wide):
+        n = F.col(f"_n{j}")
+        y = centred_rank(F.col(f"_n{j}_before"), n, F.col(f"_n{j}_total"))
+        products += [F.sum(F.col(f"_x{j}") * y).alias(f"_xy{j}"), F.sum(f"_xx{j}").alias(f"_xx{j}"), F.sum(n * y * y).alias(f"_yy{j}"),
+                     F.max(f"_n{j}_total").alias(f"_t{j}")]
+    table = found.groupBy(*by).agg(*products)
     names = F.array(*[F.lit(f) for f in features])
-    rho = corr_from_centred(F.col("_xy"), F.col("_xx"), F.col("_yy"))
-    return table.select(*keys, names[F.col("_var")].alias("feature"), (F.col("_i") + 1).alias("lag"), rho.alias("rho"))
+    out = F.array(*[F.struct(
+        F.get(names, (F.col("_h") * wide + j).cast("int")).alias("feature"), F.col(f"_t{j}").alias("_pairs"),
+        corr_from_centred(F.col(f"_xy{j}"), F.col(f"_xx{j}"), F.col(f"_yy{j}")).alias("rho")) for j in range(wide)])
+    # a feature has a row where it meets a change at all
+    return table.select(*keys, "lag", F.inline(out)).where("_pairs > 0").select(*keys, "feature", "lag", "rho")
 
 
 def lag_checkpoints(profile: DataFrame, keys: list[str], points: list[int]) -> DataFrame:
