@@ -92,6 +92,14 @@ def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
     return hosts.select("host", "n", "failures", shrunk.alias("shrunk_rate"))
 
 
+def bad_hosts(judged: DataFrame, max_rate: float, min_docs: int) -> DataFrame:
+    """_host, _bad (true) of the hosts of judged (_host, base_failed) whose documents all go."""
+    rates = host_rates(judged.select("_host", "base_failed"), "_host", "base_failed")
+    bad = rates.where((F.col("n") >= min_docs) & (F.col("shrunk_rate") > max_rate)).select(
+        F.col("host").alias("_host"), F.lit(True).alias("_bad"))
+    return F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
+
+
 def judge(docs: DataFrame, host: Column | str = "source", text_column: str = "text", max_rate: float = MAX_HOST_RATE,
           min_docs: int = MIN_HOST_DOCS, folder: str | None = None, **rules) -> DataFrame:
     """docs with the columns of ``base_rules`` and kept.
@@ -108,15 +116,24 @@ def judge(docs: DataFrame, host: Column | str = "source", text_column: str = "te
     if folder:
         judged.drop(text_column).write.parquet(folder)
         judged = docs.sparkSession.read.parquet(folder)
-    rates = host_rates(judged.select("_host", "base_failed"), "_host", "base_failed")
-    bad = rates.where((F.col("n") >= min_docs) & (F.col("shrunk_rate") > max_rate)).select(
-        F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    if bad.count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
+    bad = bad_hosts(judged, max_rate, min_docs)
     kept = ~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False))
     return judged.join(bad, "_host", "left").withColumn("kept", kept).drop("_host", "_bad")
 
 
-def keep_good(docs: DataFrame, host: Column | str = "source", text_column: str = "text", **settings) -> DataFrame:
-    """The documents that ``judge`` keeps, with their own columns."""
-    return judge(docs, host, text_column, **settings).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, host: Column | str = "source", text_column: str = "text", folder: str | None = None,
+              max_rate: float = MAX_HOST_RATE, min_docs: int = MIN_HOST_DOCS, **rules) -> DataFrame:
+    """The documents that ``judge`` keeps, with their own columns; see there for nulls, ties and repeated rows.
+
+    folder   where the documents that pass the rules themselves are written, so that the rules run once; without it
+             they run for the hosts' rates and again for the result
+    """
+    if folder is None:
+        return judge(docs, host, text_column, max_rate, min_docs, **rules).where("kept").select(*docs.columns)
+    key = F.col(host) if isinstance(host, str) else host
+    # own columns are kept in a struct, so that none clashes with those of the rules
+    judged = base_rules(docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_host"), F.col(text_column).alias("_text")), "_text", **rules)
+    judged.select("_host", "base_failed", F.when(~F.col("base_failed"), F.col("_row")).alias("_row")).write.parquet(folder)
+    judged = docs.sparkSession.read.parquet(folder)
+    bad = bad_hosts(judged, max_rate, min_docs)
+    return judged.where("NOT base_failed").join(bad.select("_host"), "_host", "left_anti").select("_row.*")

@@ -163,15 +163,16 @@ def find_secrets(docs: DataFrame, folder: str, labelled: DataFrame | None = None
     return judged.select("doc_id", "word_no", "run_no", "core", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
-def redact(docs: DataFrame, folder: str, mark: str = MARK, id_column: str = "doc_id", text_column: str = "text",
+def redact(docs: DataFrame, folder: str, mark: str = MARK, text_column: str = "text",
            length_column: str | None = "n_chars", **settings) -> DataFrame:
     """docs with every secret of a document replaced by ``mark`` in its text, and its length column counted anew there.
 
-    Texts without secrets stay as they are, as do rows without an id. Columns and their order stay.
+    Documents are known by their texts here, so rows without an id, repeated rows and several texts under one id are
+    cleaned like any other. Texts without secrets stay as they are. Columns and their order stay.
     """
-    found = find_secrets(docs, folder, id_column=id_column, text_column=text_column, **settings)
-    lists = found.where("is_secret AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_set("core").alias("_secrets"))  # bounded by the document
+    named = docs.select(F.xxhash64(text_column).alias("_named"), F.col(text_column)).where(F.col(text_column).isNotNull())
+    found = find_secrets(named, folder, id_column="_named", text_column=text_column, **settings)
+    lists = found.where("is_secret").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("core").alias("_secrets"))  # bounded by the text
     lists.write.parquet(f"{folder}/secrets")
     lists = docs.sparkSession.read.parquet(f"{folder}/secrets")
     if (lists.agg(F.sum(F.size("_secrets"))).first()[0] or 0) <= BROADCAST_ROWS:
@@ -179,7 +180,7 @@ def redact(docs: DataFrame, folder: str, mark: str = MARK, id_column: str = "doc
     # longer ones first, as one may lie in another
     clean = F.expr(f"""aggregate(array_sort(_secrets, (a, b) -> char_length(b) - char_length(a)), `{text_column}`,
         (t, s) -> replace(t, s, '{mark}'))""")
-    joined = docs.join(lists, docs[id_column].cast("long") == F.col("_doc"), "left")
+    joined = docs.join(lists, F.xxhash64(docs[text_column]) == F.col("_doc"), "left")
     hit = F.col("_secrets").isNotNull() & F.col(text_column).isNotNull()
     out = joined.withColumn("_clean", F.when(hit, clean).otherwise(F.col(text_column)))
     columns = [F.col("_clean").alias(c) if c == text_column

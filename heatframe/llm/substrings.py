@@ -22,8 +22,9 @@ from heatframe.llm import files
 from heatframe.llm.words import BASE, WHITE, Lot, lots, mix, window_hashes
 
 WIDTH, SEED = 13, 6
-LOT_BYTES = 8 << 20
+LOT_BYTES = 2 << 20  # some 25 bytes of arrays for each in a Python worker
 MANY_EXTENSIONS = 64
+BATCH_ROWS = 1 << 16
 BROADCAST_BYTES = 48 << 20
 ANCHOR, MARK, WINDOW, REMOVED, OPEN = range(5)
 ROWS = "kind int, key long, extension long, doc long, place long"
@@ -263,8 +264,11 @@ def _windows(runs: Runs, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordB
     nothing = np.zeros(len(at), "i8")
     first, later, (key, extension, doc, place) = _resolved(
         runs.windows[at].view("i8"), nothing, doc, runs.place(at, nothing))
-    yield _batch(WINDOW, key[~later], extension[~later], doc[~later], place[~later])
-    yield _removed(doc[later], place[later])
+    for k in range(0, len(key), BATCH_ROWS):
+        part = slice(k, k + BATCH_ROWS)
+        stay, gone = ~later[part], later[part]
+        yield _batch(WINDOW, key[part][stay], extension[part][stay], doc[part][stay], place[part][stay])
+        yield _removed(doc[part][gone], place[part][gone])
 
 
 def remove_repeats(docs: DataFrame, folder: str, width: int = WIDTH, seed: int = SEED, id_column: str = "doc_id",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from heatframe.llm.registry import query, scratch, table
 from heatframe.llm.reply_trees import conversations_from_trees, format_turns, learned_texts, parse_turns
-from heatframe.llm.url_filter import Rule, judge_urls
+from heatframe.llm.url_filter import Rule, host_of, judge_urls, path_of
 
+NO_ID = "none"
 RULES = [
     Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"),
     Rule("net", "/es/", "block"), Rule("net", "/fr/", "block"),
@@ -54,6 +55,7 @@ FROM sized GROUP BY conv_id"""
 
 @query("op2_reply_tree_chats", CONVERSATION_SQL)
 def reply_tree_chats(spark, sf_dir):
+    """A conversation is one chain of replies; rows without a conv_id are one conversation too."""
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -62,11 +64,11 @@ def reply_tree_chats(spark, sf_dir):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     messages = rows.unionByName(probes).withColumn("id", F.row_number().over(order).cast("long")).select(
-        F.col("conv_id").alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text",
+        F.coalesce(F.col("conv_id").cast("string"), F.lit(NO_ID)).alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text",
         F.lit(0.0).alias("score"))
     folder = scratch(spark, "chats")
     chosen = conversations_from_trees(messages, f"{folder}/paths")
-    format_turns(chosen).select(F.col("tree").alias("conv_id"), "formatted", "loss_spans").write.parquet(f"{folder}/out")
+    format_turns(chosen).select(F.when(F.col("tree") != NO_ID, F.col("tree")).cast("long").alias("conv_id"), "formatted", "loss_spans").write.parquet(f"{folder}/out")
     back = spark.read.parquet(f"{folder}/out")
     # parsed once, before the columns that use it
     back = back.withColumns({"turns": parse_turns(F.col("formatted")),
@@ -83,5 +85,6 @@ def reply_tree_chats(spark, sf_dir):
 def url_verdicts(spark, sf_dir):
     """Pages of link farms and of the /de/ parts are the list; their mirrors are found by canonical url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where("url RLIKE '://[^/?#]*spam-farm' OR url RLIKE '://[^/?#]*/de/'").select("url")
+    url = F.col("url")
+    listed = pages.where(host_of(url).contains("spam-farm") | path_of(url).startswith("/de/")).select("url")
     return judge_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
