@@ -16,27 +16,37 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose source does not fail as a whole."""
-    return keep_good(docs, "source")
+    """Documents that pass the rules and whose source does not fail as a whole.
+
+    A null text has no words and goes; a null source has no verdict; repeated rows are judged one by one and all count
+    for their source. No documents give none.
+    """
+    return keep_good(docs, "source", folder=scratch(spark, "stage-quality"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked at a similarity of 0.8 over five-word shingles."""
+    """One document, the one with the smallest id, of each group linked at a similarity of 0.8 over five-word shingles.
+
+    Of repeated rows one stays; a row without an id stays if no other row with its set does. Texts without words link
+    with nothing and stay.
+    """
     return keep_one_per_component(docs, scratch(spark, "stage-jaccard"), num=80, den=100, width=5, parts=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
+    """Documents without a window of ten words of a benchmark item. Null texts have none and stay, ids play no part."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
+    """All documents, secrets in their texts replaced; documents are known by their texts, so null and repeated ids are
+    cleaned alike. Null texts stay."""
     return redact(docs, scratch(spark, "stage-secrets"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces placed in sequences of at most 1024 tokens."""
+    """The documents' pieces placed in sequences of at most 1024 tokens. A null text is one piece of its end token;
+    repeated rows are packed one by one."""
     return pack_documents(docs, scratch(spark, "stage-packing"), TOKENIZER, 1024, end_id=2)
 
 
