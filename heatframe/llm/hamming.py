@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatframe.llm.setjoin import SetJoin, Sets
+from heatframe.llm.setjoin import SetJoin, Sets, shortened
 from heatframe.llm.words import BASE, mix
 
 CHUNKS, COMPONENTS, ERRORS, BITS = 13, 6, 1, 16
@@ -61,7 +61,7 @@ def entries(sets: Sets, chosen: np.ndarray, num: int, den: int, chunks: int, com
                     key = mix(key * BASE + part[:, k])
             out.append(key)
     keys = np.concatenate(out) if out else np.empty(0, "u8")
-    return (keys >> np.uint64(8)).view("i8"), np.tile(place, len(out))
+    return shortened(keys), np.tile(place, len(out))
 
 
 class HammingJoin(SetJoin):

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatframe.llm.setjoin import BROADCAST_ROWS, SetJoin, Sets, sums
+from heatframe.llm.setjoin import BROADCAST_ROWS, SetJoin, Sets, shortened, sums
 from heatframe.llm.words import BASE, mix
 
 SEEDS = 4
@@ -106,8 +106,7 @@ def signatures(sets: Sets, chosen: np.ndarray, bands: Bands) -> tuple[np.ndarray
         band = band + 1
     if not out_sig:
         return np.empty(0, "i8"), np.empty(0, "i8")
-    # 56 bits: shorter when shuffled, and a chance meeting is only one more candidate
-    return (np.concatenate(out_sig) >> np.uint64(8)).view("i8"), np.concatenate(out_text)
+    return shortened(np.concatenate(out_sig)), np.concatenate(out_text)
 
 
 class JaccardJoin(SetJoin):

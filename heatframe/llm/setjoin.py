@@ -21,12 +21,22 @@ from heatframe.llm.components import components
 from heatframe.llm.words import AS_IS, BASE, LOWERED, WHITE, Lot, lots, mix, window_hashes
 
 COUNTERS = 128
-LOT_SIGNATURES = 1 << 20
+LOT_SIGNATURES = 1 << 21
+BUCKET_SIGNATURES = 1 << 19
+BUCKET_BITS = 6  # at least
+SIGNED_BESIDES = 100  # signatures that a set may have beside one for each shingle
+SIGNATURE_BITS = 48  # short for the shuffle; a chance meeting is only one more candidate
+PAIR_ROWS = 1 << 16
 BROADCAST_ROWS = 2_000_000  # at 48 bytes a row: below 100 MB
 
 Signer = Callable[["Sets", np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def shortened(signatures: np.ndarray) -> np.ndarray:
+    """64-bit hashes as signatures of SIGNATURE_BITS."""
+    return (signatures >> np.uint64(64 - SIGNATURE_BITS)).view("i8")
+
+
 class Sets:
     """Distinct shingles of the texts of a lot: values, the text of each, sizes, and a hash of every set."""
 
@@ -133,8 +143,15 @@ class SetJoin:
 
     def _candidates(self) -> DataFrame:
         """Document a and pivot p of all signatures that several documents share; many: a stands for others of its lot;
-        level: 0 where nothing else has the signature, 1 where that is so within a lot, 2 where others have it."""
+        level: 0 where nothing else has the signature, 1 where that is so within a lot, 2 where others have it.
+
+        A lot's signatures travel sorted and packed, by ranges of their values (buckets) whose number grows with the
+        input, so that a task holds one bucket at a time. A signature is one entry for each lot that has it.
+        """
         separators, letters, width, signer = self.separators, self.letters, self.width, self.signer()
+        total = self.sizes.where("n_shingles > 0").agg(F.sum(F.col("n_shingles") + SIGNED_BESIDES)).first()[0] or 0
+        bits = max(BUCKET_BITS, (total // BUCKET_SIGNATURES).bit_length())
+        lot_signatures = LOT_SIGNATURES
 
         def sign(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signatures, held, size = signer(), [], 0
@@ -146,18 +163,27 @@ class SetJoin:
                     sig, text = signatures(sets, known[lot.rows])
                     held.append((sig, ids[lot.rows][text]))
                     size += len(sig)
-                    if size >= LOT_SIGNATURES:
-                        yield _combined(held)
+                    if size >= lot_signatures:
+                        yield from _packed(held, bits)
                         held, size = [], 0
             if held:
-                yield _combined(held)
-
-        rows = self.docs.mapInArrow(sign, "key long, a long, is_pair boolean, many boolean, level byte")
-        shared = Window.partitionBy("key", "is_pair")
-        pivot = F.when(F.col("is_pair"), F.col("key")).otherwise(F.min("a").over(shared))
-        others = F.count("*").over(shared) + F.max(F.col("many").cast("int")).over(shared)
-        level = F.when(F.col("is_pair"), F.col("level")).when(others > 2, 2).otherwise(0).cast("int")
-        return rows.select("a", pivot.alias("p"), "many", level.alias("level")).where("a != p").groupBy("a", "p").agg(
+                yield from _packed(held, bits)
+
+        def meet(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, blobs = None, []
+            for b in incoming:
+                for own, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                    if own != bucket and blobs:
+                        yield from _met(blobs)
+                        blobs = []
+                    bucket = own
+                    blobs.append(blob.as_py())
+            if blobs:
+                yield from _met(blobs)
+
+        rows = self.docs.mapInArrow(sign, "bucket int, blob binary")
+        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+            meet, "a long, p long, many boolean, level int").groupBy("a", "p").agg(
             F.max("many").alias("many"), F.max("level").alias("level"))
 
     def _shingles(self, wanted: DataFrame) -> DataFrame:
@@ -308,9 +334,30 @@ class SetJoin:
         return (F.col("component") != F.col("cp")) & (most * self.den >= (F.col("m") + F.col("mp") - most) * self.num)
 
 
-def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows (key, a, is_pair, many, level) of a lot: each signature once, with its smallest member and whether it has
-    others; the others as pairs with that one."""
+def _ascending(values: np.ndarray) -> bytes:
+    """Sorted whole numbers: how many, the first, the bytes of a difference, and the differences in so many bytes."""
+    if not len(values):
+        return np.array([0, 0, 0], "i8").tobytes()
+    steps = np.diff(values.astype("i8").view("u8"))
+    wide = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return np.array([len(values), values[0], wide], "i8").tobytes() + steps.astype("<u8").view("u1").reshape(-1, 8)[:, :wide].tobytes()
+
+
+def _ascended(data: memoryview) -> tuple[np.ndarray, memoryview]:
+    n, first, wide = np.frombuffer(data, "i8", 3).tolist()
+    data = data[24:]
+    if not n:
+        return np.empty(0, "i8"), data
+    steps = np.zeros((n, 8), "u1")
+    steps[1:, :wide] = np.frombuffer(data, "u1", (n - 1) * wide).reshape(-1, wide)
+    steps = steps.view("u8").ravel()
+    steps[0] = np.int64(first).view("u8")
+    return np.cumsum(steps, dtype="u8").view("i8"), data[(n - 1) * wide:]
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """bucket, blob of a lot: each signature once, with its smallest member and whether it has others, by buckets of the
+    signatures' highest bits; the others as pairs with that one, dealt by their members."""
     sig, member = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((member, sig))
     sig, member = sig[order], member[order]
@@ -322,14 +369,64 @@ def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     group = np.cumsum(first) - 1
     pivot, size = member[first], np.bincount(group, minlength=int(first.sum()))
     other = np.flatnonzero(~first)
-    of = group[other]
-    pairs = np.stack([pivot[of], member[other], -np.where(size[of] > 2, 2, 1)], axis=1)
-    pairs = pairs[np.lexsort(pairs.T[::-1])] if len(pairs) else pairs
-    kept = np.ones(len(pairs), bool)
-    kept[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
-    pairs = pairs[kept]
-    n, k = len(pivot), len(pairs)
-    return pa.record_batch([
-        pa.array(np.concatenate([sig[first], pairs[:, 0]])), pa.array(np.concatenate([pivot, pairs[:, 1]])),
-        pa.array(np.concatenate([np.zeros(n, bool), np.ones(k, bool)])), pa.array(np.concatenate([size > 1, np.zeros(k, bool)])),
-        pa.array(np.concatenate([np.zeros(n, "i1"), -pairs[:, 2].astype("i1")]))], ["key", "a", "is_pair", "many", "level"])
+    a, p, _, level = _distinct(member[other], pivot[group[other]], np.zeros(len(other), bool), np.where(size[group[other]] > 2, 2, 1))
+    sig = sig[first]
+    buckets, blobs = [], []
+    of_sig, of_pair = sig >> (SIGNATURE_BITS - bits), a & ((1 << bits) - 1)
+    by_pair = np.argsort(of_pair, kind="stable")
+    a, p, level, of_pair = a[by_pair], p[by_pair], level[by_pair], of_pair[by_pair]
+    for bucket in np.unique(np.concatenate([of_sig, of_pair])).tolist():
+        x, y = np.searchsorted(of_sig, [bucket, bucket + 1])
+        ids, at = np.unique(pivot[x:y], return_inverse=True)
+        place = at.astype("u2" if len(ids) <= 1 << 16 else "u4")
+        k, n = np.searchsorted(of_pair, [bucket, bucket + 1])
+        buckets.append(bucket)
+        blobs.append(b"".join([_ascending(sig[x:y]), _ascending(ids), place.tobytes(), np.packbits(size[x:y] > 1).tobytes(),
+                               a[k:n].tobytes(), p[k:n].tobytes(), level[k:n].astype("u1").tobytes()]))
+    yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """a, p, many, level of a bucket's signatures and pairs."""
+    parts, pairs = [], []
+    for blob in blobs:
+        sig, data = _ascended(memoryview(blob))
+        ids, data = _ascended(data)
+        wide = 2 if len(ids) <= 1 << 16 else 4
+        n = len(sig)
+        place, data = np.frombuffer(data, f"u{wide}", n), data[wide * n:]
+        many, data = np.unpackbits(np.frombuffer(data, "u1", (n + 7) // 8), count=n).astype(bool), data[(n + 7) // 8:]
+        parts.append((sig, ids[place] if n else ids, many))
+        k = len(data) // 17
+        pairs.append((np.frombuffer(data, "i8", k), np.frombuffer(data[8 * k:], "i8", k), np.frombuffer(data[16 * k:], "u1", k)))
+    sig, member, many = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((member, sig))
+    sig, member, many = sig[order], member[order], many[order]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    group = np.cumsum(first) - 1
+    n = int(first.sum())
+    others = np.bincount(group, minlength=n) + (np.bincount(group, many, n) > 0)
+    pivot = member[first][group]
+    met = member != pivot
+    lot_a, lot_p, lot_level = (np.concatenate(x) for x in zip(*pairs))
+    a, p, many, level = _distinct(
+        np.concatenate([member[met], lot_a]), np.concatenate([pivot[met], lot_p]),
+        np.concatenate([many[met], np.zeros(len(lot_a), bool)]),
+        np.concatenate([np.where(others[group][met] > 2, 2, 0), lot_level]))
+    for k in range(0, len(a), PAIR_ROWS):
+        part = slice(k, k + PAIR_ROWS)
+        yield pa.record_batch([pa.array(a[part]), pa.array(p[part]), pa.array(many[part]), pa.array(level[part].astype("i4"))],
+                              ["a", "p", "many", "level"])
+
+
+def _distinct(a: np.ndarray, p: np.ndarray, many: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with the largest of its flags."""
+    order = np.lexsort((a, p))
+    a, p, many, level = a[order], p[order], many[order], level[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return a, p, many, level
+    return a[at], p[at], np.maximum.reduceat(many, at), np.maximum.reduceat(level, at)
