@@ -21,6 +21,7 @@ from heatframe.llm.components import components
 from heatframe.llm.words import AS_IS, BASE, LOWERED, WHITE, Lot, lots, mix, window_hashes
 
 COUNTERS = 128
+CELL_SHINGLES = 8
 LOT_SIGNATURES = 1 << 21
 BUCKET_SIGNATURES = 1 << 19
 BUCKET_BITS = 6  # at least
@@ -63,11 +64,14 @@ class Sets:
         self.bounds = np.searchsorted(self.text, np.arange(n + 1))
 
     def counts(self) -> list[bytes]:
-        """Shingles of every set by COUNTERS cells of the domain, at most 255 each. The cells' differences
-        between two sets sum up to no more than their symmetric difference."""
-        cell = (mix(self.values + np.uint64(7)) >> np.uint64(57)).astype("i8")
-        found = np.bincount(self.text * COUNTERS + cell, minlength=self.n * COUNTERS)
-        return [row.tobytes() for row in np.minimum(found, 255).astype("u1").reshape(self.n, COUNTERS)]
+        """Shingles of every set by cells of the domain, at most 255 each: a power of two of cells, COUNTERS or more
+        and one for CELL_SHINGLES shingles or fewer. The cells' differences between two sets sum up to no more than their
+        symmetric difference, and chance pairs of long sets differ by more than that may be."""
+        bits = np.ceil(np.log2(np.maximum(self.sizes / CELL_SHINGLES, COUNTERS))).astype("i8")
+        ends = np.cumsum(1 << bits)
+        cell = (mix(self.values + np.uint64(7)) >> (64 - bits[self.text]).astype("u8")).astype("i8")
+        found = np.minimum(np.bincount((ends - (1 << bits))[self.text] + cell, minlength=int(ends[-1]) if self.n else 0), 255).astype("u1")
+        return [found[e - n:e].tobytes() for e, n in zip(ends.tolist(), (1 << bits).tolist())]
 
     def of(self, k: int) -> np.ndarray:
         return self.values[self.bounds[k]:self.bounds[k + 1]].view("i8")
@@ -220,15 +224,21 @@ class SetJoin:
                             .select("a", F.col("p").alias("b")), name)
 
     def _close(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose counts allow a link: most chance meetings end here, on COUNTERS bytes a set."""
+        """Those of the pairs whose counts allow a link: most chance meetings end here, on an eighth of a byte a shingle."""
         num, den = self.num, self.den
 
         def near(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in incoming:
-                of_a, of_p = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(-1, COUNTERS).astype("i2")
-                              for c in (4, 5))
-                differ = np.abs(of_a - of_p).sum(axis=1, dtype="i8")
                 both = b.column(2).to_numpy() + b.column(3).to_numpy()
+                sides = [[memoryview(x.as_buffer()) for x in b.column(c)] for c in (4, 5)]
+                cells = np.array([[len(x) for x in side] for side in sides], "i8").reshape(2, -1)
+                differ = np.zeros(b.num_rows, "i8")
+                for n_a, n_p in np.unique(cells, axis=1).T.tolist():
+                    at = np.flatnonzero((cells[0] == n_a) & (cells[1] == n_p))
+                    least = min(n_a, n_p)
+                    of_a, of_p = (np.minimum(np.frombuffer(b"".join(side[k] for k in at), "u1").reshape(len(at), least, -1).sum(
+                        axis=2, dtype="i4"), 255) for side in sides)
+                    differ[at] = np.abs(of_a - of_p).sum(axis=1, dtype="i8")
                 yield b.select(range(2)).filter(pa.array(differ * (den + num) <= both * (den - num)))
 
         def of(side: str, count: str) -> DataFrame:

@@ -202,3 +202,25 @@ def test_linked_sets_share_a_signature(num, parts):
     for s, t in zip(sig.tolist(), text.tolist()):
         held[t].add(s)
     assert all(held[k] & held[k + 1] for k in range(0, len(pairs), 2))
+
+
+def test_counts_never_rule_out_a_link():
+    import numpy as np
+    import pyarrow as pa
+
+    from heatframe.llm.setjoin import COUNTERS, Sets
+    from heatframe.llm.words import WHITE, lots
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(9000)]
+    kept = [base, base[:8000], [w for w in base if rng.random() < 0.9], base[:2000], ["y"] * 3, [f"z{k}" for k in range(9000)]]
+    (lot,) = lots(pa.array([" ".join(w) for w in kept] + [""]), WHITE, lot_bytes=1 << 30)
+    counts = [np.frombuffer(c, "u1").astype("i8") for c in Sets(lot, 1).counts()]
+    assert [len(c) for c in counts] == [2048, 1024, 1024 if len(kept[2]) <= 8192 else 2048, 256, COUNTERS, 2048, COUNTERS]
+    for i, a in enumerate(kept):
+        for j, b in enumerate(kept):
+            n = min(len(counts[i]), len(counts[j]))
+            x, y = (np.minimum(c.reshape(n, -1).sum(axis=1), 255) for c in (counts[i], counts[j]))
+            assert np.abs(x - y).sum() <= len(set(a) ^ set(b))
+    # unlike sets of this size differ by more than linked ones may
+    assert np.abs(counts[0] - counts[5]).sum() * 180 > 18000 * 20
