@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heatframe.llm.files import step_table
+
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the edges (a, b: long).
@@ -13,11 +15,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     the edges; a round at least halves the components that still have edges. Tables of a round are written
     below ``folder``, which cuts the lineage.
     """
-    spark = edges.sparkSession
-
     def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return step_table(df, f"{folder}/{name}")
 
     a_b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = written(edges.where("a != b").select(*a_b).distinct(), "edges-0")

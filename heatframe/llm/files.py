@@ -7,8 +7,28 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 BATCH_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def step_table(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet and read again; the shuffles it took go with the write, as nothing after it needs them."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
+
+
+def drop_table(path: str) -> None:
+    """Removes a written table that no later step reads."""
+    system, name = fs.FileSystem.from_uri(path)
+    system.delete_dir(name)
 
 
 def new_file(folder: str, stem: str, suffix: str) -> tuple[str, pa.NativeFile]:

@@ -101,8 +101,11 @@ class SetJoin:
         raise NotImplementedError
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return files.step_table(df, f"{self.folder}/{name}")
+
+    def dropped(self, *names: str) -> None:
+        for name in names:
+            files.drop_table(f"{self.folder}/{name}")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row; set_hash, and the component's own number."""
@@ -220,8 +223,10 @@ class SetJoin:
         both = pairs.select("a", "p").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(
             sets.select(F.col("node").alias("p"), F.col("shingles").alias("of_p")), "p").select(
             "a", "p", F.size(F.array_intersect("of_a", "of_p")).alias("i"), (F.size("of_a") + F.size("of_p")).alias("both"))
-        return self.written(both.where(F.col("i") * self.den >= (F.col("both") - F.col("i")) * self.num)
-                            .select("a", F.col("p").alias("b")), name)
+        links = self.written(both.where(F.col("i") * self.den >= (F.col("both") - F.col("i")) * self.num)
+                             .select("a", F.col("p").alias("b")), name)
+        self.dropped(f"{name}-nodes", f"{name}-sets")
+        return links
 
     def _close(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose counts allow a link: most chance meetings end here, on an eighth of a byte a shingle."""
@@ -300,19 +305,15 @@ class SetJoin:
         """
         sets = self.written(self._shingles(members.select("node")), "open-sets")
         each = sets.select("node", F.explode("shingles").alias("s"))
-        spread = self.written(each.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")), "open-shingles")
-        # a shingle that one member alone has counts against every link of it
-        alone = spread.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-        spare = F.floor(F.col("m") * (self.den - self.num) / F.lit(self.den))
-        able = self.written(members.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn(
-            "meets", spare + 1 - F.col("own")).where("meets > 0"), "open-able")
-        shared = sets.join(able.select("node", "meets"), "node").select("node", "meets", F.explode("shingles").alias("s")).join(
-            spread.where("n > 1").select("s", "n"), "s")
-        # as many rows as a set has shingles
-        rarest = Window.partitionBy("node").orderBy("n", "s")
-        prefix = shared.withColumn("rank", F.row_number().over(rarest)).where("rank <= meets").select("node", "s", "rank")
-        signed = self.written(prefix.join(able.drop("meets"), "node").select(
-            F.col("s").alias("sig"), "node", "m", (F.col("own") + F.col("rank") - 1).alias("before")), "open-prefixes")
+        spread = self.written(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "open-shingles")
+        # as many rows as a set has shingles; those that no other member has count against every link of it
+        of_node = Window.partitionBy("node")
+        ranked = each.join(spread, "s").select("node", "s", F.row_number().over(of_node.orderBy("n", "s")).alias("rank"),
+                                               F.count("*").over(of_node).alias("shared")).join(members, "node")
+        spare, own = F.floor(F.col("m") * (self.den - self.num) / F.lit(self.den)), F.col("m") - F.col("shared")
+        signed = self.written(ranked.where(F.col("rank") <= spare + 1 - own).select(
+            F.col("s").alias("sig"), "node", "m", (own + F.col("rank") - 1).alias("before")), "open-prefixes")
+        self.dropped("open-sets", "open-shingles")
         done = tried.select("a", "p")
         for turn in range(1, 4):
             at = signed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
