@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from heatframe.llm.decontamination import drop_contaminated
+from heatframe.llm.files import step_table
 from heatframe.llm.host_rules import keep_good
 from heatframe.llm.packing import pack_documents
 from heatframe.llm.partenum import keep_one_per_component
@@ -67,6 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = step_table(out, f"{folder}/{k}")
     return docs
