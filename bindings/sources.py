@@ -9,8 +9,10 @@ from bindings.registry import query
 from bindings.text import r, rd, round_doubles
 from heatframe.functions.scalar import entity_from_name
 from heatframe.session import new_path
-from heatframe.sources import files, grid, manifest, zipped
+from heatframe.sources import catalogue, files, grid, manifest, zipped
+from heatframe.sources.increments import IncrementalWriter
 from heatframe.sources.schema import SITES
+from heatframe.sources.versions import VersionedTable
 
 
 STATION_SQL = """
@@ -84,6 +86,22 @@ def _(i: Inputs):
     return files.standardise_time(raw)
 
 
+@query("mixed_series_files", """
+    SELECT station_id, CAST(obs_date AS TIMESTAMP) AS timestamp, CASE WHEN station_id % 4 <> 2 THEN tx END AS tx
+    FROM daily_obs WHERE station_id % 4 <> 3""")
+def _(i: Inputs):
+    """CSV files of three layouts, and some without a time column, read back through their catalogue."""
+    day = F.col("obs_date").cast("string")
+    layouts = [["station_id", day.alias("Valid_Time"), "tx"], [day.alias("timestamp"), "tx", "station_id"],
+               ["station_id", day.alias("obs_time")], ["station_id", "tx"]]
+    paths = []
+    for n, columns in enumerate(layouts):
+        paths.append(new_path(i.spark, f"layout-{n}"))
+        i.daily_obs().where(F.col("station_id") % 4 == n).select(*columns).write.option("header", True).csv(paths[-1])
+    series, _ = catalogue.read_mixed_series(i.spark, paths, "csv", ["station_id", "tx"])
+    return series.select(F.col("station_id").cast("bigint").alias("station_id"), "timestamp", "tx")
+
+
 @query("entity_from_name", """
     SELECT p_partkey, lower(split_part(replace(p_name, ' ', '_') || '_1990-2025.parquet', '_', 1)) AS entity FROM part""")
 def _(i: Inputs):
@@ -150,6 +168,16 @@ def _(i: Inputs):
     )
 
 
+@query("rewrite_in_place", f"""
+    SELECT station_id, obs_date, {r('tx * 1.8 + 32', 3)} AS tx_f FROM daily_obs WHERE tx IS NOT NULL""")
+def _(i: Inputs):
+    table = VersionedTable(i.spark, new_path(i.spark, "versioned"))
+    table.write(i.daily_obs().select("station_id", "obs_date", "tx"))
+    table.rewrite(lambda df: df.withColumn("tx_f", rd(F.col("tx") * 1.8 + 32, 3)).drop("tx"))
+    table.rewrite(lambda df: df.where("tx_f IS NOT NULL"))
+    return table.read()
+
+
 GRID_SQL = """
     WITH grid AS (SELECT CAST(l_shipdate AS DATE) AS valid_date, 500 + 350 * (l_linenumber % 2) AS level,
                42.0 + (l_suppkey % 30) * 0.25 AS lat, -1.0 + (l_partkey % 30) * 0.25 AS lon,
@@ -212,6 +240,27 @@ def _(i: Inputs):
     return grid.missing_partitions(wanted, present, ["station_id", "month"])
 
 
+@query("incremental_write", """
+    SELECT CAST(date_trunc('month', obs_date) AS DATE) AS month, COUNT(*) AS n, COUNT(*) FILTER (tx >= 30) AS n_hot,
+           CASE WHEN month(ANY_VALUE(obs_date)) <= 6 THEN 1 ELSE 2 END AS run
+    FROM daily_obs GROUP BY 1""")
+def _(i: Inputs):
+    """Months up to June in one run, then all: the second run writes the others alone; both outputs read back."""
+    path = new_path(i.spark, "increments")
+    daily = i.daily_obs().select(F.trunc("obs_date", "month").alias("month"), "station_id", "tx")
+    outputs = {"all": lambda df: df, "hot": lambda df: df.where("tx >= 30")}
+    writer = IncrementalWriter(i.spark, path, ["month"], outputs)
+    writer.write(daily.where(F.month("month") <= 6))
+    writer.write(daily)
+    ledger = i.spark.read.parquet(f"{path}/_ledger").groupBy("month").agg(F.max("run").cast("int").alias("run"))
+
+    def rows(name: str, count: str):
+        return i.spark.read.schema(daily.schema).parquet(f"{path}/{name}").groupBy("month").agg(F.count("*").alias(count))
+
+    return ledger.join(rows("all", "n"), "month").join(rows("hot", "n_hot"), "month", "left").select(
+        "month", "n", F.coalesce("n_hot", F.lit(0)).alias("n_hot"), "run")
+
+
 @query("bounding_box", """
     SELECT MAX(lat) AS north, MIN(lon) AS west, MIN(lat) AS south, MAX(lon) AS east FROM stations""")
 def _(i: Inputs):
