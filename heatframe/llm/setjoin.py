@@ -9,6 +9,7 @@ their overlap. What signatures let meet is verified on whole sets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ BUCKET_BITS = 6  # at least
 SIGNED_BESIDES = 100  # signatures that a set may have beside one for each shingle
 SIGNATURE_BITS = 48  # short for the shuffle; a chance meeting is only one more candidate
 PAIR_ROWS = 1 << 16
+DEALS = 4  # of the shingles' values; one deal is shuffled at a time
 BROADCAST_ROWS = 2_000_000  # at 48 bytes a row: below 100 MB
 
 Signer = Callable[["Sets", np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -304,16 +306,22 @@ class SetJoin:
         then, where components are left, with one another.
         """
         sets = self.written(self._shingles(members.select("node")), "open-sets")
-        each = sets.select("node", F.explode("shingles").alias("s"))
-        spread = self.written(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "open-shingles")
+        shared = []
+        for deal in range(DEALS):
+            own_deal = F.expr(f"filter(shingles, s -> pmod(s, {DEALS}) = {deal})")
+            each = sets.select("node", F.explode(own_deal).alias("s"))
+            spread = self.written(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), f"open-shingles-{deal}")
+            shared.append(self.written(each.join(spread, "s").select("node", "s", "n"), f"open-shared-{deal}"))
+        self.dropped("open-sets", *(f"open-shingles-{deal}" for deal in range(DEALS)))
         # as many rows as a set has shingles; those that no other member has count against every link of it
         of_node = Window.partitionBy("node")
-        ranked = each.join(spread, "s").select("node", "s", F.row_number().over(of_node.orderBy("n", "s")).alias("rank"),
-                                               F.count("*").over(of_node).alias("shared")).join(members, "node")
+        ranked = reduce(DataFrame.unionAll, shared).select(
+            "node", "s", F.row_number().over(of_node.orderBy("n", "s")).alias("rank"),
+            F.count("*").over(of_node).alias("shared")).join(members, "node")
         spare, own = F.floor(F.col("m") * (self.den - self.num) / F.lit(self.den)), F.col("m") - F.col("shared")
         signed = self.written(ranked.where(F.col("rank") <= spare + 1 - own).select(
             F.col("s").alias("sig"), "node", "m", (own + F.col("rank") - 1).alias("before")), "open-prefixes")
-        self.dropped("open-sets", "open-shingles")
+        self.dropped(*(f"open-shared-{deal}" for deal in range(DEALS)))
         done = tried.select("a", "p")
         for turn in range(1, 4):
             at = signed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -327,14 +335,14 @@ class SetJoin:
                                   F.col("component").alias("cp"))
                 pairs = at.select("sig", F.col("node").alias("a"), "before", "m", "component").join(
                     other, (at["sig"] == other["sig"]) & (F.col("a") > F.col("p")) & self._open_pair())
-            pairs = pairs.where(self._open_pair()).select("a", "p").distinct()
+            pairs = pairs.where(self._open_pair()).select("a", "p", F.col("m").alias("ma"), "mp").distinct()
             fresh = pairs.join(done, ["a", "p"], "left_anti").join(
                 done.select(F.col("a").alias("p"), F.col("p").alias("a")), ["a", "p"], "left_anti")
             fresh = self.written(fresh, f"pairs-{turn}")
             if fresh.isEmpty():
                 continue
-            links = links.union(self._verified(fresh, f"links-{turn}"))
-            done = done.union(fresh)
+            links = links.union(self._verified(self.written(self._close(fresh), f"close-{turn}"), f"links-{turn}"))
+            done = done.union(fresh.select("a", "p"))
             labels = components(links, f"{self.folder}/components-{turn}")
         return labels
 
