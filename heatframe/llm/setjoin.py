@@ -24,11 +24,13 @@ from heatframe.llm.words import AS_IS, BASE, LOWERED, WHITE, Lot, lots, mix, win
 COUNTERS = 128
 CELL_SHINGLES = 8
 LOT_SIGNATURES = 1 << 21
+PLACE_BITS = 16  # of a text in its lot; they fill the word that a signature leaves
 BUCKET_SIGNATURES = 1 << 19
 BUCKET_BITS = 6  # at least
 SIGNED_BESIDES = 100  # signatures that a set may have beside one for each shingle
 SIGNATURE_BITS = 48  # short for the shuffle; a chance meeting is only one more candidate
 PAIR_ROWS = 1 << 16
+CLOSE_ROWS = 1 << 10
 DEALS = 4  # of the shingles' values; one deal is shuffled at a time
 BROADCAST_ROWS = 2_000_000  # at 48 bytes a row: below 100 MB
 
@@ -163,20 +165,23 @@ class SetJoin:
         lot_signatures = LOT_SIGNATURES
 
         def sign(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            signatures, held, size = signer(), [], 0
+            signatures, keys, members, size, texts = signer(), [], [], 0, 0
             for b in incoming:
                 known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
                 ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 for lot in lots(b.column(1), separators, letters):
                     sets = Sets(lot, width)
                     sig, text = signatures(sets, known[lot.rows])
-                    held.append((sig, ids[lot.rows][text]))
-                    size += len(sig)
-                    if size >= lot_signatures:
-                        yield from _packed(held, bits)
-                        held, size = [], 0
-            if held:
-                yield from _packed(held, bits)
+                    for at in range(0, sets.n, 1 << PLACE_BITS):
+                        own = ids[lot.rows][at:at + (1 << PLACE_BITS)]
+                        if size >= lot_signatures or texts + len(own) > 1 << PLACE_BITS:
+                            yield from _packed(keys, members, bits)
+                            size = texts = 0
+                        here = (text >= at) & (text < at + len(own))
+                        keys.append(sig[here].view("u8") << np.uint64(PLACE_BITS) | (text[here] - at + texts).astype("u8"))
+                        members.append(own)
+                        size, texts = size + len(keys[-1]), texts + len(own)
+            yield from _packed(keys, members, bits)
 
         def meet(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, blobs = None, []
@@ -235,7 +240,7 @@ class SetJoin:
         num, den = self.num, self.den
 
         def near(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in incoming:
+            for b in (whole.slice(k, CLOSE_ROWS) for whole in incoming for k in range(0, whole.num_rows, CLOSE_ROWS)):
                 both = b.column(2).to_numpy() + b.column(3).to_numpy()
                 sides = [[memoryview(x.as_buffer()) for x in b.column(c)] for c in (4, 5)]
                 cells = np.array([[len(x) for x in side] for side in sides], "i8").reshape(2, -1)
@@ -374,22 +379,41 @@ def _ascended(data: memoryview) -> tuple[np.ndarray, memoryview]:
     return np.cumsum(steps, dtype="u8").view("i8"), data[(n - 1) * wide:]
 
 
-def _packed(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+def _packed(keys: list[np.ndarray], members: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """bucket, blob of a lot: each signature once, with its smallest member and whether it has others, by buckets of the
-    signatures' highest bits; the others as pairs with that one, dealt by their members."""
-    sig, member = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((member, sig))
-    sig, member = sig[order], member[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
-    sig, member = sig[new], member[new]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    group = np.cumsum(first) - 1
-    pivot, size = member[first], np.bincount(group, minlength=int(first.sum()))
-    other = np.flatnonzero(~first)
-    a, p, _, level = _distinct(member[other], pivot[group[other]], np.zeros(len(other), bool), np.where(size[group[other]] > 2, 2, 1))
-    sig = sig[first]
+    signatures' highest bits; the others as pairs with that one, dealt by their members.
+
+    A key is a signature and the place of its text in the lot, members are the ids by place. Both lists are emptied.
+    """
+    if not sum(map(len, keys)):
+        keys.clear(), members.clear()
+        return
+    place, shift = np.uint64((1 << PLACE_BITS) - 1), np.uint64(PLACE_BITS)
+    ids, rank = np.unique(np.concatenate(members), return_inverse=True)
+    key = np.concatenate(keys)
+    keys.clear(), members.clear()
+    rank = rank.astype("u8")[(key & place).astype("u2")]
+    key &= ~place
+    key |= rank
+    del rank
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])]
+    starts = np.flatnonzero(np.append(True, (key[1:] ^ key[:-1]) > place))
+    size = np.diff(np.append(starts, len(key)))
+    first = key[starts] & place
+    sig, pivot = (key[starts] >> shift).view("i8"), ids[first]
+    others = np.ones(len(key), bool)
+    others[starts] = False
+    # pairs as pivot, member, whether the signature has more; of equal ones the last says most
+    pair = np.repeat(first << shift, size - 1)
+    pair |= key[others] & place
+    pair <<= np.uint64(1)
+    pair |= np.repeat(size > 2, size - 1).astype("u8")
+    del key, others, first
+    pair.sort()
+    pair = pair[np.append(pair[1:] >> np.uint64(1) != pair[:-1] >> np.uint64(1), np.ones(min(len(pair), 1), bool))]
+    level = (pair & np.uint64(1)).astype("i8") + 1
+    a, p = ids[(pair >> np.uint64(1)) & place], ids[pair >> np.uint64(1 + PLACE_BITS)]
     buckets, blobs = [], []
     of_sig, of_pair = sig >> (SIGNATURE_BITS - bits), a & ((1 << bits) - 1)
     by_pair = np.argsort(of_pair, kind="stable")
