@@ -16,6 +16,8 @@ from pyspark.sql.window import WindowSpec
 
 from heatframe.operators.ordered import running_totals
 
+GAP = "a dense series has a missing or repeated step: densify it, or say dense=False"
+
 
 @dataclass(frozen=True)
 class Series:
@@ -86,8 +88,7 @@ def over_rows(
     if series.dense:
         # neighbours of a block are there as well, so every gap inside the reach of a frame is seen
         gap = F.lag("_pos").over(window) != F.col("_pos") - 1
-        copies = copies.withColumn("_pos", F.when(gap, F.raise_error(F.lit(
-            "a dense series has a missing or repeated step: densify it, or say dense=False")).cast("long")).otherwise(F.col("_pos")))
+        copies = copies.withColumn("_pos", F.when(gap, F.raise_error(F.lit(GAP)).cast("long")).otherwise(F.col("_pos")))
     for step in (build, *then):
         copies = copies.withColumns(step(window))
     return copies.where(F.col("_home") == F.col("_block")).drop("_home", "_block", "_pos")
