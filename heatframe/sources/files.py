@@ -108,8 +108,13 @@ def read_series(spark: SparkSession, paths: str | list[str], fmt: str) -> DataFr
 
 def concat_time_chunks(chunks: list[DataFrame], keys: list[str]) -> DataFrame:
     """Chunks along time under each other; a key present twice is kept once (the row
-    of the earliest chunk)."""
-    numbered = [c.withColumn("_chunk", F.lit(n)) for n, c in enumerate(chunks)]
+    of the earliest chunk).
+
+    Each chunk is shuffled once more, into twice the session's partitions: the number keeps Spark from leaving the
+    shuffle out, so no task holds the state that makes two chunks and their sorted rows at once.
+    """
+    parts = 2 * int(chunks[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = [c.repartition(parts, *keys).withColumn("_chunk", F.lit(n)) for n, c in enumerate(chunks)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
     rest = [c for c in stacked.columns if c not in (*keys, "_chunk")]
     first = stacked.groupBy(*keys).agg(F.min(F.struct("_chunk", *rest)).alias("_row"))
