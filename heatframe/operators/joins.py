@@ -33,12 +33,8 @@ def match_station(
     right = reference.select(on, group, F.col(right_value).alias("_v")).groupBy(on, group, "_v").agg(
         F.count("*").alias("_n")
     )
-    matches = (
-        left.groupBy(on, station, "_v").agg(F.count("*").alias("_m"))
-        .join(right, [on, "_v"])
-        .groupBy(group, station)
-        .agg(F.sum(F.col("_m") * F.col("_n")).alias("matching_days"))
-    )
+    # candidate rows are not counted first: they seldom repeat, and a task would hold them twice more
+    matches = left.join(right, [on, "_v"]).groupBy(group, station).agg(F.sum("_n").alias("matching_days"))
     # the most matches first, then the smallest station of any type
     best = matches.groupBy(group).agg(F.min(F.struct((-F.col("matching_days")).alias("_less"), station)).alias("_best"))
     totals = (
@@ -56,5 +52,5 @@ def match_station(
 
 def rejoin_best(candidates: DataFrame, reference: DataFrame, matched: DataFrame, station: str, group: str, on: str) -> DataFrame:
     """Rows of the best station next to the reference rows of its group."""
-    kept = candidates.join(matched.select(group, station), station)
+    kept = candidates.join(F.broadcast(matched.select(group, station)), station)  # one row for each group
     return kept.join(reference, [group, on])
