@@ -1,7 +1,7 @@
 """Exact Jaccard components of word-shingle sets behind any signatures that linked sets share.
 
-Work stays below all pairs. Sets that are equal are one class, known by the hash of the set. A task sends every
-signature once per lot. Members of a signature are compared with one pivot of it; only where that leaves several
+Work stays below all pairs. Sets that are equal are one class, known by the hash of the set, and signed once. A task sends
+every signature once per lot. Members of a signature are compared with one pivot of it; only where that leaves several
 components, the rest is compared, and only pairs that can still link: the rarest shingle that two sets share bounds
 their overlap. What signatures let meet is verified on whole sets.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ CELL_SHINGLES = 8
 LOT_SIGNATURES = 1 << 21
 PLACE_BITS = 16  # of a text in its lot; they fill the word that a signature leaves
 BUCKET_SIGNATURES = 1 << 19
-BUCKET_BITS = 6  # at least
+GROUP_BITS = 6  # of a bucket's ranges, as many as tasks can meet at a time
+HELD_PAIRS = 1 << 20  # 18 bytes each
 SIGNED_BESIDES = 100  # signatures that a set may have beside one for each shingle
 SIGNATURE_BITS = 48  # short for the shuffle; a chance meeting is only one more candidate
 PAIR_ROWS = 1 << 16
@@ -152,16 +154,23 @@ class SetJoin:
         separators, letters, width, at = self.separators, self.letters, self.width, rows.columns.index(text_column)
         return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField(set_name, LongType()), StructField(words_name, BooleanType())]))
 
-    def _candidates(self) -> DataFrame:
+    def _signed(self, known: DataFrame) -> DataFrame:
+        """The rows to sign: all but those of ids that are no class's, as the class's own document signs its set."""
+        copies = self.written(known.select("doc_id").distinct().join(
+            self.classes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "copies")
+        return self.docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").select("doc_id", "text")
+
+    def _candidates(self, known: DataFrame) -> DataFrame:
         """Document a and pivot p of all signatures that several documents share; many: a stands for others of its lot;
         level: 0 where nothing else has the signature, 1 where that is so within a lot, 2 where others have it.
 
         A lot's signatures travel sorted and packed, by ranges of their values (buckets) whose number grows with the
-        input, so that a task holds one bucket at a time. A signature is one entry for each lot that has it.
+        input, so that a task holds one bucket at a time. A signature is one entry for each lot that has it. Buckets meet
+        by 2**GROUP_BITS ranges, each in one task that gives a pair once, so that a pair's rows don't grow with the input.
         """
         separators, letters, width, signer = self.separators, self.letters, self.width, self.signer()
         total = self.sizes.where("n_shingles > 0").agg(F.sum(F.col("n_shingles") + SIGNED_BESIDES)).first()[0] or 0
-        bits = max(BUCKET_BITS, (total // BUCKET_SIGNATURES).bit_length())
+        bits = max(GROUP_BITS, (total // BUCKET_SIGNATURES).bit_length())
         lot_signatures = LOT_SIGNATURES
 
         def sign(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,19 +193,22 @@ class SetJoin:
             yield from _packed(keys, members, bits)
 
         def meet(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bucket, blobs = None, []
-            for b in incoming:
-                for own, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                    if own != bucket and blobs:
-                        yield from _met(blobs)
-                        blobs = []
-                    bucket = own
-                    blobs.append(blob.as_py())
-            if blobs:
-                yield from _met(blobs)
-
-        rows = self.docs.mapInArrow(sign, "bucket int, blob binary")
-        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+            def met():
+                bucket, blobs = None, []
+                for b in incoming:
+                    for own, blob in zip(b.column(1).to_pylist(), b.column(2)):
+                        if own != bucket and blobs:
+                            yield _met(blobs)
+                            blobs = []
+                        bucket = own
+                        blobs.append(blob.as_py())
+                if blobs:
+                    yield _met(blobs)
+
+            yield from _once(met())
+
+        rows = self._signed(known).mapInArrow(sign, "range int, bucket int, blob binary")
+        return rows.repartition("range").sortWithinPartitions("bucket").mapInArrow(
             meet, "a long, p long, many boolean, level int").groupBy("a", "p").agg(
             F.max("many").alias("many"), F.max("level").alias("level"))
 
@@ -264,7 +276,7 @@ class SetJoin:
         known = self.written(self.sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_hash", "n_shingles").distinct(), "known")
         as_a = known.select(F.col("doc_id").alias("da"), F.col("set_hash").alias("a"), F.col("n_shingles").alias("ma"))
         as_p = known.select(F.col("doc_id").alias("dp"), F.col("set_hash").alias("p"), F.col("n_shingles").alias("mp"))
-        met = self._candidates().withColumnsRenamed({"a": "da", "p": "dp"}).join(as_a, "da").join(as_p, "dp")
+        met = self._candidates(known).withColumnsRenamed({"a": "da", "p": "dp"}).join(as_a, "da").join(as_p, "dp")
         # an id may have several sets
         first = known.groupBy("doc_id").agg(F.min(F.struct("set_hash", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
         same = known.join(first, "doc_id").select(
@@ -380,8 +392,8 @@ def _ascended(data: memoryview) -> tuple[np.ndarray, memoryview]:
 
 
 def _packed(keys: list[np.ndarray], members: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """bucket, blob of a lot: each signature once, with its smallest member and whether it has others, by buckets of the
-    signatures' highest bits; the others as pairs with that one, dealt by their members.
+    """range, bucket, blob of a lot: each signature once, with its smallest member and whether it has others, by buckets
+    of the signatures' highest bits; the others as pairs with that one, dealt by their members.
 
     A key is a signature and the place of its text in the lot, members are the ids by place. Both lists are emptied.
     """
@@ -398,38 +410,44 @@ def _packed(keys: list[np.ndarray], members: list[np.ndarray], bits: int) -> Ite
     del rank
     key.sort()
     key = key[np.append(True, key[1:] != key[:-1])]
-    starts = np.flatnonzero(np.append(True, (key[1:] ^ key[:-1]) > place))
-    size = np.diff(np.append(starts, len(key)))
-    first = key[starts] & place
-    sig, pivot = (key[starts] >> shift).view("i8"), ids[first]
-    others = np.ones(len(key), bool)
-    others[starts] = False
+    new = np.append(True, (key[1:] ^ key[:-1]) > place)
+    starts, rest = np.flatnonzero(new).astype("u4"), np.flatnonzero(~new)
+    del new
+    size = np.diff(np.append(starts, np.uint32(len(key))))
     # pairs as pivot, member, whether the signature has more; of equal ones the last says most
-    pair = np.repeat(first << shift, size - 1)
-    pair |= key[others] & place
+    own = np.searchsorted(starts, rest.astype("u4"), "right") - 1
+    pair = (key[starts[own]] & place) << shift
+    pair |= key[rest] & place
     pair <<= np.uint64(1)
-    pair |= np.repeat(size > 2, size - 1).astype("u8")
-    del key, others, first
+    pair |= (size[own] > 2).astype("u8")
+    shared, key = size > 1, key[starts]
+    del starts, size, rest, own
     pair.sort()
     pair = pair[np.append(pair[1:] >> np.uint64(1) != pair[:-1] >> np.uint64(1), np.ones(min(len(pair), 1), bool))]
     level = (pair & np.uint64(1)).astype("i8") + 1
     a, p = ids[(pair >> np.uint64(1)) & place], ids[pair >> np.uint64(1 + PLACE_BITS)]
-    buckets, blobs = [], []
-    of_sig, of_pair = sig >> (SIGNATURE_BITS - bits), a & ((1 << bits) - 1)
+    pivot = (key & place).astype("u2")
+    key >>= shift
+    sig = key.view("i8")
+    of_pair = a & ((1 << bits) - 1)
     by_pair = np.argsort(of_pair, kind="stable")
     a, p, level, of_pair = a[by_pair], p[by_pair], level[by_pair], of_pair[by_pair]
-    for bucket in np.unique(np.concatenate([of_sig, of_pair])).tolist():
-        x, y = np.searchsorted(of_sig, [bucket, bucket + 1])
-        ids, at = np.unique(pivot[x:y], return_inverse=True)
-        place = at.astype("u2" if len(ids) <= 1 << 16 else "u4")
-        k, n = np.searchsorted(of_pair, [bucket, bucket + 1])
+    edges = np.arange((1 << bits) + 1)
+    of_sig, of_pair = np.searchsorted(sig, edges << (SIGNATURE_BITS - bits)), np.searchsorted(of_pair, edges)
+    buckets, blobs = [], []
+    for bucket in np.flatnonzero((np.diff(of_sig) > 0) | (np.diff(of_pair) > 0)).tolist():
+        x, y = of_sig[bucket:bucket + 2].tolist()
+        pivots, at = np.unique(pivot[x:y], return_inverse=True)
+        at = at.astype("u2" if len(pivots) <= 1 << 16 else "u4")
+        k, n = of_pair[bucket:bucket + 2].tolist()
         buckets.append(bucket)
-        blobs.append(b"".join([_ascending(sig[x:y]), _ascending(ids), place.tobytes(), np.packbits(size[x:y] > 1).tobytes(),
+        blobs.append(b"".join([_ascending(sig[x:y]), _ascending(ids[pivots]), at.tobytes(), np.packbits(shared[x:y]).tobytes(),
                                a[k:n].tobytes(), p[k:n].tobytes(), level[k:n].astype("u1").tobytes()]))
-    yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    yield pa.record_batch([pa.array([b >> (bits - GROUP_BITS) for b in buckets], pa.int32()), pa.array(buckets, pa.int32()),
+                           pa.array(blobs, pa.binary())], ["range", "bucket", "blob"])
 
 
-def _met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _met(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     """a, p, many, level of a bucket's signatures and pairs."""
     parts, pairs = [], []
     for blob in blobs:
@@ -453,14 +471,31 @@ def _met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     pivot = member[first][group]
     met = member != pivot
     lot_a, lot_p, lot_level = (np.concatenate(x) for x in zip(*pairs))
-    a, p, many, level = _distinct(
+    return _distinct(
         np.concatenate([member[met], lot_a]), np.concatenate([pivot[met], lot_p]),
         np.concatenate([many[met], np.zeros(len(lot_a), bool)]),
         np.concatenate([np.where(others[group][met] > 2, 2, 0), lot_level]))
-    for k in range(0, len(a), PAIR_ROWS):
-        part = slice(k, k + PAIR_ROWS)
-        yield pa.record_batch([pa.array(a[part]), pa.array(p[part]), pa.array(many[part]), pa.array(level[part].astype("i4"))],
-                              ["a", "p", "many", "level"])
+
+
+def _once(met: Iterable[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """a, p, many, level of the pairs of some buckets, each once as long as no more than HELD_PAIRS others come between."""
+    held, n = [], 0
+    for pairs in chain(met, [None]):
+        if pairs is not None:
+            held.append(pairs)
+            n += len(pairs[0])
+            if n <= HELD_PAIRS:
+                continue
+        if len(held) > 1:
+            held = [_distinct(*(np.concatenate(x) for x in zip(*held)))]
+            n = len(held[0][0])
+        if held and (pairs is None or 2 * n > HELD_PAIRS):
+            a, p, many, level = held[0]
+            for k in range(0, n, PAIR_ROWS):
+                part = slice(k, k + PAIR_ROWS)
+                yield pa.record_batch([pa.array(a[part]), pa.array(p[part]), pa.array(many[part]), pa.array(level[part].astype("i4"))],
+                                      ["a", "p", "many", "level"])
+            held, n = [], 0
 
 
 def _distinct(a: np.ndarray, p: np.ndarray, many: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -75,3 +75,29 @@ def test_signatures_below_the_distance_share_an_entry():
     real = [len(a & b) / len(a | b) for a, b in ((set(pairs[k].split()), set(pairs[k + 1].split())) for k in range(0, len(pairs), 2))]
     assert abs(np.mean(same) - np.mean(real)) < 0.01
     assert len(key) >= len(pairs) * CHUNKS * comb(COMPONENTS, ERRORS)
+
+
+def test_a_pair_comes_once_for_a_range_of_buckets(monkeypatch):
+    from collections import defaultdict
+
+    import numpy as np
+
+    from heatframe.llm import setjoin
+
+    rng = np.random.default_rng(0)
+    common, bits = rng.choice(1 << setjoin.SIGNATURE_BITS, 3000, replace=False), setjoin.GROUP_BITS + 4
+    ranges = defaultdict(lambda: defaultdict(list))
+    for own in ([1], [2], [3]):  # lots of one document
+        own_sig = np.append(common, rng.integers(0, 1 << setjoin.SIGNATURE_BITS, 50)).astype("u8")
+        for b in setjoin._packed([own_sig << np.uint64(setjoin.PLACE_BITS)], [np.array(own)], bits):
+            for r, bucket, blob in zip(*(c.to_pylist() for c in b.columns)):
+                ranges[r][bucket].append(blob)
+    assert len(ranges) == 1 << setjoin.GROUP_BITS and sum(map(len, ranges.values())) > 900
+
+    def pairs():
+        return [x for r in ranges.values() for b in setjoin._once(map(setjoin._met, r.values())) for x in zip(*(c.to_pylist() for c in b.columns))]
+
+    got = pairs()
+    assert set(got) == {(2, 1, False, 2), (3, 1, False, 2)} and len(got) == 2 << setjoin.GROUP_BITS
+    monkeypatch.setattr(setjoin, "HELD_PAIRS", 3)
+    assert set(pairs()) == set(got) and len(pairs()) > len(got)

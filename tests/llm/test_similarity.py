@@ -120,6 +120,20 @@ def test_rows_without_id_and_repeated_rows(spark, folder):
     assert jaccard_components(docs.limit(0), folder + "-e").count() == 0
 
 
+def test_copies_of_a_text_are_signed_once(spark, folder):
+    from heatframe.llm.partenum import JaccardJoin
+
+    a, b, near = prose(random.Random(1), 60), prose(random.Random(2), 60), prose(random.Random(1), 60) + " x"
+    # 30 has a copy and a text of its own
+    rows = [*((k, a) for k in range(1, 31)), (30, b), (31, b), (40, near), (41, near), (None, a)]
+    join = JaccardJoin(documents(spark, rows=rows), folder)
+    got = {(r.doc_id, r.component_id) for r in join.run().collect()}
+    assert got == {*((k, 1) for k in range(1, 31)), (30, 30), (31, 30), (40, 1), (41, 1), (None, None)}
+    join.folder += "-again"
+    met = join._candidates(spark.read.parquet(f"{folder}/known")).select("a", "p").collect()
+    assert {tuple(r) for r in met} == {(30, 1), (40, 1)}
+
+
 def test_several_texts_under_one_id(spark, folder):
     a, b, c = (prose(random.Random(k), 60) for k in (1, 2, 3))
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (3, c), (None, c), (None, "only " + c[::-1]), (None, "only " + c[::-1])]
