@@ -107,7 +107,7 @@ class SetJoin:
         raise NotImplementedError
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        return files.step_table(df, f"{self.folder}/{name}")
+        return files.step_table(df, f"{self.folder}/{name}", files.BATCH_BYTES)
 
     def dropped(self, *names: str) -> None:
         for name in names:

@@ -101,3 +101,22 @@ def test_a_pair_comes_once_for_a_range_of_buckets(monkeypatch):
     assert set(got) == {(2, 1, False, 2), (3, 1, False, 2)} and len(got) == 2 << setjoin.GROUP_BITS
     monkeypatch.setattr(setjoin, "HELD_PAIRS", 3)
     assert set(pairs()) == set(got) and len(pairs()) > len(got)
+
+
+def test_a_lot_is_packed_in_a_few_times_its_size():
+    import tracemalloc
+
+    import numpy as np
+
+    from heatframe.llm.setjoin import _packed
+
+    rng = np.random.default_rng(0)
+    keys = [rng.integers(0, 1 << 62, 1 << 19).astype("u8")]
+    members = [np.arange(1 << 16)]
+    size = keys[0].nbytes
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in _packed(keys, members, 8).__next__().column(2).to_pylist()) > size // 4
+        assert tracemalloc.get_traced_memory()[1] < 6 * size
+    finally:
+        tracemalloc.stop()
