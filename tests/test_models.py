@@ -44,6 +44,29 @@ def test_importances_find_the_signal(spark, planted, model):
     assert loss["a"] > 0.1 > abs(loss["b"])
 
 
+def counted(spark, df):
+    """df, and how many of its rows were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+def test_regression_computes_its_rows_once(spark, planted):
+    rows, seen = counted(spark, planted.withColumn("t", F.col("a") * 2).drop("is_train"))
+    fitted = M.fit_regression(rows, ["a", "b"], "t", maxIter=2, maxDepth=2)
+    assert seen.value == 2000 and fitted.transform(planted).where("abs(pred - 2 * a) < 0.5").count() > 1500
+    rows, seen = counted(spark, rows)
+    best, table = M.tune_regression(
+        rows, ["a", "b"], "t", trials=2, folds=2,
+        ranges={"maxIter": (1, 2), "stepSize": (0.1, 0.15), "maxDepth": (1, 2), "minInstancesPerNode": (5, 9), "subsamplingRate": (0.6, 1.0)})
+    assert seen.value == 2000 and table.count() == 2 and len(best.stages) == 2
+
+
 def test_shuffle_keeps_every_value(planted):
     got = M.shuffled_columns(planted, ["a", "b"], F.col("id")).toPandas()
     assert sorted(got["a"]) == sorted(got["_shuffled_a"]) and (got["a"] != got["_shuffled_a"]).mean() > 0.99
