@@ -20,6 +20,8 @@ from heatframe.operators.evaluate import average_precision
 from heatframe.operators.ordered import running_totals, with_bins
 
 SEED = 42
+# Whether the adaptive plan may coalesce the partitions of rows that are kept, as it does with others.
+KEPT_PARTITIONS = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
 
 
 def hash_split(df: DataFrame, key: str, train_pct: int = 80) -> DataFrame:
@@ -45,8 +47,15 @@ def regression_pipeline(features: list[str], label: str, **params) -> Pipeline:
 
 def fit_regression(train: DataFrame, features: list[str], label: str, **params) -> PipelineModel:
     """Trains on ``train``. MLlib reads the rows for their number, for the splits and for its own points; they are computed
-    once, and kept on disk for the time of the fit, so that memory is left to the points."""
-    rows = train.select(*features, label).persist(StorageLevel.DISK_ONLY)
+    once, and kept on disk for the time of the fit, so that memory is left to the points. They keep the partitions that
+    MLlib would read without that, as its samples depend on them."""
+    conf = train.sparkSession.conf
+    before = conf.get(KEPT_PARTITIONS)
+    conf.set(KEPT_PARTITIONS, "true")
+    try:
+        rows = train.select(*features, label).persist(StorageLevel.DISK_ONLY)
+    finally:
+        conf.set(KEPT_PARTITIONS, before)
     try:
         return regression_pipeline(features, label, **params).fit(rows)
     finally:

@@ -67,6 +67,13 @@ def test_regression_computes_its_rows_once(spark, planted):
     assert seen.value == 2000 and table.count() == 2 and len(best.stages) == 2
 
 
+def test_kept_rows_give_the_model_of_rows_that_are_not(spark, planted):
+    rows = planted.withColumn("t", F.col("a") * 2).repartition(4, "id").where("is_train").select("a", "b", "t")
+    plain = M.regression_pipeline(["a", "b"], "t", maxIter=3, maxDepth=2).fit(rows)
+    kept = M.fit_regression(rows, ["a", "b"], "t", maxIter=3, maxDepth=2)
+    assert plain.stages[-1].toDebugString.split("\n")[1:] == kept.stages[-1].toDebugString.split("\n")[1:]
+
+
 def test_shuffle_keeps_every_value(planted):
     got = M.shuffled_columns(planted, ["a", "b"], F.col("id")).toPandas()
     assert sorted(got["a"]) == sorted(got["_shuffled_a"]) and (got["a"] != got["_shuffled_a"]).mean() > 0.99
