@@ -1,12 +1,14 @@
 """Model helpers on a planted signal, and the feature matrix' guarantees."""
 
 import datetime as dt
+import inspect
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from heatframe.operators import evaluate as V
 from heatframe.operators import model as M
 from heatframe.operators.series import Series
@@ -74,6 +76,23 @@ def test_kept_rows_give_the_model_of_rows_that_are_not(spark, planted):
     assert plain.stages[-1].toDebugString.split("\n")[1:] == kept.stages[-1].toDebugString.split("\n")[1:]
 
 
+def test_search_query_runs_its_whole_job(spark, monkeypatch):
+    seen = {}
+
+    def search(df, features, label, **params):
+        given = inspect.signature(tune).bind(df, features, label, **params)
+        given.apply_defaults()
+        seen.update(given.arguments)
+        return None, df.sparkSession.createDataFrame([(0, 1.0, {"maxIter": 300.0})], "trial int, mae double, parameters map<string, double>")
+
+    tune = M.tune_regression
+    monkeypatch.setattr(M, "tune_regression", search)
+    assert entry.queries()["tune_regression"](spark, "/root/testdata/sf0.001").count() == 1
+    assert (seen["trials"], seen["folds"], seen["ranges"]) == (100, 5, M.SEARCH)
+    assert M.SEARCH == {
+        "maxIter": (300, 1500), "stepSize": (0.01, 0.15), "maxDepth": (2, 6), "minInstancesPerNode": (5, 30), "subsamplingRate": (0.6, 1.0)}
+
+
 def test_shuffle_keeps_every_value(planted):
     got = M.shuffled_columns(planted, ["a", "b"], F.col("id")).toPandas()
     assert sorted(got["a"]) == sorted(got["_shuffled_a"]) and (got["a"] != got["_shuffled_a"]).mean() > 0.99
