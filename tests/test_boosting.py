@@ -108,3 +108,27 @@ def test_constant_labels_and_features(spark, monkeypatch):
     rows = rows_of(spark, 3000).select("a", F.lit(1.0).alias("b"), F.lit(0.0).alias("c"), F.lit(5.0).alias("y")).cache()
     plain, cells = both(rows, monkeypatch, maxIter=3)
     assert described(cells) == described(plain) == ([*described(plain)[0]], [5.0, 0.0, 0.0])
+
+
+SHORT = {"maxIter": (4, 9), "stepSize": (0.1, 0.5), "maxDepth": (2, 4), "minInstancesPerNode": (5, 30), "subsamplingRate": (0.6, 1.0)}
+
+
+def test_search_from_cells_is_that_of_the_cross_validator(spark, monkeypatch):
+    rows, args = rows_of(spark, 12_000), (FEATURES, "y", 7, 3, 2, SHORT)
+    monkeypatch.setattr(M, "SEARCH_ROWS", 11_999)
+    plain, table = M.tune_regression(rows, *args)
+    monkeypatch.setattr(M, "SEARCH_ROWS", 12_000)
+    monkeypatch.setattr(M, "CrossValidator", lambda **_: pytest.fail("left to MLlib"))
+    best, own = M.tune_regression(rows, *args)
+    (lines, numbers), (again, given) = described(plain), described(best)
+    assert lines == again and np.allclose(numbers, given, rtol=0, atol=1e-8)
+    for a, b in zip(table.orderBy("trial").collect(), own.orderBy("trial").collect(), strict=True):
+        assert a["parameters"] == b["parameters"] and abs(a["mae"] - b["mae"]) < 1e-8
+    assert best.stages[-1].getMaxIter() == plain.stages[-1].getMaxIter() == best.stages[-1].getNumTrees
+
+
+def test_search_of_many_trees_ends(spark):
+    """300 trees in each of 40 fits; a pass over the rows for each level of each tree would take hours."""
+    rows, long = rows_of(spark, 1500), {**SHORT, "maxIter": (300, 300)}
+    best, table = M.tune_regression(rows, FEATURES, "y", trials=8, folds=5, ranges=long)
+    assert table.count() == 8 and best.stages[-1].getNumTrees == 300
