@@ -46,7 +46,7 @@ def both(rows, monkeypatch, **params):
 ])
 def test_cells_give_the_model_of_mllib(spark, monkeypatch, n, params):
     rows = rows_of(spark, n)
-    plain, cells = both(rows, monkeypatch, maxIter=10, **params)
+    plain, cells = both(rows, monkeypatch, maxIter=6, **params)
     (lines, numbers), (own, given) = described(plain), described(cells)
     assert own == lines and np.allclose(given, numbers, rtol=0, atol=1e-8)
     assert np.allclose(cells.stages[-1].featureImportances.toArray(), plain.stages[-1].featureImportances.toArray(), atol=1e-9)
@@ -57,12 +57,13 @@ def test_cells_give_the_model_of_mllib(spark, monkeypatch, n, params):
 
 
 def test_blocks_and_dealt_cells_give_the_same_model(spark, monkeypatch):
-    rows = rows_of(spark, 12_000)
-    one = both(rows, monkeypatch, maxIter=10)[1]
-    monkeypatch.setattr(X, "BLOCK", 1)
-    monkeypatch.setattr(X, "CHUNK_ROWS", 3)
-    lines, numbers = described(one)
-    again, others = described(both(rows.withColumn("c", F.col("c")), monkeypatch, maxIter=10)[1])
+    rows, fits = rows_of(spark, 12_000), []
+    monkeypatch.setattr(M.RegressionPipeline, "least_rows", 0)
+    for block, chunk in ((X.BLOCK, X.CHUNK_ROWS), (1, 3)):
+        monkeypatch.setattr(X, "BLOCK", block)
+        monkeypatch.setattr(X, "CHUNK_ROWS", chunk)
+        fits.append(described(M.fit_regression(rows, FEATURES, "y", maxIter=10)))
+    (lines, numbers), (again, others) = fits
     assert lines == again and np.allclose(numbers, others, rtol=0, atol=1e-8)
 
 
@@ -110,11 +111,11 @@ def test_constant_labels_and_features(spark, monkeypatch):
     assert described(cells) == described(plain) == ([*described(plain)[0]], [5.0, 0.0, 0.0])
 
 
-SHORT = {"maxIter": (4, 9), "stepSize": (0.1, 0.5), "maxDepth": (2, 4), "minInstancesPerNode": (5, 30), "subsamplingRate": (0.6, 1.0)}
+SHORT = {"maxIter": (3, 6), "stepSize": (0.1, 0.5), "maxDepth": (2, 4), "minInstancesPerNode": (5, 30), "subsamplingRate": (0.6, 1.0)}
 
 
 def test_search_from_cells_is_that_of_the_cross_validator(spark, monkeypatch):
-    rows, args = rows_of(spark, 12_000), (FEATURES, "y", 7, 3, 2, SHORT)
+    rows, args = rows_of(spark, 12_000), (FEATURES, "y", 6, 2, 2, SHORT)
     monkeypatch.setattr(M, "SEARCH_ROWS", 11_999)
     plain, table = M.tune_regression(rows, *args)
     monkeypatch.setattr(M, "SEARCH_ROWS", 12_000)
